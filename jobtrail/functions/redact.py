@@ -133,17 +133,19 @@ def redact_steps(steps: Column, mode: str = "smart", key_pattern: str | None = N
 
 def safe_job_json(job) -> Column:
     """A job as JSON without any metadata and with a bare callback URL. ``job`` is a row of JOB columns."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    number = lambda c: F.coalesce(c, F.lit(0))
     bare = F.transform(
         job["steps"],
         lambda s: F.struct(
-            s["id"].alias("id"),
-            s["name"].alias("name"),
-            s["image"].alias("image"),
-            s["script"].alias("script"),
-            s["continue_on_error"].alias("continue_on_error"),
+            number(s["id"]).alias("id"),
+            text(s["name"]).alias("name"),
+            text(s["image"]).alias("image"),
+            text(s["script"]).alias("script"),
+            F.coalesce(s["continue_on_error"], F.lit(False)).alias("continue_on_error"),
             empty_map().alias("metadata"),
-            s["cpu_limit"].alias("cpu_limit"),
-            s["memory_limit"].alias("memory_limit"),
+            number(s["cpu_limit"]).alias("cpu_limit"),
+            text(s["memory_limit"]).alias("memory_limit"),
             F.nullif(s["network"], F.lit("")).alias("network"),
             F.nullif(s["memory_swap"], F.lit("")).alias("memory_swap"),
             F.nullif(s["pids_limit"], F.lit(0)).alias("pids_limit"),
@@ -151,7 +153,7 @@ def safe_job_json(job) -> Column:
     )
     row = F.struct(
         job["id"].alias("id"),
-        job["name"].alias("name"),
+        text(job["name"]).alias("name"),
         job["timestamp"].alias("timestamp"),
         empty_map().alias("metadata"),
         bare.alias("steps"),

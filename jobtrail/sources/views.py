@@ -24,14 +24,22 @@ class Views:
     def events(self) -> DataFrame:
         return self.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    def status_events(self) -> DataFrame:
+    # Job ids of event rows: one job per user and day, the same as a number (these are order keys too), or
+    # one job per user.
+    _EVENT_KEYS = {
+        "day": "concat(user_id, '-', CAST(ts AS DATE))",
+        "order": "CAST(user_id * 30 + day(ts) - 1 AS STRING)",
+        "user": "CAST(user_id AS STRING)",
+    }
+
+    def status_events(self, key: str = "day") -> DataFrame:
         return self.spark.sql(
-            """
-            SELECT concat(user_id, '-', CAST(ts AS DATE)) AS job_id,
+            f"""
+            SELECT {self._EVENT_KEYS[key]} AS job_id,
               CASE event_type WHEN 'signup' THEN 'Queued' WHEN 'view' THEN 'Running' WHEN 'click' THEN 'Succeeded'
                               WHEN 'error' THEN 'Failed' ELSE 'Stopped' END AS status,
               CASE WHEN event_type = 'error' THEN props ELSE '' END AS reason, ts, event_id AS seq
-            FROM {events}
+            FROM {{events}}
             """,
             events=self.events(),
         )
@@ -50,28 +58,28 @@ class Views:
             events=self.events(),
         )
 
-    def log_entries(self) -> DataFrame:
+    def log_entries(self, key: str = "user") -> DataFrame:
         return self.spark.sql(
-            """
-            SELECT CAST(user_id AS STRING) AS job_id, event_type AS container_id, event_id AS seq, 0 AS pos, ts,
+            f"""
+            SELECT {self._EVENT_KEYS[key]} AS job_id, event_type AS container_id, event_id AS seq, 0 AS pos, ts,
               props AS message, CASE WHEN event_id % 5 = 0 THEN 'stderr' ELSE 'stdout' END AS output_stream
-            FROM {events}
+            FROM {{events}}
             """,
             events=self.events(),
         )
 
-    def log_batches(self) -> DataFrame:
+    def log_batches(self, key: str = "user") -> DataFrame:
         """One batch per event: errors repeat their line on stderr, sign-ups only register the container."""
         return self.spark.sql(
-            """
-            SELECT CAST(user_id AS STRING) AS job_id, event_type AS container_id, event_id AS seq, ts,
+            f"""
+            SELECT {self._EVENT_KEYS[key]} AS job_id, event_type AS container_id, event_id AS seq, ts,
               CASE event_type
                 WHEN 'signup' THEN NULL
                 WHEN 'error' THEN array(
                   named_struct('timestamp', ts, 'message', props, 'output_stream', 'stdout'),
                   named_struct('timestamp', ts, 'message', props, 'output_stream', 'stderr'))
                 ELSE array(named_struct('timestamp', ts, 'message', props, 'output_stream', 'stdout')) END AS logs
-            FROM {events}
+            FROM {{events}}
             """,
             events=self.events(),
         )
@@ -85,6 +93,13 @@ class Views:
             events=self.events(),
         )
 
+    def job_facts(self) -> DataFrame:
+        """Name and step count of some of the jobs seen in events."""
+        bought = self.status_events().where(F.col("status") == "Stopped")
+        return bought.groupBy("job_id").agg(
+            F.concat(F.lit("pay-"), F.min("seq").cast("string")).alias("name"), F.count(F.lit(1)).alias("step_count")
+        )
+
     # --- orders ----------------------------------------------------------------------------
 
     def jobs(self) -> DataFrame:
