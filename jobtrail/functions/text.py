@@ -34,7 +34,7 @@ def rfc3339(text: Column) -> Column:
     hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
     offset = F.when(zone == "Z", F.lit(0)).when((hours <= 24) & (minutes < 60), hours * 3600 + minutes * 60)
     signed = F.when(zone.startswith("-"), -offset).otherwise(offset)
-    return F.when(text.rlike(_RFC3339), F.timestamp_micros(F.unix_micros(utc) - signed * F.lit(1_000_000)))
+    return F.when(text.rlike(_RFC3339), F.timestamp_micros(F.unix_micros(utc) - signed.cast("bigint") * F.lit(1_000_000)))
 
 
 def rfc3339_nanos(text: Column) -> Column:

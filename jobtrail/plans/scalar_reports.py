@@ -28,14 +28,15 @@ def _(v):
 
 @report(
     "p04_status_from_topic",
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE event_type END AS status,
-         event_id % 4 = 2 AND event_type IN ('Queued') AS valid FROM events""",
+    """SELECT seq, CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN lower(status) ELSE status END AS status, seq % 4 = 3 AS valid
+       FROM status_events""",
+    "status_events",
 )
 def _(v):
-    e = F.col("event_type")
-    topic = F.when(F.col("event_id") % 4 == 0, e).when(F.col("event_id") % 4 == 1, F.concat(e, F.lit("."))).otherwise(F.concat(F.lit("a.b."), e))
-    status = P.status_from_topic(topic)
-    return v.events().select("event_id", status.alias("status"), P.is_valid_status(status).alias("valid"))
+    s, form = F.col("status"), F.col("seq") % 4
+    topic = F.when(form == 0, s).when(form == 1, F.concat(s, F.lit("."))).when(form == 2, F.concat(F.lit("a."), F.lower(s)))
+    status = P.status_from_topic(topic.otherwise(F.concat(F.lit("a.b."), s)))
+    return v.status_events().select("seq", status.alias("status"), P.is_valid_status(status).alias("valid"))
 
 
 @report(
@@ -192,9 +193,6 @@ def _(v):
     return rows.groupBy("image", "cpu_request", "memory_request").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ERR = "concat('pull failed: https://u:p', CAST(event_id AS VARCHAR), '@h/', {body})"
-
-
 @report(
     "p26_failure_reason",
     """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN concat('job timed out after ', event_id % 700 + 1, ' seconds')

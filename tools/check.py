@@ -78,7 +78,7 @@ def main(sf="sf0.001", *prefixes):
         try:
             result, took = compare(spark, con, name, query, sqls.get(name), sf_dir)
         except Exception as e:
-            result, took = f"ERROR {type(e).__name__} {str(e)[:1500]}", 0
+            result, took = f"ERROR {type(e).__name__} {str(e)[:400]}", 0
         bad += not result.startswith(("ok", "rows-only"))
         print(f"{name:32} {took:6.2f}s {result}", flush=True)
     print("bad:", bad)
