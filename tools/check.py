@@ -69,6 +69,7 @@ def compare(spark, con, name, query, sql, sf_dir):
 
 def main(sf="sf0.001", *prefixes):
     sf_dir = f"/root/testdata/{sf}"
+    print("data:", sf_dir, flush=True)
     spark, con = session(), oracle(sf_dir)
     sqls = all_oracle_sql()
     bad = 0
