@@ -177,10 +177,10 @@ def start_split_rejects(
         rows = A.classify_queue(batch, payloads)
         folder = batch_folder(reject_path, batch_id)
         # One write splits the batch, so the join runs once.
-        flagged = rows.withColumn("ok", F.col("reject").isNull())
+        flagged = rows.withColumn("ok", F.col("reject").isNull().cast("int"))
         flagged.write.mode("overwrite").partitionBy("ok").parquet(folder)
         done = batch.sparkSession.read.parquet(folder)
-        done.where("ok").drop("ok", "reject").write.mode("overwrite").parquet(batch_folder(ok_path, batch_id))
+        done.where(F.col("ok") == 1).drop("ok", "reject").write.mode("overwrite").parquet(batch_folder(ok_path, batch_id))
 
     return start(raw, each, checkpoint, "append", trigger)
 

@@ -151,8 +151,10 @@ def _first_per_phase(events: DataFrame) -> DataFrame:
             run = pdf["status"] == "Running"
             ran = run.groupby(pdf["job_id"]).cummax()
             phase = pdf["status"].where(~pdf["status"].isin(S.TERMINAL), ran.map({True: "done", False: "early"}))
-            marked = pdf.assign(p=phase)
-            yield pdf[~marked.duplicated(["job_id", "p"], keep="first")]
+            keep = ~pdf.assign(p=phase).duplicated(["job_id", "p"], keep="first")
+            # The newest row stays too: the watermark is taken after this step and must not lag behind.
+            keep.iloc[-1:] = True
+            yield pdf[keep]
 
     return valid_events(events).select("job_id", "status", "reason", "ts", "seq").mapInPandas(thin, _EVENT)
 
