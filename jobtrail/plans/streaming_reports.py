@@ -153,14 +153,21 @@ def _(v):
     return v.spark.read.parquet(f"{out}/rows")
 
 
-@report("r08_stream_dedup", "SELECT job_id, count(*) AS n FROM (SELECT DISTINCT job_id, seq FROM status_events) GROUP BY job_id", "status_events")
+@report(
+    "r08_stream_dedup",
+    """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+       w AS (SELECT key, rn, seq, ts, ts AS kept, true AS taken FROM r WHERE rn = 1
+         UNION ALL SELECT r.key, r.rn, r.seq, r.ts, CASE WHEN r.ts >= w.kept + INTERVAL 6 HOUR THEN r.ts ELSE w.kept END, r.ts >= w.kept + INTERVAL 6 HOUR
+         FROM w JOIN r ON r.key = w.key AND r.rn = w.rn + 1)
+       SELECT key AS job_id, seq, epoch_us(ts) AS ts FROM w WHERE taken""",
+    recursive=True,
+)
 def _(v):
     out = shared_dir(v.spark, "r08")
-    events = v.status_events().withColumn("message_id", F.col("seq"))
-    twice = events.unionByName(events.where(F.col("seq") % 2 == 0))
-    kept = J.stream_dedup(as_stream(v, twice, "queue", slices=_SLICES), DELAY, "message_id")
+    rows = v.events().select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), "ts")
+    kept = K.stream_dedup(as_stream(v, rows, "queue", slices=_SLICES), 6 * 3600, watermark=DELAY)
     drain(J.start_append(kept, f"{out}/rows", f"{out}/checkpoint", _NOW))
-    return v.spark.read.parquet(f"{out}/rows").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return v.spark.read.parquet(f"{out}/rows")
 
 
 @report(

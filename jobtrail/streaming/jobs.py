@@ -25,11 +25,6 @@ def stream_lifecycle(events: DataFrame) -> DataFrame:
     return L.lifecycle(events)
 
 
-def stream_dedup(queue: DataFrame, gap: str = "1 minute", key: str = "job_id") -> DataFrame:
-    """Drop repeats of a key within ``gap`` of its first row."""
-    return queue.withWatermark("ts", gap).dropDuplicatesWithinWatermark([key])
-
-
 def stream_throughput(finishes: DataFrame, watermark: str = "1 minute", window: str = "1 minute", every: str = "5 seconds") -> DataFrame:
     """Finishes per trailing window (open at its start, closed at its end): window_start, window_end, n."""
     # Windows are closed at the start; a microsecond less turns that around.

@@ -201,3 +201,34 @@ def stream_timeouts(events: DataFrame, jobs: DataFrame, watermark: str = "0 seco
     )
 
 
+# --- duplicate window ----------------------------------------------------------------------
+
+
+def stream_dedup(queue: DataFrame, gap: int = 60, key: str = "job_id", watermark: str = "0 seconds") -> DataFrame:
+    """Drop a row that comes less than ``gap`` seconds after the last accepted row of its key.
+
+    Spark's own ``dropDuplicatesWithinWatermark`` keeps a key until the end of the batch that lets it go and
+    so also drops some rows that come after the window; here the times decide. Queue rows carry ts and seq.
+    """
+    columns = queue.columns
+
+    def one_per_instant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # All that is certain before the shuffle: of rows at one instant only the first can be accepted.
+        for pdf in batches:
+            yield pdf.sort_values(["ts", "seq"], kind="stable").drop_duplicates([key, "ts"], keep="first")
+
+    def accept(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
+        last, taken = state.get[0] if state.exists else None, []
+        for t in _micros(pdf["ts"]):
+            taken.append(last is None or t >= last + gap * 1_000_000)
+            last = int(t) if taken[-1] else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + gap * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pdf.loc[taken, columns]
+
+    rows = queue.mapInPandas(one_per_instant, queue.schema).withWatermark("ts", watermark).groupBy(key)
+    return rows.applyInPandasWithState(accept, queue.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)

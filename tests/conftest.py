@@ -10,23 +10,25 @@ from pyspark.sql import SparkSession
 SF = "/root/testdata/sf0.001"
 
 
+# Made on import: columns at module level need a session.
+SESSION = (
+    SparkSession.builder.master("local[8]")
+    .appName("jobtrail-tests")
+    .config("spark.ui.enabled", "false")
+    .config("spark.ui.showConsoleProgress", "false")
+    .config("spark.sql.shuffle.partitions", "4")
+    .config("spark.driver.memory", "8g")
+    .config("spark.sql.session.timeZone", "UTC")
+    .config("spark.driver.host", "127.0.0.1")
+    .config("spark.driver.bindAddress", "127.0.0.1")
+    .getOrCreate()
+)
+SESSION.sparkContext.setLogLevel("ERROR")
+
+
 @pytest.fixture(scope="session")
 def spark():
-    session = (
-        SparkSession.builder.master("local[8]")
-        .appName("jobtrail-tests")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.bindAddress", "127.0.0.1")
-        .getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    return SESSION
 
 
 @pytest.fixture(scope="session")
