@@ -21,7 +21,9 @@ def _folded(words: str) -> str:
 
 
 # Patterns that decide what is a secret. Written for Java: \s is spelled out because Java's
-# has one more character, and quantifiers are possessive where the next character cannot extend the run.
+# has one more character. So that long texts take linear time, quantifiers are possessive where the next
+# character cannot extend the run, a run of characters is only tried from its start, and a key only where
+# its run is followed by a sign of assignment. None of this changes what matches.
 DEFAULT_KEY_PATTERN = f"(?i)({_folded(KEY_WORDS)})"
 _SCHEME_BEFORE = r"(?=://)(?<=[a-zA-Z][a-zA-Z0-9+.\-]{0,255})"
 _CREDENTIALS_IN_URL = _SCHEME_BEFORE + r"://[^/\t\n\f\r :@]++:[^/\t\n\f\r @]++@"
@@ -29,12 +31,12 @@ _URL_PASSWORD = _SCHEME_BEFORE + r"(://[^/\t\n\f\r :@]++:)([^/\t\n\f\r @]++)(@)"
 _JWT = r"^[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}\z"
 _JWT_INLINE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}"
 _TOKEN = r"^[A-Za-z0-9+/=_\-]+\z"
-_LONG_TOKEN = r"[A-Za-z0-9+/=_\-]{24,}"
+_LONG_TOKEN = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{24,}+"
 _PEM_BLOCK = r"(?s)-----BEGIN[^-]*-----.*?-----END[^-]*-----"
 _BLANK, _WORD = r"[\t\n\f\r ]", "[a-z0-9_.\\-ſ\u212a]"
 _ASSIGNMENT = (
     rf"(?i)((?:^|[\t\n\f\r ;&|(])(?:export{_BLANK}+|[sſ]et{_BLANK}+|-e{_BLANK}+)?"
-    rf"{_WORD}*(?:{_folded(TEXT_WORDS)}){_WORD}*+{_BLANK}*+[:=]{_BLANK}*)([\"']?)([^\t\n\f\r \"';]+)"
+    rf"(?={_WORD}++{_BLANK}*+[:=]){_WORD}*(?:{_folded(TEXT_WORDS)}){_WORD}*+{_BLANK}*+[:=]{_BLANK}*)([\"']?)([^\t\n\f\r \"';]+)"
 )
 _MIN_TOKEN_BYTES = 24
 _MIN_ENTROPY = 3.5

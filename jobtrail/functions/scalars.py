@@ -43,14 +43,12 @@ def first_reason(reasons: Column) -> Column:
 
 # --- resource limits -----------------------------------------------------------------------
 
-_MEMORY = r"(?s)^(.+)(.)\z"
-
 
 def _memory_parts(limit: Column):
-    number = F.regexp_extract(limit, _MEMORY, 1)
+    number = F.substring(limit, F.lit(1), F.length(limit) - 1)
     # A signed base-10 integer; anything else is a bad value.
     value = F.when(number.rlike(r"^[+-]?[0-9]+\z"), number.try_cast("bigint"))
-    unit = F.upper(F.regexp_extract(limit, _MEMORY, 2))
+    unit = F.upper(F.right(limit, F.lit(1)))
     factor = F.when(unit == "G", F.lit(1 << 30)).when(unit == "M", F.lit(1 << 20))
     return value, factor
 
@@ -169,8 +167,11 @@ def empty_map() -> Column:
 
 def overlay(base: Column, over: Column) -> Column:
     """Union of two maps where ``over`` wins, whatever the session's duplicate-key policy is."""
-    base, over = F.coalesce(base, empty_map()), F.coalesce(over, empty_map())
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+    def merge(m: Column) -> Column:
+        return F.map_concat(F.map_filter(m["base"], lambda k, _: ~F.map_contains_key(m["over"], k)), m["over"])
+
+    return let(F.struct(F.coalesce(base, empty_map()).alias("base"), F.coalesce(over, empty_map()).alias("over")), merge)
 
 
 def reserved_env(job_id: Column, job_name: Column, step=None, script_key: str | None = None) -> Column:

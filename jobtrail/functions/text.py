@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 from jobtrail.functions.scalars import let
 
 # The characters with the Unicode White_Space property.
-SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = (
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # A structured application line holds these three fields in this order.
 STRUCTURED_LINE = r'time="[^"]*"[^\n]*level="[^"]*"[^\n]*msg="[^"]*"'
 
-_RFC3339 = r"^(\d{4}-\d{2}-\d{2})T(\d{1,2}):(\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})\z"
+_RFC3339 = r"^(\d{4}-\d{2}-\d{2})T(\d{1,2}):(\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-](?:[01]\d|2[0-4]):[0-5]\d)\z"
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def is_structured(line: Column) -> Column:
@@ -26,15 +29,19 @@ def is_structured(line: Column) -> Column:
 
 def rfc3339(text: Column) -> Column:
     """Instant of an RFC 3339 text, to the microsecond; NULL for anything else."""
-    part = lambda i: F.regexp_extract(text, _RFC3339, i)
-    hour = F.lpad(part(2), 2, "0")
-    fraction = F.rpad(F.substring(part(4), 1, 6), 6, "0")
-    utc = F.concat(part(1), F.lit("T"), hour, F.lit(":"), part(3), F.lit("."), fraction, F.lit("Z")).try_cast("timestamp")
-    zone = part(5)
-    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
-    offset = F.when(zone == "Z", F.lit(0)).when((hours <= 24) & (minutes < 60), hours * 3600 + minutes * 60)
+    # Spark reads all of these texts but for a decimal comma and zones beyond 18 hours.
+    plain = F.translate(text, ",", ".")
+    far = text.rlike(r"[+-](?:18:(?!00)|19|2[0-4]):?[0-5]\d\z")
+    return F.when(text.rlike(_RFC3339), F.when(far, _far_zone(plain)).otherwise(plain.try_cast("timestamp")))
+
+
+def _far_zone(text: Column) -> Column:
+    at = F.length(text) - 5
+    utc = F.concat(F.substring(text, F.lit(1), at), F.lit("Z")).try_cast("timestamp")
+    zone = F.substring(text, at + 1, F.lit(6))
+    offset = F.substring(zone, 2, 2).try_cast("bigint") * 3600 + F.substring(zone, 5, 2).try_cast("bigint") * 60
     signed = F.when(zone.startswith("-"), -offset).otherwise(offset)
-    return F.when(text.rlike(_RFC3339), F.timestamp_micros(F.unix_micros(utc) - signed.cast("bigint") * F.lit(1_000_000)))
+    return F.timestamp_micros(F.unix_micros(utc) - signed * F.lit(1_000_000))
 
 
 def rfc3339_nanos(text: Column) -> Column:
@@ -49,16 +56,21 @@ def parse_line(line: Column, fallback_ts: Column) -> Column:
     ``fallback_ts`` stands in where a line carries no readable time of its own.
     """
 
-    def parsed(parts: Column) -> Column:
-        embedded = F.regexp_replace(F.regexp_replace(F.get(parts["p"], F.lit(1)), r'^time="', ""), r'"\z', "")
-        ts_text = F.when(parts["structured"], embedded).otherwise(F.get(parts["p"], F.lit(0)))
-        # Two pieces are enough for a simple line: everything after the first blank is its message.
-        rest = F.substring(line, F.length(F.get(parts["p"], F.lit(0))) + 2, 1 << 30)
-        ts = rfc3339(ts_text)
-        whole = F.when(parts["structured"], F.size(parts["p"]) < 3).otherwise(ts.isNull())
-        message = F.when(whole, line).when(parts["structured"], F.get(parts["p"], F.lit(2))).otherwise(rest)
-        kind = F.when(whole | ts.isNull(), "fallback").when(parts["structured"], "structured").otherwise("simple")
-        return F.struct(F.coalesce(F.when(~whole, ts), fallback_ts).alias("ts"), message.alias("message"), kind.alias("kind"))
+    def with_time(line_parts: Column) -> Column:
+        pieces, structured = line_parts["p"], line_parts["structured"]
+        embedded = F.regexp_replace(F.get(pieces, F.lit(1)), r'^time="|"\z', "")
+        ts = rfc3339(F.when(structured, embedded).otherwise(F.get(pieces, F.lit(0))))
+        # Without a time, or cut too short, a line is its own message.
+        whole = F.when(structured, F.size(pieces) < 3).otherwise(ts.isNull())
+        return let(F.struct(pieces.alias("p"), structured.alias("structured"), ts.alias("ts"), whole.alias("whole")), entry)
+
+    def entry(x: Column) -> Column:
+        # Of a simple line, everything after the first blank is the message.
+        rest = F.substring(line, F.length(F.get(x["p"], F.lit(0))) + 2, F.length(line))
+        message = F.when(x["whole"], line).when(x["structured"], F.get(x["p"], F.lit(2))).otherwise(rest)
+        kind = F.when(x["whole"] | x["ts"].isNull(), "fallback").when(x["structured"], "structured").otherwise("simple")
+        ts = F.coalesce(F.when(~x["whole"], x["ts"]), fallback_ts)
+        return F.struct(ts.alias("ts"), message.alias("message"), kind.alias("kind"))
 
     pieces = F.split(line, " ", 3)
-    return let(F.struct(pieces.alias("p"), is_structured(line).alias("structured")), parsed)
+    return let(F.struct(pieces.alias("p"), is_structured(line).alias("structured")), with_time)

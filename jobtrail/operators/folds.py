@@ -1,8 +1,8 @@
 """Order-dependent folds: duplicate windows, throttled progress, failure lockouts.
 
 What a row does here depends on what earlier rows of its key did, so a fold walks a key in time order. Keys of
-ordinary size are folded whole with Spark's own array functions. A hot key is cut into time blocks that are
-worked on in parallel:
+ordinary size are spread by hash and walked in sorted partitions, row after row, holding one key's state. A hot
+key is cut into time blocks that are worked on in parallel:
 
 1. Each block is summed up as a function from "earliest time something may happen next" to the same time at
    the block's end. That function is a step function, kept as rows (upto, exit): a time up to ``upto`` leads
@@ -14,7 +14,7 @@ worked on in parallel:
 No task holds more than one block, or the summaries of one group of blocks.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -186,27 +186,35 @@ def _gap_emit(gap: int):
     return emit
 
 
+def _gap_rows(gap: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free = None, 0
+        for pdf in batches:
+            taken = []
+            for k, t in zip(pdf["key"].tolist(), pdf["t"].tolist()):
+                if k != key:
+                    key, free = k, t
+                taken.append(t >= free)
+                if t >= free:
+                    free = t + gap
+            yield pdf[taken]
+
+    return run
+
+
 def greedy_gap(times: DataFrame, gap: int, hot_rows: int = HOT_ROWS, fanout: int = FANOUT, steps: int = BLOCK_STEPS) -> DataFrame:
     """Of the times ``t`` (microseconds) of each ``key``, the first and then each one ``gap`` or more after the
     last one taken. Input and output: key, t."""
     distinct = times.groupBy("key", "t").agg(F.count(F.lit(1)).alias("_n")).select("key", "t")
     cold, hot = split_hot(distinct, "key", hot_rows)
-
-    def take(acc: Column, row: Column) -> Column:
-        return F.when(
-            (F.size(acc) == 0) | (row["t"] >= F.element_at(acc, -1) + F.lit(gap)), F.concat(acc, F.array(row["t"]))
-        ).otherwise(acc)
-
-    # Only times taken are kept, so the list grows with the key's time span, not its rows.
-    kept = ordered_fold(cold, ["key"], ["t"], F.array().cast("array<bigint>"), take, lambda acc: acc)
-    kept = kept.select("key", F.explode("result").alias("t"))
+    key_type = times.schema["key"].dataType.simpleString()
+    out = f"key {key_type}, t long"
+    kept = cold.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_gap_rows(gap), out)
     length = gap * steps
     blocks = hot.withColumn("b", F.floor(F.col("t") / F.lit(length)))
-    key_type = times.schema["key"].dataType.simpleString()
-    fold = _blocks_fold(
-        blocks, key_type, _gap_summary(gap, length), _gap_emit(gap), f"key {key_type}, t long", length, gap, fanout
+    return kept.unionByName(
+        _blocks_fold(blocks, key_type, _gap_summary(gap, length), _gap_emit(gap), out, length, gap, fanout)
     )
-    return kept.unionByName(fold)
 
 
 def dedup_within(df: DataFrame, key: str, ts: str, gap: int, seq: str = "seq", **tuning) -> DataFrame:
@@ -361,7 +369,8 @@ def lockout_report(
     gap = window * 1_000_000
     rows = attempts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq", "ok")
     cold, hot = split_hot(rows, "key", hot_rows)
-    locks = _fold_locks(cold, max_failures, gap).unionByName(_hot_locks(hot, max_failures, gap, fanout, steps))
+    parts = _fold_locks(cold, max_failures, gap).unionByName(_hot_locks(hot, max_failures, gap, fanout, steps))
+    locks = parts.groupBy("key", "until").agg(F.sum("refused").alias("refused"))
     return locks.select(
         "key",
         F.timestamp_micros(F.col("until") - F.lit(gap)).alias("locked_from"),
@@ -370,34 +379,33 @@ def lockout_report(
     )
 
 
-def _fold_locks(rows: DataFrame, max_failures: int, gap: int) -> DataFrame:
-    zero = F.struct(
-        F.lit(0).alias("n"),
-        F.lit(0).cast("bigint").alias("until"),
-        F.array().cast("array<struct<until: bigint, refused: bigint>>").alias("locks"),
-    )
+def _lock_rows(max_failures: int, gap: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, until = None, 0, 0
+        for pdf in batches:
+            out = []
+            for k, t, ok in zip(pdf["key"].tolist(), pdf["t"].tolist(), pdf["ok"].tolist()):
+                if k != key:
+                    key, n, until = k, 0, 0
+                if n >= max_failures and t < until:
+                    out.append((k, until, 1))
+                elif ok:
+                    n = 0
+                else:
+                    n = 1 if n == 0 or t > until else n + 1
+                    until = t + gap
+                    if n >= max_failures:
+                        out.append((k, until, 0))
+            yield pd.DataFrame(out, columns=["key", "until", "refused"])
+
+    return run
 
-    def state(n: Column, until: Column, locks: Column) -> Column:
-        return F.struct(n.alias("n"), until.alias("until"), locks.alias("locks"))
 
-    def merge(s: Column, a: Column) -> Column:
-        locked = (s["n"] >= max_failures) & (a["t"] < s["until"])
-        top = F.element_at(s["locks"], -1)
-        refused = F.concat(
-            F.slice(s["locks"], F.lit(1), F.size(s["locks"]) - 1),
-            F.array(F.struct(top["until"].alias("until"), (top["refused"] + 1).alias("refused"))),
-        )
-        n = F.when((s["n"] == 0) | (a["t"] > s["until"]), F.lit(1)).otherwise(s["n"] + 1)
-        until = a["t"] + F.lit(gap)
-        new = F.concat(s["locks"], F.array(F.struct(until.alias("until"), F.lit(0).cast("bigint").alias("refused"))))
-        return (
-            F.when(locked, state(s["n"], s["until"], refused))
-            .when(a["ok"], state(F.lit(0), s["until"], s["locks"]))
-            .otherwise(state(n, until, F.when(n >= max_failures, new).otherwise(s["locks"])))
-        )
-
-    folded = ordered_fold(rows, ["key"], ["t", "seq"], zero, merge, lambda s: s["locks"], ["ok"])
-    return folded.select("key", F.inline("result").alias("until", "refused"))
+def _fold_locks(rows: DataFrame, max_failures: int, gap: int) -> DataFrame:
+    """(key, until, refused) rows, to be summed up."""
+    key_type = rows.schema["key"].dataType.simpleString()
+    walk = rows.repartition("key").sortWithinPartitions("key", "t", "seq")
+    return walk.mapInPandas(_lock_rows(max_failures, gap), f"key {key_type}, until long, refused long")
 
 
 def _hot_locks(rows: DataFrame, max_failures: int, gap: int, fanout: int, steps: int) -> DataFrame:
@@ -415,7 +423,7 @@ def _hot_locks(rows: DataFrame, max_failures: int, gap: int, fanout: int, steps:
     )
     spread = rows.withColumn("b", F.explode(copies))
     key_type = rows.schema["key"].dataType.simpleString()
-    locks = _blocks_fold(
+    return _blocks_fold(
         spread,
         key_type,
         _lock_summary(max_failures, gap, length),
@@ -425,4 +433,3 @@ def _hot_locks(rows: DataFrame, max_failures: int, gap: int, fanout: int, steps:
         max_failures * gap,
         fanout,
     )
-    return locks.groupBy("key", "until").agg(F.sum("refused").alias("refused"))
