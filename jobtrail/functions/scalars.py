@@ -46,8 +46,9 @@ def first_reason(reasons: Column) -> Column:
 
 def _memory_parts(limit: Column):
     number = F.substring(limit, F.lit(1), F.length(limit) - 1)
-    # A signed base-10 integer; anything else is a bad value.
-    value = F.when(number.rlike(r"^[+-]?[0-9]+\z"), number.try_cast("bigint"))
+    # A signed base-10 integer; a cast alone would also take blanks and decimals.
+    plain = F.translate(number, "0123456789", "").isin("", "+", "-")
+    value = F.when(plain, number.try_cast("bigint"))
     unit = F.upper(F.right(limit, F.lit(1)))
     factor = F.when(unit == "G", F.lit(1 << 30)).when(unit == "M", F.lit(1 << 20))
     return value, factor
@@ -98,63 +99,75 @@ _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 _BAD_ESCAPE = r"%(?![0-9a-fA-F]{2})"
 
 
-def _url_parts(url: Column):
-    """(text before the fragment, fragment, scheme, text after the scheme, authority)."""
+def _url_parts(url: Column) -> Column:
+    """struct(base, fragment, scheme, rest, path, authority, host); base is the text before the fragment."""
     base = F.substring_index(url, "#", 1)
     fragment = F.regexp_extract(url, r"(?s)^[^#]*#(.*)\z", 1)
-    scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
-    rest = F.when(scheme != "", F.regexp_replace(base, _SCHEME, "")).otherwise(base)
-    authority = F.regexp_extract(F.regexp_extract(rest, r"(?s)^([^?]*)", 1), r"(?s)^//([^/]*)", 1)
-    return base, fragment, scheme, rest, authority
-
-
-def _unparseable(url: Column) -> Column:
-    base, fragment, scheme, rest, authority = _url_parts(url)
-    path = F.regexp_extract(rest, r"(?s)^([^?]*)", 1)
-    userinfo = F.regexp_extract(authority, r"(?s)^(.*)@", 1)
-    host = F.regexp_extract(authority, r"(?s)^(?:.*@)?([^@]*)\z", 1)
-    hostname = F.regexp_replace(host, r"\A\[[^\]]*\]", "")
+
+    def after_scheme(b: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(b, _SCHEME, 1))
+        return let(F.struct(b.alias("base"), scheme.alias("scheme")), with_rest)
+
+    def with_rest(x: Column) -> Column:
+        rest = F.substring(x["base"], F.when(x["scheme"] != "", F.length(x["scheme"]) + 2).otherwise(1), F.length(x["base"]))
+        return let(F.struct(x["base"].alias("base"), x["scheme"].alias("scheme"), rest.alias("rest")), with_host)
+
+    def with_host(x: Column) -> Column:
+        path = F.substring_index(x["rest"], "?", 1)
+        authority = F.regexp_extract(path, r"(?s)^//([^/]*)", 1)
+        fields = {"base": x["base"], "fragment": fragment, "scheme": x["scheme"], "rest": x["rest"], "path": path}
+        fields |= {"authority": authority, "host": F.substring_index(authority, "@", -1)}
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    return let(base, after_scheme)
+
+
+def _unparseable(u: Column) -> Column:
+    userinfo = F.regexp_extract(u["authority"], r"(?s)^(.*)@", 1)
+    hostname = F.regexp_replace(u["host"], r"\A\[[^\]]*\]", "")
     return (
-        base.rlike(r"[\x00-\x1f\x7f]")
-        | base.startswith(":")
+        u["base"].rlike(r"[\x00-\x1f\x7f]")
+        | u["base"].startswith(":")
         # A first path segment that holds a colon is taken for a broken scheme.
-        | ((scheme == "") & path.rlike(r"^[^/]*:") & ~path.startswith("/"))
-        | path.rlike(_BAD_ESCAPE)
-        | fragment.rlike(_BAD_ESCAPE)
+        | ((u["scheme"] == "") & u["path"].rlike(r"^[^/]*:") & ~u["path"].startswith("/"))
+        | u["path"].rlike(_BAD_ESCAPE)
+        | u["fragment"].rlike(_BAD_ESCAPE)
         | userinfo.rlike(r"[^A-Za-z0-9\-._:~!$&'()*+,;=%@]")
         | hostname.rlike(r"[\x20{}|\\^`%/?#]")
-        | (host.startswith("[") & ~host.contains("]"))
+        | (u["host"].startswith("[") & ~u["host"].contains("]"))
         | hostname.rlike(r":(?!\d*\z)")
     )
 
 
 def callback_url_error(url: Column) -> Column:
     """NULL, or why ``url`` is no absolute http(s) URL with a host."""
-    _, _, scheme, _, authority = _url_parts(url)
-    host = F.regexp_extract(authority, r"(?s)^(?:.*@)?([^@]*)\z", 1)
-    return (
-        F.when(_unparseable(url), "callback URL is not parseable")
-        .when(scheme == "", "callback URL must be absolute")
-        .when(~scheme.isin("http", "https"), "callback URL scheme must be http or https")
-        .when(host == "", "callback URL must include a host")
-    )
+
+    def error(u: Column) -> Column:
+        return (
+            F.when(_unparseable(u), "callback URL is not parseable")
+            .when(u["scheme"] == "", "callback URL must be absolute")
+            .when(~u["scheme"].isin("http", "https"), "callback URL scheme must be http or https")
+            .when(u["host"] == "", "callback URL must include a host")
+        )
+
+    return let(_url_parts(url), error)
 
 
 def callback_host(url: Column) -> Column:
-    _, _, _, _, authority = _url_parts(url)
-    return F.regexp_extract(authority, r"(?s)^(?:.*@)?([^@]*)\z", 1)
+    return _url_parts(url)["host"]
 
 
 def sanitize_callback_url(url: Column) -> Column:
     """Drop userinfo, query and fragment; leave a broken URL as it is."""
-    base, _, scheme, rest, _ = _url_parts(url)
-    # A bare trailing "?" is not a query and stays.
-    bare = F.when(rest.rlike(r"(?s)^[^?]*\?\z"), F.lit("?")).otherwise(F.lit(""))
-    kept = F.concat(F.substring_index(rest, "?", 1), bare)
-    clean = F.regexp_replace(kept, r"(?s)^//[^/]*@", "//")
-    return F.when(_unparseable(url), url).otherwise(
-        F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), clean)
-    )
+
+    def clean(u: Column) -> Column:
+        # A bare trailing "?" is not a query and stays.
+        bare = F.when(u["rest"].rlike(r"(?s)^[^?]*\?\z"), F.lit("?")).otherwise(F.lit(""))
+        scheme = F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit(":"))).otherwise(F.lit(""))
+        kept = F.regexp_replace(F.concat(u["path"], bare), r"(?s)^//[^/]*@", "//")
+        return F.when(_unparseable(u), url).otherwise(F.concat(scheme, kept))
+
+    return let(_url_parts(url), clean)
 
 
 # --- environments and maps -----------------------------------------------------------------

@@ -212,16 +212,18 @@ def env_report(jobs: DataFrame, script_key: str | None = None) -> DataFrame:
     """One row per (job, step, variable) with its final value and where it comes from."""
     steps = jobs.select(F.col("id").alias("job_id"), "name", "metadata", F.explode("steps").alias("step"))
     reserved = P.reserved_env(F.col("job_id"), F.col("name"), F.col("step"), script_key)
-    env = P.effective_env(F.col("metadata"), F.col("step.metadata"), reserved)
-    rows = steps.select(
-        "job_id", F.col("step.id").alias("step_id"), "step.metadata", reserved.alias("_reserved"), F.inline(P.env_rows(env)).alias("key", "value")
-    )
-    source = (
-        F.when(F.map_contains_key("_reserved", F.col("key")), "reserved")
-        .when(F.map_contains_key(F.coalesce("metadata", P.empty_map()), F.col("key")), "step")
-        .otherwise("job")
-    )
-    return rows.select("job_id", "step_id", "key", "value", source.alias("source"))
+    maps = F.struct(F.col("metadata").alias("job"), F.col("step.metadata").alias("step"), reserved.alias("fixed"))
+
+    def rows(m: Column) -> Column:
+        source = lambda key: (
+            F.when(F.map_contains_key(m["fixed"], key), "reserved")
+            .when(F.map_contains_key(F.coalesce(m["step"], P.empty_map()), key), "step")
+            .otherwise("job")
+        )
+        entries = P.env_rows(P.effective_env(m["job"], m["step"], m["fixed"]))
+        return F.transform(entries, lambda e: F.struct(e["name"].alias("key"), e["value"].alias("value"), source(e["name"]).alias("source")))
+
+    return steps.select("job_id", F.col("step.id").alias("step_id"), F.inline(P.let(maps, rows)))
 
 
 def job_spec_rows(jobs: DataFrame, namespace: str, priority_key: str = "priority", labels: dict[str, str] | None = None) -> DataFrame:

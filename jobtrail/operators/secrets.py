@@ -30,7 +30,9 @@ def secret_scan(jobs: DataFrame, mode: str = "smart", key_pattern: str | None =
     maps = jobs.select(F.col("id").alias("job_id"), F.inline(F.concat(F.array(job_level), step_level)))
     entries = maps.select("job_id", "step_id", F.explode("metadata").alias("key", "value"))
     rule = R.masking_rule(F.col("key"), F.col("value"), mode, key_pattern)
-    return entries.select("job_id", "step_id", "key", rule.alias("rule")).where(F.col("rule").isNotNull())
+    # A filter on the rule would be pushed down and work it out twice; exploding an array does not.
+    fired = F.explode(F.array_compact(F.array(rule)))
+    return entries.select("job_id", "step_id", "key", fired.alias("rule"))
 
 
 def secret_counts(scan: DataFrame) -> DataFrame:

@@ -59,7 +59,9 @@ def read_log_batches(raw: DataFrame, column: str = "value") -> DataFrame:
     """JSON messages (value, seq) to log batches; undecodable ones and those without ids are dropped."""
     batch = F.from_json(column, S.LOG_BATCH, {"mode": "PERMISSIVE"})
     keep = [c for c in raw.columns if c != column]
-    return valid_batches(raw.withColumn("_b", batch).select(*keep, "_b.*"))
+    # Filtering inside the array decodes each message once; a filter on the rows would be pushed below it.
+    valid = F.filter(F.array(batch), lambda b: (b["job_id"] != "") & (b["container_id"] != ""))
+    return raw.select(*keep, F.inline(valid))
 
 
 def read_raw_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
