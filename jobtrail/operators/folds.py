@@ -28,7 +28,7 @@ HOT_ROWS = 1_000_000
 # Blocks per group, and levels of grouping, of a hot key.
 FANOUT, LEVELS = 64, 2
 # Steps of ``gap`` per block.
-BLOCK_STEPS = 64
+BLOCK_STEPS = 256
 
 # "Any time": nothing holds the next event back.
 FREE = np.iinfo(np.int64).min
@@ -69,6 +69,13 @@ def _apply(upto: np.ndarray, exit_: np.ndarray, u):
     return np.where(at < len(upto), exit_[np.minimum(at, len(upto) - 1)], u)
 
 
+def _chain_ends(to: np.ndarray) -> np.ndarray:
+    """Where each chain of steps ``to`` ends; an end points to itself. Every round doubles the stride."""
+    while not np.array_equal(further := to[to], to):
+        to = further
+    return to
+
+
 def _compress(upto: np.ndarray, exit_: np.ndarray):
     """Neighbouring steps with one exit become one."""
     if len(upto) == 0:
@@ -164,10 +171,7 @@ def _gap_summary(gap: int, length: int):
         ts = np.unique(pdf["t"].to_numpy())
         n = len(ts)
         after = np.searchsorted(ts, ts + gap, "left")
-        last, cur = np.arange(n), after.copy()
-        while (live := cur < n).any():
-            last[live] = cur[live]
-            cur[live] = after[cur[live]]
+        last = _chain_ends(np.where(after < n, after, np.arange(n)))
         k = np.searchsorted(ts, int(block) * length + gap, "left") + 1
         return _steps(key, block, *_compress(ts[:k], ts[last[:k]] + gap))
 
@@ -296,11 +300,8 @@ def _lock_summary(m: int, window: int, length: int):
         done = (u == FREE) | (r >= a.hi)
         safe = np.minimum(r, a.hi - 1)
         exact = (a.t[safe] == u) & a.failed[safe]
-        to = np.where(done, -1, safe - a.lo + np.where(exact, n, 0))
-        exit_, cur = u.copy(), to.copy()
-        while (live := cur >= 0).any():
-            exit_[live] = u[cur[live]]
-            cur[live] = to[cur[live]]
+        to = np.where(done, np.arange(2 * n), safe - a.lo + np.where(exact, n, 0))
+        exit_ = u[_chain_ends(to)]
         first = a.nxt[a.lo]
         free_exit = exit_[first - a.lo] if first < a.hi else FREE
         reach = int(block) * length + m * window
