@@ -7,6 +7,9 @@ from jobtrail import schemas as S
 from jobtrail.functions import scalars as P
 
 
+# The error texts of the checks below are what submitters are shown.
+
+
 def step_error(step) -> Column:
     """First error of one step, or NULL. ``step`` offers the step fields by name."""
     limit, swap = F.coalesce(step["memory_limit"], F.lit("")), F.coalesce(step["memory_swap"], F.lit(""))

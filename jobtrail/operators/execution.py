@@ -54,6 +54,7 @@ def merge_container_states(current: DataFrame, observed: DataFrame) -> DataFrame
 
 def expected_containers(steps: DataFrame, finalizer: str = "buildjob-finalizer") -> DataFrame:
     """The rows a new job starts with: one pending container per step and one finalizer."""
+    # The names of step containers and of the finalizer.
     fresh = [F.lit("Pending").alias("state"), F.lit(False).alias("logs_published")]
     per_step = steps.select(
         "job_id", F.concat(F.lit("step-"), F.col("step_id").cast("string")).alias("name"), "step_id", *fresh

@@ -274,9 +274,15 @@ def flush_expired(entries: DataFrame, events: DataFrame, as_of: Column, retentio
 
 
 def job_logs(coalesced: DataFrame, job_id: str) -> DataFrame:
+    """The containers of one job; none for an unknown job."""
     return coalesced.where(F.col("job_id") == job_id)
 
 
+def requested_logs(coalesced: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same for a table of job ids. An unknown job answers with one row without a container."""
+    return requests.select("job_id").distinct().join(coalesced, "job_id", "left")
+
+
 def since(entries: DataFrame, offsets: DataFrame) -> DataFrame:
     """Entries at or after their container's saved offset; all of them where none is saved."""
     saved = offsets.select(*CONTAINER, F.col("offset_ts"))

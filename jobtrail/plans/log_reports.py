@@ -217,9 +217,16 @@ def _(v):
     return G.log_tail(v.log_batches(), 12, 5, block=2000)
 
 
-@report("s06_job_logs", f"SELECT job_id, slot, container_id, lines FROM ({_COALESCED}) WHERE job_id = '7'", "slots", "batch_entries")
+@report(
+    "s06_job_logs",
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS job_id, slot, container_id, lines FROM customer
+        LEFT JOIN ({_COALESCED}) l ON l.job_id = CAST(c_custkey AS VARCHAR)""",
+    "slots",
+    "batch_entries",
+)
 def _(v):
-    logs = G.job_logs(G.coalesce_logs(v.log_batches(), 5), "7")
+    requests = v.table("customer").select(F.col("c_custkey").cast("string").alias("job_id"))
+    logs = G.requested_logs(G.coalesce_logs(v.log_batches(), 5), requests)
     return logs.select("job_id", "slot", "container_id", _lines(F.col("entries")).alias("lines"))
 
 

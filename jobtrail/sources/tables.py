@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from jobtrail import schemas as S
 from jobtrail.functions import scalars as P
+from jobtrail.operators import ordered
 from jobtrail.operators.admission import undecodable
 from jobtrail.operators.lifecycle import seconds, valid_events
 from jobtrail.operators.logs import valid_batches
@@ -67,15 +68,25 @@ def read_log_batches(raw: DataFrame, column: str = "value") -> DataFrame:
 def read_raw_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Container text laid out as ``<path>/job_id=…/container_id=…/stream=…/file``.
 
-    Lines of a batch read are numbered inside their file, so (line_no) is the order within a stream; a
-    streaming read has no line numbers, and order comes from the message's own time.
+    A batch read numbers the lines of a stream over its files in name order. Large files are read in splits:
+    a line's place is its split and its place in there, and ``numbered`` makes line numbers of it. A streaming
+    read has no line numbers; there, order comes from the message's own time.
     """
+    ids = "job_id string, container_id string, stream string"
+    # Only a newline ends a line; a carriage return may be part of one.
+    reader = _reader(spark, stream).schema(f"value string, {ids}").option("lineSep", "\n")
+    keys = ["job_id", "container_id", "stream"]
     if stream:
-        lines = spark.readStream.schema("value string, job_id string, container_id string, stream string").text(path)
-        return lines.select("job_id", "container_id", "stream", F.col("value").alias("line"))
-    files = spark.read.option("wholetext", True).text(path)
-    rows = files.select("job_id", "container_id", "stream", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return rows.withColumns({c: F.col(c).cast("string") for c in ("job_id", "container_id", "stream")})
+        return reader.text(path).select(*keys, F.col("value").alias("line"))
+    lines = reader.text(path).select(
+        *keys,
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    numbered = ordered.numbered(lines, keys, ["_file", "_split", "_at"], [F.col("_file"), F.col("_split")], "line_no")
+    return numbered.select(*keys, (F.col("line_no") - 1).alias("line_no"), "line")
 
 
 def split_lines(docs: DataFrame, column: str, *keep: str) -> DataFrame:

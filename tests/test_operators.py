@@ -376,6 +376,29 @@ def test_container_text(spark, tmp_path):
     assert [(e.message, e.output_stream) for e in entries] == [("first line", "stdout"), ("second line", "stdout"), ("third", "stderr")]
 
 
+def test_large_container_text_is_read_in_splits(spark, tmp_path):
+    folder = tmp_path / "job_id=1" / "container_id=c" / "stream=stdout"
+    folder.mkdir(parents=True)
+    (folder / "a.log").write_text("".join(f"line {i}\rsame line\n" for i in range(5000)))
+    (folder / "b.log").write_text("after a\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        lines = T.read_raw_lines(spark, str(tmp_path))
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+        got = [(r.line_no, r.line) for r in lines.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [(i, f"line {i}\rsame line") for i in range(5000)] + [(5000, "after a")]
+
+
+def test_unknown_job_has_no_logs(spark):
+    boxes = G.coalesce_logs(batches(spark, ("c1", ["a"])))
+    assert G.job_logs(boxes, "nobody").count() == 0
+    asked = G.requested_logs(boxes, spark.createDataFrame([("j",), ("nobody",)], "job_id string"))
+    assert {(r.job_id, r.container_id) for r in asked.collect()} == {("j", "c1"), ("nobody", None)}
+
+
 def test_upsert_is_idempotent(spark):
     schema = "job_id string, version long, name string"
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], schema)
