@@ -142,8 +142,8 @@ def stream_completions(events: DataFrame, progress: DataFrame | None = None, wat
 
 
 def _first_per_phase(events: DataFrame) -> DataFrame:
-    """Of each Arrow batch keep what can decide a completion: a job's first event, first Running and the
-    first end after it."""
+    """Of each Arrow batch keep what can decide a completion: a job's first event, first Running, the
+    first end after it, and all ends without a Running before them in the batch."""
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,6 +152,8 @@ def _first_per_phase(events: DataFrame) -> DataFrame:
             ran = run.groupby(pdf["job_id"]).cummax()
             phase = pdf["status"].where(~pdf["status"].isin(S.TERMINAL), ran.map({True: "done", False: "early"}))
             keep = ~pdf.assign(p=phase).duplicated(["job_id", "p"], keep="first")
+            # The Running before these ends may be in another batch, so any of them may decide.
+            keep |= phase == "early"
             # The newest row stays too: the watermark is taken after this step and must not lag behind.
             keep.iloc[-1:] = True
             yield pdf[keep]
