@@ -5,11 +5,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import mixing, quality, sharding
+from jobtrail.llm import bpe, linededup, mixing, quality, sharding, topk
 from jobtrail.llm.common import materialised, n_words, table
 from jobtrail.llm.queries_sql import SQL
 
 SHARDS = 24
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
+    return encoded.select("doc_id", *bpe.digests(encoded, vocabulary))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = linededup.dedup_lines(docs)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +34,12 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     measured = materialised(quality.measure(docs).drop("text"))
@@ -33,7 +55,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_shards": op5_shards,
+    "op6_top_k": op6_top_k,
     "op7_quality_rules": op7_quality_rules,
     "op10_mix": op10_mix,
 }

@@ -3,6 +3,29 @@
 WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = {
+    "op4_line_dedup": """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+e AS (SELECT * FROM l WHERE length(trim(line, ' ')) >= 20),
+d AS (SELECT line, min((doc_id, no)) AS first, length(any_value(line)) AS n FROM e GROUP BY line),
+k AS (SELECT d.*, m, 0 AS side, left(line, m // 2) AS part FROM d, LATERAL (SELECT unnest([n - 1, n]) AS m)
+  UNION ALL SELECT d.*, m, 1, right(line, m - m // 2) FROM d, LATERAL (SELECT unnest([n - 1, n]) AS m)),
+near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.first < a.first
+  WHERE levenshtein(a.line, b.line) <= 1),
+x AS (SELECT l.doc_id, l.no, l.line, length(trim(l.line, ' ')) >= 20 AND (near.line IS NOT NULL OR (l.doc_id, l.no) > d.first) AS gone
+  FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN near ON l.line = near.line),
+r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '') AS kept
+  FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN r USING (doc_id)
+""",
+    "op6_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op7_quality_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
