@@ -3,6 +3,22 @@
 WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS s FROM d WHERE length(h) >= 100)),
+m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY x) < doc_id AS hit FROM w),
+e AS (SELECT doc_id, s AS pos, 1 AS step FROM m WHERE hit UNION ALL SELECT doc_id, s + 50, -1 FROM m WHERE hit),
+t AS (SELECT doc_id, pos, sum(step) AS step FROM e GROUP BY ALL),
+c AS (SELECT doc_id, pos, sum(step) OVER (PARTITION BY doc_id ORDER BY pos) AS open, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS until FROM t),
+g AS (SELECT doc_id, pos, until, coalesce(lag(open) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS was, open FROM c),
+z AS (SELECT doc_id, CAST(sum(until - pos) FILTER (open > 0) AS BIGINT) AS n_removed, count(*) FILTER (open > 0 AND was = 0) AS n_spans FROM g GROUP BY doc_id),
+stay AS (SELECT doc_id, pos, until FROM c WHERE open = 0 AND until IS NOT NULL
+  UNION ALL SELECT doc_id, 0, min(pos) FROM c GROUP BY doc_id
+  UNION ALL SELECT doc_id, max(pos), NULL FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * pos + 1, 2 * (coalesce(until, length(h) // 2) - pos)), '' ORDER BY pos) AS kept FROM stay JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
     "op3_minhash": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 x AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d),
