@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import bpe, linededup, minhash, mixing, quality, sharding, suffix, topk
+from jobtrail.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, suffix, topk, toxicity
 from jobtrail.llm.common import materialised, n_words, table
 from jobtrail.llm.queries_sql import SQL
 
@@ -58,6 +58,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured).select(*columns)
 
 
+def _fold(parts: int):
+    """Remainder of the checksum of the id as text; a row without an id has that of an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
+    labels = labels.where(_fold(4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    scored = docs.select("doc_id", (_fold(4) == 2).alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(_fold(5) != 0))
+    named = langid.identify(docs.select("doc_id", "text", (_fold(5) == 0).alias("held_out")), model)
+    return named.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = materialised(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("row_hash")))
@@ -73,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shards": op5_shards,
     "op6_top_k": op6_top_k,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_mix": op10_mix,
 }
 
