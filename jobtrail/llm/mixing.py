@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import materialised
+from jobtrail.llm.common import materialised, n_words
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -175,6 +175,18 @@ def mix(rows: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: in
     return joined.withColumn("copies", copies).select(*rows.columns, "source_size", "target", "rate", "copies")
 
 
-def repeated(rows: DataFrame, copies: str = "copies") -> DataFrame:
-    """Each row as often as its ``copies`` says."""
-    return rows.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).drop(copies)
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """The input's rows, each as often as the mix takes it, in no order. ``docs`` has a ``doc_id``.
+
+    The mix is worked out on slim rows; whole rows are shuffled once, to meet their number of copies. Rows equal in
+    doc_id and text share their copies out among themselves.
+    """
+    key = F.xxhash64("doc_id", text)
+    slim = materialised(docs.select(F.col("doc_id").alias("__d"), key.alias("row_hash"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    copies = mix(slim, weights, max_copies).groupBy("__d", "row_hash").agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__m"))
+    copies = copies.where("__c > 0").withColumnRenamed("row_hash", "__h")
+    joined = docs.withColumn("__key", key).join(copies, _same("doc_id", "__d") & (F.col("__key") == F.col("__h")))
+    turn = F.row_number().over(Window.partitionBy("__d", "__h").orderBy("__h"))
+    own = F.floor(F.col("__c") / F.col("__m")) + (F.col("__turn") <= F.col("__c") % F.col("__m")).cast("long")
+    times = joined.withColumn("__turn", turn).withColumn("__times", F.explode(F.array_repeat(F.lit(1), own.cast("int"))))
+    return times.select(*docs.columns)
