@@ -25,14 +25,15 @@ def _folded(words: str) -> str:
 # character cannot extend the run, a run of characters is only tried from its start, and a key only where
 # its run is followed by a sign of assignment. None of this changes what matches.
 DEFAULT_KEY_PATTERN = f"(?i)({_folded(KEY_WORDS)})"
-_SCHEME_BEFORE = r"(?=://)(?<=[a-zA-Z][a-zA-Z0-9+.\-]{0,255})"
-_CREDENTIALS_IN_URL = _SCHEME_BEFORE + r"://[^/\t\n\f\r :@]++:[^/\t\n\f\r @]++@"
-_URL_PASSWORD = _SCHEME_BEFORE + r"(://[^/\t\n\f\r :@]++:)([^/\t\n\f\r @]++)(@)"
+_SCHEME = r"(?<![a-zA-Z0-9+.\-])[0-9+.\-]*+[a-zA-Z][a-zA-Z0-9+.\-]*+"
+_CREDENTIALS_IN_URL = _SCHEME + r"://[^/\t\n\f\r :@]++:[^/\t\n\f\r @]++@"
+_URL_PASSWORD = rf"({_SCHEME}://[^/\t\n\f\r :@]++:)([^/\t\n\f\r @]++)(@)"
 _JWT = r"^[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}\z"
 _JWT_INLINE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}"
 _TOKEN = r"^[A-Za-z0-9+/=_\-]+\z"
 _LONG_TOKEN = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{24,}+"
 _PEM_BLOCK = r"(?s)-----BEGIN[^-]*-----.*?-----END[^-]*-----"
+_TO_LAST_END = r"(?s)\A(.*-----END[^-]*-----)"
 _BLANK, _WORD = r"[\t\n\f\r ]", "[a-z0-9_.\\-ſ\u212a]"
 _ASSIGNMENT = (
     rf"(?i)((?:^|[\t\n\f\r ;&|(])(?:export{_BLANK}+|[sſ]et{_BLANK}+|-e{_BLANK}+)?"
@@ -104,10 +105,16 @@ def redact_metadata(meta: Column, mode: str = "smart", key_pattern: str | None =
 
 def redact_text(text: Column) -> Column:
     """Mask URL passwords, sensitive assignments, PEM blocks, JWTs and long high-entropy tokens, in that order."""
-    s = F.regexp_replace(text, _URL_PASSWORD, f"$1{MASK}$3")
+
+    def mask_blocks(clean: Column) -> Column:
+        # Up to the last end line every begin line finds its end; behind it none would, however far it looked.
+        head = F.regexp_extract(clean, _TO_LAST_END, 1)
+        masked = F.concat(F.regexp_replace(head, _PEM_BLOCK, MASK), F.substring(clean, F.length(head) + 1, F.length(clean)))
+        return F.when(clean.contains("-----BEGIN") & clean.contains("-----END"), masked).otherwise(clean)
+
+    s = F.when(text.contains("://"), F.regexp_replace(text, _URL_PASSWORD, f"$1{MASK}$3")).otherwise(text)
     s = F.regexp_replace(s, _ASSIGNMENT, f"$1$2{MASK}")
-    s = F.regexp_replace(s, _PEM_BLOCK, MASK)
-    s = F.regexp_replace(s, _JWT_INLINE, MASK)
+    s = F.regexp_replace(let(s, mask_blocks), _JWT_INLINE, MASK)
 
     def mask_tokens(clean: Column) -> Column:
         gaps = F.split(clean, _LONG_TOKEN, -1)

@@ -11,8 +11,9 @@ SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# A structured application line holds these three fields in this order.
-STRUCTURED_LINE = r'time="[^"]*"[^\n]*level="[^"]*"[^\n]*msg="[^"]*"'
+# A structured application line holds these three fields in this order. The first time, the first
+# level after it and any message after that decide, so each is looked for once: a line of any length takes linear time.
+STRUCTURED_LINE = r'\A(?>(?s:.*?)time="[^"]*+")(?>[^\n]*?level="[^"]*+")[^\n]*?msg="[^"]*+"'
 
 _RFC3339 = r"^(\d{4}-\d{2}-\d{2})T(\d{1,2}):(\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-](?:[01]\d|2[0-4]):[0-5]\d)\z"
 

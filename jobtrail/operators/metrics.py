@@ -29,8 +29,11 @@ def pending(queued: DataFrame, dispatched: DataFrame) -> DataFrame:
 
 
 def queue_depth(queued: DataFrame, dispatched: DataFrame) -> DataFrame:
-    """Waiting jobs per priority; the NULL priority row is the total."""
-    return pending(queued, dispatched).rollup("priority").agg(F.count(F.lit(1)).alias("pending"))
+    """Waiting jobs per priority, zero where none waits; the NULL priority row is the total."""
+    counts = pending(queued, dispatched).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+    values = ", ".join(f"('{p}')" for p in S.PRIORITIES)
+    known = queued.sparkSession.sql(f"SELECT priority, 0L AS n FROM VALUES {values} AS t(priority)")
+    return known.unionByName(counts).rollup("priority").agg(F.sum("n").alias("pending"))
 
 
 def _histogram(summaries: DataFrame, by: Sequence[str], recent: Column) -> DataFrame:

@@ -85,15 +85,29 @@ def _(v):
     return M.status_counts_filled(summary(v).where(F.col("status") != "Stopped"))
 
 
-@report(
-    "a05_queue_depth",
-    "SELECT priority, count(*) AS pending FROM queue WHERE dispatched_at IS NULL GROUP BY ROLLUP (priority)",
-    "queue",
-)
+def _depth(waiting: str) -> str:
+    """Depth per priority and in total; ``waiting`` is a condition on queue rows."""
+    return f"""SELECT priority, CAST(sum(n) AS BIGINT) AS pending FROM (
+          SELECT priority, count(*) FILTER (dispatched_at IS NULL AND {waiting}) AS n FROM queue GROUP BY priority
+          UNION ALL SELECT * FROM (VALUES ('high', 0), ('medium', 0), ('low', 0)) p(priority, n)) GROUP BY ROLLUP (priority)"""
+
+
+@report("a05_queue_depth", _depth("true"), "queue")
 def _(v):
     return M.queue_depth(v.queue(), v.dispatched())
 
 
+@report("a05_queue_depth_one_empty", _depth("priority <> 'medium'"), "queue")
+def _(v):
+    return M.queue_depth(v.queue().where(F.col("priority") != "medium"), v.dispatched())
+
+
+@report("a05_queue_depth_idle", _depth("false"), "queue")
+def _(v):
+    # Every queue row has been dispatched.
+    return M.queue_depth(v.queue(), v.queue().select("job_id"))
+
+
 @report("u04_pending", "SELECT job_id, queue, priority, seq FROM queue WHERE dispatched_at IS NULL", "queue")
 def _(v):
     return M.pending(v.queue(), v.dispatched()).select("job_id", "queue", "priority", "seq")
@@ -122,7 +136,7 @@ def _(v):
     "a08_metrics_snapshot",
     f"""WITH d AS (SELECT {_DURATION_COLS} FROM ({_DURATIONS})), m AS (
       SELECT 'status_count' AS metric, status AS dimension, count(*) AS value FROM summary GROUP BY status
-      UNION ALL SELECT 'queue_depth', coalesce(priority, 'total'), count(*) FROM queue WHERE dispatched_at IS NULL GROUP BY ROLLUP (priority)
+      UNION ALL SELECT 'queue_depth', coalesce(priority, 'total'), pending FROM ({_depth("true")})
       UNION ALL SELECT 'duration_avg_ms', '', avg_ms FROM d UNION ALL SELECT 'duration_p95_ms', '', p95_ms FROM d
       UNION ALL SELECT 'duration_count', '', n FROM d
       UNION ALL SELECT 'throughput_per_min', '', count(*) FROM summary WHERE finished_at > {AS_OF} - INTERVAL 6 HOUR)

@@ -85,7 +85,7 @@ def _(v):
     form = F.col("seq") % 10
     batch = v.log_batches().withColumn("job_id", F.when(form == 1, "").otherwise(F.col("job_id")))
     text = F.to_json(F.struct("job_id", "container_id", "logs"))
-    raw = batch.select("seq", F.when(form == 0, F.substring(text, 2, 1 << 20)).otherwise(text).alias("value"))
+    raw = batch.select("seq", F.when(form == 0, F.substring(text, F.lit(2), F.length(text))).otherwise(text).alias("value"))
     read = T.read_log_batches(raw)
     first = F.try_element_at("logs", F.lit(1))["message"]
     return read.select("job_id", "container_id", "seq", F.coalesce(F.size("logs"), F.lit(0)).alias("entries"), first.alias("message"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobtrail import schemas as S
 from jobtrail.functions import scalars as P
@@ -25,7 +26,7 @@ def read_jobs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame
 
     Broken lines keep their text in ``_corrupt`` and NULL everywhere else.
     """
-    schema = S.SUBMISSION.add(_CORRUPT, "string") if _CORRUPT not in S.SUBMISSION.names else S.SUBMISSION
+    schema = T.StructType([*S.SUBMISSION.fields, T.StructField(_CORRUPT, T.StringType())])
     jobs = _reader(spark, stream).schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
     return jobs.withColumn("priority", F.coalesce("priority", F.lit(S.DEFAULT_PRIORITY)))
 
