@@ -90,7 +90,9 @@ def classify_queue(queue: DataFrame, payloads: DataFrame) -> DataFrame:
     flag is set could not be looked up and is retried.
     """
     keyed = queue.withColumn("job_id", P.canonical_job_id(F.col("raw_id")))
-    joined = keyed.join(payloads, "job_id", "left")
+    # Unreadable ids are all NULL; in the join they would be one key.
+    joined = keyed.where(F.col("job_id").isNotNull()).join(payloads, "job_id", "left")
+    joined = joined.unionByName(keyed.where(F.col("job_id").isNull()), allowMissingColumns=True)
     decoded = F.from_json("value", S.JOB, {"mode": "PERMISSIVE"})
     transient = F.col("lookup_failed") if "lookup_failed" in queue.columns else F.lit(False)
     rows = joined.withColumn("job", decoded)

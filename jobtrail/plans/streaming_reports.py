@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from jobtrail.operators.logs import batch_entries
+from jobtrail.plans.lifecycle_reports import _depth
+from jobtrail.plans.lifecycle_reports import ms as _ms
 from jobtrail.plans.registry import report
-from jobtrail.plans.scalar_reports import _HEX, _raw_id
+from jobtrail.plans.scalar_reports import _DASHED, _HEX, _raw_id
 from jobtrail.session import shared_dir
-from jobtrail.sources.tables import read_status_events
+from jobtrail.sources.tables import read_raw_lines, read_status_events, tail_logs
 from jobtrail.streaming import jobs as J
 from jobtrail.streaming import state as K
 
@@ -19,21 +22,39 @@ _TIMES = (
 )
 
 
-def as_stream(v, df, name, slices=1):
-    """A whole frame as a stream, read file by file.
+#: Key and time of the row that closes a stream: it moves the clock past all others.
+_END, _LAST = "~end", "TIMESTAMP '2030-01-01 00:00:00'"
 
-    The file source takes files by modification time, so time slices are written one after the other. Files
-    of one slice are in no order; ``DELAY`` spans a slice, so that none of its rows counts as late.
+
+def as_stream(v, df, name, slices=_SLICES):
+    """A whole frame as a stream in several micro-batches, with a last row that lets the clock run out.
+
+    The file source takes files by modification time, so time slices are appended one after the other, from a copy
+    of the frame. Files of one slice are in no order; ``DELAY`` spans a slice, so that none of its rows is late.
     """
-    path = shared_dir(v.spark, name)
-    t = F.unix_micros("ts")
-    low, high = df.agg(F.min(t), F.max(t)).first()
+    staged, path = shared_dir(v.spark, f"{name}-rows"), shared_dir(v.spark, name)
+    df.write.parquet(staged)
+    rows, t = v.spark.read.parquet(staged), F.unix_micros("ts")
+    low, high = rows.agg(F.min(t), F.max(t)).first()
     width = (high - low) // slices + 1
     for i in range(slices):
         inside = (t >= low + i * width) & (t < low + (i + 1) * width)
         # Rebalancing sizes the files: one for little data, many for much.
-        df.where(inside).hint("rebalance").write.mode("append").parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(inside).hint("rebalance").write.mode("append").parquet(path)
+    n_files = len(v.spark.read.parquet(path).inputFiles())
+    ends = {f.name: F.lit(_END) if f.name in ("job_id", "raw_id", "value", "container_id") else F.lit(None) for f in df.schema.fields}
+    ends |= {"ts": F.expr(_LAST)} | ({"topic": F.lit("jobs.status.Queued")} if "topic" in df.columns else {})
+    ends |= {"status": F.lit("Queued")} if "status" in df.columns else {}
+    ends |= {"seq": F.lit(0)} if "seq" in df.columns else {}
+    ends |= {"logs": F.expr(f"array(struct({_LAST}, '', 'stdout'))")} if "logs" in df.columns else {}
+    end = v.spark.range(1).select(*[ends[f.name].cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    end.write.mode("append").parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(2, n_files // slices)).parquet(path)
+
+
+def real(df, column="job_id"):
+    """Without what the closing row left behind."""
+    return df.where(F.col(column) != _END)
 
 
 def drain(query):
@@ -49,24 +70,24 @@ def drain(query):
 )
 def _(v):
     out = shared_dir(v.spark, "r01")
-    events = as_stream(v, v.status_events(), "events", slices=_SLICES)
+    events = as_stream(v, v.status_events(), "events")
     drain(J.start_updates(J.stream_lifecycle(events), f"{out}/rows", f"{out}/checkpoint", _NOW))
-    return J.latest(v.spark, f"{out}/rows")
+    return real(J.latest(v.spark, f"{out}/rows"))
 
 
 @report(
     "r02_stream_expiry",
     f"""SELECT job_id, status, reason, {_TIMES},
-          updated_at + CASE WHEN status IN ('Succeeded', 'Failed', 'Stopped') THEN INTERVAL 2 DAY ELSE INTERVAL 3 DAY END
-            < (SELECT max(ts) FROM status_events) - INTERVAL 6 DAY AS is_expired FROM summary""",
+          updated_at + CASE WHEN status IN ('Succeeded', 'Failed', 'Stopped') THEN INTERVAL 2 DAY ELSE INTERVAL 2200 DAY END
+            < TIMESTAMP '2030-01-01' - INTERVAL 6 DAY AS is_expired FROM summary""",
     "summary",
 )
 def _(v):
     out = shared_dir(v.spark, "r02")
-    events = as_stream(v, v.status_events(), "events", slices=_SLICES)
-    summaries = K.stream_lifecycle_expiring(events, DELAY, retention=2 * 86400, stale_ttl=3 * 86400)
+    events = as_stream(v, v.status_events(), "events")
+    summaries = K.stream_lifecycle_expiring(events, DELAY, retention=2 * 86400, stale_ttl=2200 * 86400)
     drain(J.start_updates(summaries, f"{out}/rows", f"{out}/checkpoint", _NOW))
-    return J.latest(v.spark, f"{out}/rows")
+    return real(J.latest(v.spark, f"{out}/rows"))
 
 
 @report(
@@ -80,57 +101,81 @@ def _(v):
     # Every third batch comes twice, as after a second watch.
     batches = v.log_batches()
     twice = batches.unionByName(batches.where(F.col("seq") % 3 == 0))
-    drain(J.start_logs(as_stream(v, twice, "batches", slices=_SLICES), f"{out}/rows", f"{out}/checkpoint", _NOW, DELAY))
-    return v.spark.read.parquet(f"{out}/rows").select("job_id", "container_id", "seq", "pos", "message", "output_stream")
+    drain(J.start_logs(as_stream(v, twice, "batches"), f"{out}/rows", f"{out}/checkpoint", _NOW))
+    return real(J.read_logs(v.spark, f"{out}/rows")).select("job_id", "container_id", "seq", "pos", "message", "output_stream")
 
 
-_ENDED = """(SELECT job_id, min(ts) AS completed_at FROM
-    (SELECT job_id, status, ts, max(CASE WHEN status = 'Running' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS ran
-     FROM status_events) WHERE ran = 1 AND status IN ('Succeeded', 'Failed', 'Stopped') GROUP BY job_id)"""
+_RUNS = """(SELECT job_id, ts AS completed_at FROM
+    (SELECT job_id, status, ts, lag(status) OVER (PARTITION BY job_id ORDER BY ts, seq) AS prev FROM status_events WHERE status <> 'Queued')
+    WHERE status <> 'Running' AND prev = 'Running')"""
+
+
+@report(
+    "r04_stream_completions",
+    f"""SELECT c.job_id, epoch_us(completed_at) AS completed_at, epoch_us(first_at) AS first_at, true AS complete
+        FROM {_RUNS} c JOIN (SELECT job_id, min(ts) AS first_at FROM status_events GROUP BY job_id) f ON f.job_id = c.job_id""",
+    "status_events",
+)
+def _(v):
+    out = shared_dir(v.spark, "r04c")
+    events = as_stream(v, v.status_events(), "events")
+    clock = as_stream(v, v.log_batches("day").select("ts"), "clock")
+    ready = K.stream_completions(events, clock, DELAY)
+    drain(J.start_append(ready, f"{out}/rows", f"{out}/checkpoint", _NOW))
+    return v.spark.read.parquet(f"{out}/rows").select("job_id", "completed_at", "first_at", "complete")
 
 
 @report(
     "r04_stream_documents",
-    f"""SELECT e.job_id, epoch_us(completed_at) AS completed_at, count(DISTINCT s.slot) AS containers,
-          (SELECT count(*) FROM day_batch_entries b WHERE b.job_id = e.job_id) AS entries
-        FROM {_ENDED} e JOIN day_slots s ON s.job_id = e.job_id
-        WHERE completed_at + INTERVAL 1 DAY + INTERVAL 30 SECOND < (SELECT max(ts) FROM status_events) - INTERVAL 6 DAY GROUP BY e.job_id, completed_at""",
+    f"""WITH e AS (SELECT job_id, max(completed_at) AS completed_at FROM {_RUNS} GROUP BY job_id),
+        b AS (SELECT job_id, container_id, string_agg(concat(output_stream, ':', message), '|' ORDER BY seq, pos) AS lines, count(*) AS n FROM day_batch_entries GROUP BY ALL)
+        SELECT e.job_id, epoch_us(completed_at) AS completed_at, s.slot, s.container_id, coalesce(b.n, 0) AS entries, md5(coalesce(b.lines, '')) AS digest
+        FROM e JOIN day_slots s ON s.job_id = e.job_id LEFT JOIN b ON b.job_id = s.job_id AND b.container_id = s.container_id""",
     "status_events",
     "day_slots",
     "day_batch_entries",
 )
 def _(v):
     out = shared_dir(v.spark, "r04")
-    batches = as_stream(v, v.log_batches("day"), "batches", slices=_SLICES)
-    drain(J.start_logs(batches, f"{out}/logs", f"{out}/logs-checkpoint", _NOW, DELAY))
-    events = as_stream(v, v.status_events(), "events", slices=_SLICES)
+    batches = as_stream(v, v.log_batches("day"), "batches")
+    drain(J.start_logs(batches, f"{out}/logs", f"{out}/logs-checkpoint", _NOW))
+    events = as_stream(v, v.status_events(), "events")
     # A day of drain: in this data the log rows of a job run on until midnight.
-    ready = K.stream_completions(events, batches, DELAY, drain=86400 + 30)
+    ready = K.stream_completions(events, J.committed_logs(v.spark, f"{out}/logs"), DELAY, drain=86400 + 30)
     drain(J.start_documents(ready, f"{out}/logs", f"{out}/docs", f"{out}/checkpoint", _NOW))
+    # A job that completes again is written again, in a later batch or with both ends in one.
     docs = J.read_documents(v.spark, f"{out}/docs").select("job_id", "completed_at", F.inline("containers"))
-    return docs.groupBy("job_id", "completed_at").agg(
-        F.count(F.lit(1)).alias("containers"), F.sum(F.size("entries")).alias("entries")
+    last = docs.groupBy("job_id", "slot", "container_id").agg(F.max_by(F.struct("completed_at", "entries"), "completed_at").alias("d"))
+    line = F.transform("d.entries", lambda e: F.concat(e["output_stream"], F.lit(":"), e["message"]))
+    return last.select(
+        "job_id", "d.completed_at", "slot", "container_id", F.size("d.entries").cast("long").alias("entries"), F.md5(F.array_join(line, "|").cast("binary")).alias("digest")
     )
 
 
 @report(
     "r06_stream_metrics",
-    """SELECT 'status_count' AS metric, status AS dimension, count(*) AS value FROM summary,
-         (SELECT max(ts) AS as_of FROM status_events) t
-       WHERE NOT (CASE WHEN status IN ('Succeeded', 'Failed', 'Stopped') THEN updated_at < as_of - INTERVAL 4 DAY ELSE updated_at < as_of - INTERVAL 5 DAY END)
-       GROUP BY status""",
+    f"""WITH t AS (SELECT max(ts) AS as_of FROM status_events),
+      k AS (SELECT s.* FROM summary s, t WHERE NOT (CASE WHEN status IN ('Succeeded', 'Failed', 'Stopped') THEN updated_at < as_of - INTERVAL 40 DAY ELSE updated_at < as_of - INTERVAL 4 DAY END)),
+      d AS (SELECT CAST(trunc(CAST(sum(ms) AS DOUBLE) / count(*)) AS BIGINT) AS avg_ms, quantile_disc(ms, 0.95) AS p95_ms, count(*) AS n
+        FROM (SELECT {_ms('started_at', 'finished_at')} AS ms FROM k WHERE started_at IS NOT NULL AND finished_at IS NOT NULL))
+      SELECT 'status_count' AS metric, status AS dimension, count(*) AS value FROM k GROUP BY status
+      UNION ALL SELECT 'queue_depth', coalesce(priority, 'total'), pending FROM ({_depth("true")})
+      UNION ALL SELECT 'duration_avg_ms', '', avg_ms FROM d UNION ALL SELECT 'duration_p95_ms', '', p95_ms FROM d UNION ALL SELECT 'duration_count', '', n FROM d
+      UNION ALL SELECT 'throughput_per_min', '', count(*) FROM k, t WHERE finished_at > as_of - INTERVAL 1 DAY""",
     "status_events",
     "summary",
+    "queue",
 )
 def _(v):
     out = shared_dir(v.spark, "r06")
-    events = as_stream(v, v.status_events(), "events", slices=_SLICES)
-    drain(
-        J.start_metrics(
-            events, v.queue(), v.dispatched(), f"{out}/state", f"{out}/metrics", f"{out}/checkpoint", _NOW, 4 * 86400, 5 * 86400
-        )
-    )
-    rows = v.spark.read.parquet(f"{out}/metrics").where(F.col("metric") == "status_count")
+    # No closing row: the newest event is the snapshot's time.
+    events = as_stream(v, v.status_events(), "events").where(F.col("job_id") != _END)
+    queue, dispatched = (shared_dir(v.spark, x) for x in ("queue", "dispatched"))
+    v.queue().write.parquet(queue)
+    v.dispatched().write.parquet(dispatched)
+    tables = (lambda spark: spark.read.parquet(queue)), (lambda spark: spark.read.parquet(dispatched))
+    drain(J.start_metrics(events, *tables, f"{out}/state", f"{out}/metrics", f"{out}/checkpoint", _NOW, 40 * 86400, 4 * 86400, 86400, "40 days"))
+    rows = v.spark.read.parquet(f"{out}/metrics")
     last = rows.agg(F.max("batch_id")).scalar()
     return rows.where(F.col("batch_id") == last).select("metric", "dimension", "value")
 
@@ -139,8 +184,7 @@ def _(v):
     "r07_stream_throughput",
     """WITH f AS (SELECT epoch_us(finished_at) - 1 AS t FROM summary WHERE finished_at IS NOT NULL),
        w AS (SELECT (t // 21600000000 - k) * 21600000000 AS a FROM f, (VALUES (0), (1), (2), (3)) o(k))
-       SELECT a AS window_start, a + 86400000000 AS window_end, count(*) AS n FROM w
-       WHERE a + 86400000000 <= (SELECT max(t) // 1000 * 1000 - 518400000000 FROM f) GROUP BY a""",
+       SELECT a AS window_start, a + 86400000000 AS window_end, count(*) AS n FROM w GROUP BY a""",
     "summary",
 )
 def _(v):
@@ -148,7 +192,7 @@ def _(v):
 
     out = shared_dir(v.spark, "r07")
     done = lifecycle(v.status_events()).where(F.col("finished_at").isNotNull()).select(F.col("finished_at").alias("ts"))
-    counts = J.stream_throughput(as_stream(v, done, "finishes", slices=_SLICES), DELAY, "1 day", "6 hours")
+    counts = J.stream_throughput(as_stream(v, done, "finishes"), DELAY, "1 day", "6 hours")
     drain(J.start_append(counts, f"{out}/rows", f"{out}/checkpoint", _NOW))
     return v.spark.read.parquet(f"{out}/rows")
 
@@ -165,38 +209,36 @@ def _(v):
 def _(v):
     out = shared_dir(v.spark, "r08")
     rows = v.events().select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), "ts")
-    kept = K.stream_dedup(as_stream(v, rows, "queue", slices=_SLICES), 6 * 3600, watermark=DELAY)
+    kept = K.stream_dedup(as_stream(v, rows, "queue"), 6 * 3600, watermark=DELAY)
     drain(J.start_append(kept, f"{out}/rows", f"{out}/checkpoint", _NOW))
-    return v.spark.read.parquet(f"{out}/rows")
+    return real(v.spark.read.parquet(f"{out}/rows"))
 
 
 @report(
     "r09_stream_timeouts",
-    """SELECT s.job_id, 'Failed' AS status, concat('job timed out after ', CAST(timeout_seconds AS VARCHAR), ' seconds') AS reason,
-         epoch_us(started_at) + timeout_seconds * 1000000 AS deadline
-       FROM order_summary s JOIN jobs j ON j.job_id = s.job_id
-       WHERE started_at IS NOT NULL AND finished_at IS NULL AND timeout_seconds > 0
-         AND started_at + to_seconds(timeout_seconds) < (SELECT max(ts) FROM order_events) - INTERVAL 6 DAY""",
+    """WITH r AS (SELECT job_id, status, ts, lag(status) OVER w AS prev, min(CASE WHEN status <> 'Running' THEN ts END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ended
+         FROM order_events WHERE status <> 'Queued' WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq))
+       SELECT r.job_id, 'Failed' AS status, concat('job timed out after ', CAST(timeout_seconds AS VARCHAR), ' seconds') AS reason,
+         epoch_us(ts) + timeout_seconds * 1000000 AS deadline
+       FROM r JOIN jobs j ON j.job_id = r.job_id
+       WHERE r.status = 'Running' AND (prev IS NULL OR prev <> 'Running') AND timeout_seconds > 0 AND (ended IS NULL OR ended > ts + to_seconds(timeout_seconds))""",
     "order_events",
-    "order_summary",
     "jobs",
 )
 def _(v):
     out = shared_dir(v.spark, "r09")
-    events = v.status_events("order")
-    # A limit fires while a job runs; ends that come later do not take it back. Here only jobs that never end
-    # are looked at, so that the result does not hang on where files are cut.
-    ended = events.where(F.col("status").isin("Succeeded", "Failed", "Stopped")).select("job_id").distinct()
-    limits = v.jobs().join(ended, "job_id", "left_anti")
-    late = K.stream_timeouts(as_stream(v, events, "events", slices=_SLICES), limits, DELAY)
+    events = as_stream(v, v.status_events("order"), "events")
+    late = K.stream_timeouts(events, v.jobs(), DELAY)
     drain(J.start_append(late, f"{out}/rows", f"{out}/checkpoint", _NOW))
-    return v.spark.read.parquet(f"{out}/rows")
+    return real(v.spark.read.parquet(f"{out}/rows"))
 
 
 @report(
     "r10_stream_split_rejects",
-    f"""SELECT reject, count(*) AS n FROM (SELECT CASE WHEN bad THEN 'bad_id' WHEN o_custkey % 5 = 0 THEN 'missing_payload' WHEN o_custkey % 5 = 1 THEN 'bad_payload' ELSE 'ok' END AS reject
-          FROM (SELECT *, o_orderkey % 6 = 4 OR (o_orderkey % 6 = 5 AND contains({_HEX}, 'a')) AS bad FROM orders)) GROUP BY reject""",
+    f"""SELECT o_orderkey AS seq, CASE WHEN bad THEN NULL ELSE job_id END AS job_id,
+          CASE WHEN bad THEN 'bad_id' WHEN o_custkey % 5 = 0 THEN 'missing_payload' WHEN o_custkey % 5 = 1 THEN 'bad_payload' ELSE 'ok' END AS reject,
+          CASE WHEN bad OR o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN '{{"id": 12' ELSE concat('{{"id":"', job_id, '","name":"n"}}') END AS value
+        FROM (SELECT *, o_orderkey % 6 = 4 OR (o_orderkey % 6 = 5 AND contains({_HEX}, 'a')) AS bad, {_DASHED} AS job_id FROM orders)""",
 )
 def _(v):
     out = shared_dir(v.spark, "r10")
@@ -204,24 +246,61 @@ def _(v):
     raw, dash = _raw_id(F.col("o_orderkey"))
     queue = orders.select(F.col("o_orderkey").alias("seq"), raw.alias("raw_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     body = F.when(F.col("o_custkey") % 5 == 1, F.lit('{"id": 12')).otherwise(F.to_json(F.struct(dash.alias("id"), F.lit("n").alias("name"))))
-    payloads = orders.where(F.col("o_custkey") % 5 != 0).select(dash.alias("job_id"), body.alias("value"))
-    drain(J.start_split_rejects(as_stream(v, queue, "queue"), payloads, f"{out}/ok", f"{out}/rejects", f"{out}/checkpoint", _NOW))
-    good = v.spark.read.parquet(f"{out}/ok").select(F.lit("ok").alias("reject"))
-    bad = v.spark.read.parquet(f"{out}/rejects").where(F.col("ok") == 0).select("reject")
-    return good.unionByName(bad).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
+    stored = shared_dir(v.spark, "payloads")
+    orders.where(F.col("o_custkey") % 5 != 0).select(dash.alias("job_id"), body.alias("value")).write.parquet(stored)
+    drain(
+        J.start_split_rejects(as_stream(v, queue, "queue"), lambda spark: spark.read.parquet(stored), f"{out}/ok", f"{out}/rejects", f"{out}/checkpoint", _NOW)
+    )
+    good = v.spark.read.parquet(f"{out}/ok").select("raw_id", "seq", "job_id", F.lit("ok").alias("reject"), "value")
+    bad = v.spark.read.parquet(f"{out}/rejects").select("raw_id", "seq", "job_id", "reject", "value")
+    return real(good.unionByName(bad), "raw_id").drop("raw_id")
 
 
 @report(
     "s05_tail_logs",
-    "SELECT status, count(*) AS n FROM status_events GROUP BY status",
+    "SELECT job_id, container_id, seq, epoch_us(ts) AS ts, message, output_stream FROM day_batch_entries WHERE job_id = (SELECT min(job_id) FROM day_batch_entries)",
+    "day_batch_entries",
+)
+def _(v):
+    """The retained part as a snapshot, then all of it as a stream: the job's rows must be there in both."""
+    out, path = shared_dir(v.spark, "s05"), shared_dir(v.spark, "s05-logs")
+    entries = batch_entries(v.log_batches("day")).select("job_id", "container_id", "seq", "pos", "ts", "message", "output_stream")
+    early = F.col("seq") % 2 == 0
+    entries.where(early).write.parquet(path)
+    job = entries.agg(F.min("job_id")).scalar()
+    first = v.spark.createDataFrame(tail_logs(v.spark, path, entries.agg(F.min("job_id")).first()[0], stream=False).collect(), entries.schema)
+    entries.where(~early).write.mode("append").parquet(path)
+    drain(J.start_append(tail_logs(v.spark, path, entries.agg(F.min("job_id")).first()[0]), f"{out}/rows", f"{out}/checkpoint", _NOW))
+    rows = v.spark.read.schema(entries.schema).parquet(f"{out}/rows")
+    return rows.unionByName(first).distinct().where(F.col("job_id") == job).drop("pos")
+
+
+@report(
+    "s02_stream_status_events",
+    "SELECT job_id, status, reason, epoch_us(ts) AS ts, seq FROM status_events",
     "status_events",
 )
 def _(v):
-    out = shared_dir(v.spark, "s05")
+    out = shared_dir(v.spark, "s02")
     topic = F.concat(F.lit("jobs.status."), F.col("status"))
     raw = v.status_events().select(topic.alias("topic"), F.col("job_id").alias("value"), "reason", "ts", "seq")
     rows = read_status_events(as_stream(v, raw, "messages"))
     drain(J.start_append(rows, f"{out}/rows", f"{out}/checkpoint", _NOW))
-    return v.spark.read.parquet(f"{out}/rows").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return real(v.spark.read.parquet(f"{out}/rows")).select("job_id", "status", "reason", "ts", "seq")
 
 
+@report(
+    "s04_raw_lines",
+    """SELECT CAST(doc_id % 16 AS VARCHAR) AS job_id, 'c' AS container_id, 'stdout' AS stream,
+         row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id, i) - 1 AS line_no, line
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)""",
+)
+def _(v):
+    """Texts of documents written as the output of sixteen jobs, one file each, and read back line by line."""
+    path = shared_dir(v.spark, "s04")
+    docs = v.table("documents").where(F.col("text").isNotNull())
+    job = (F.col("doc_id") % 16).cast("string").alias("job_id")
+    out = docs.select(job, F.lit("c").alias("container_id"), F.lit("stdout").alias("stream"), "doc_id", F.col("text").alias("value"))
+    out = out.repartition("job_id").sortWithinPartitions("job_id", "doc_id").drop("doc_id")
+    out.write.partitionBy("job_id", "container_id", "stream").text(path)
+    return read_raw_lines(v.spark, path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobtrail import schemas as S
+from jobtrail.functions import scalars as P
 from jobtrail.operators import admission as A
 from jobtrail.operators import lifecycle as L
 from jobtrail.operators import logs as G
@@ -34,11 +35,9 @@ def stream_throughput(finishes: DataFrame, watermark: str = "1 minute", window:
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
-def stream_log_entries(batches: DataFrame, watermark: str = "24 hours") -> DataFrame:
-    """Entries of a batch stream; a batch read again (same job, container and seq) counts once."""
-    valid = G.valid_batches(batches).withWatermark("ts", watermark)
-    once = valid.dropDuplicatesWithinWatermark(["job_id", "container_id", "seq"])
-    rows = once.select("job_id", "container_id", "seq", F.posexplode_outer("logs").alias("pos", "e"))
+def stream_log_entries(batches: DataFrame) -> DataFrame:
+    """Entries of a batch stream, however late they are. A batch read again comes again: see ``read_logs``."""
+    rows = G.valid_batches(batches).select("job_id", "container_id", "seq", F.posexplode_outer("logs").alias("pos", "e"))
     return rows.select(
         "job_id", "container_id", "seq", "pos", F.col("e.timestamp").alias("ts"), "e.message", "e.output_stream"
     )
@@ -79,24 +78,30 @@ def latest(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
     return newest.select(key, "_r.*")
 
 
-def start_logs(batches: DataFrame, path: str, checkpoint: str, trigger: Trigger, watermark: str = "24 hours") -> StreamingQuery:
+def start_logs(batches: DataFrame, path: str, checkpoint: str, trigger: Trigger) -> StreamingQuery:
     """Append log entries to a table by date. Batches without entries keep a row without a message, which
-    registers their container; coalescing happens on read, see ``stored_batches``."""
-    entries = stream_log_entries(batches, watermark).withColumn("event_date", F.to_date("ts"))
+    registers their container; coalescing happens on read, see ``stored_batches``. Nothing is kept between
+    batches, so no entry is too late for the table."""
+    entries = stream_log_entries(batches).withColumn("event_date", F.to_date("ts"))
     return start_append(entries, path, checkpoint, trigger, ("event_date",))
 
 
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a log table; of batches that were read again (same job, container, seq and place) one copy."""
+    return spark.read.parquet(path).dropDuplicates(["job_id", "container_id", "seq", "pos"])
+
+
+def committed_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows a log writer has committed, as a stream. As ``progress`` of ``state.stream_completions`` it holds a
+    job's document back until the log table itself has come as far. The table must have been started."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
 def stored_batches(entries: DataFrame) -> DataFrame:
-    """Rows of a log table as batches of one entry, in the order they arrived."""
+    """Rows of a log table as the batches they came in; of a batch that was read again one copy."""
     entry = F.struct(F.col("ts").alias("timestamp"), "message", "output_stream")
-    return entries.select(
-        "job_id",
-        "container_id",
-        "seq",
-        "ts",
-        "pos",
-        F.when(F.col("pos").isNotNull(), F.array(entry)).alias("logs"),
-    )
+    rows = entries.groupBy("job_id", "container_id", "seq").agg(F.min("ts").alias("ts"), F.sort_array(F.collect_set(F.struct("pos", entry.alias("e")))).alias("_all"))
+    return rows.select("job_id", "container_id", "seq", "ts", F.transform(F.filter("_all", lambda x: x["pos"].isNotNull()), lambda x: x["e"]).alias("logs"))
 
 
 def start_documents(
@@ -120,7 +125,8 @@ def start_documents(
         dates = F.col("event_date").isNull() | F.col("event_date").between(F.lit(span.a), F.lit(span.b))
         wanted = logs.where(dates).join(done.select("job_id"), "job_id", "left_semi")
         docs = G.job_documents(G.coalesce_logs(stored_batches(wanted), max_entries))
-        docs.join(done.select("job_id", "completed_at"), "job_id").write.mode("overwrite").parquet(f"{folder}/documents")
+        ends = done.groupBy("job_id").agg(F.max("completed_at").alias("completed_at"), F.min("complete").alias("complete"))
+        docs.join(ends, "job_id").write.mode("overwrite").parquet(f"{folder}/documents")
 
     return start(ready, each, checkpoint, "append", trigger)
 
@@ -129,10 +135,13 @@ def read_documents(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.parquet(f"{out_path}/batch_id=*/documents")
 
 
+Table = Callable[[SparkSession], DataFrame]
+
+
 def start_metrics(
     events: DataFrame,
-    queued: DataFrame,
-    dispatched: DataFrame,
+    queued: Table,
+    dispatched: Table,
     state_path: str,
     out_path: str,
     checkpoint: str,
@@ -140,43 +149,61 @@ def start_metrics(
     retention: int = 3600,
     stale_ttl: int = 86400,
     window: int = 60,
+    watermark: str = "0 seconds",
 ) -> StreamingQuery:
     """A metrics snapshot after every batch, by default every 5 seconds. The snapshot's time is that of the
-    newest event, so a replay gives the same figures."""
+    newest event, so a replay gives the same figures.
+
+    ``queued`` and ``dispatched`` are called in every batch, so that files written meanwhile count. The table of live
+    summaries is written whole in every batch, by turns into two folders: a batch reads its predecessor's, and a
+    replay finds it untouched. Expired jobs leave it, so neither it nor the keyed state grows with history.
+    """
+
+    def slot(batch_id: int) -> str:
+        return f"{state_path}/slot={batch_id % 2}"
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(batch_folder(state_path, batch_id))
-        stored = spark.read.parquet(state_path).where(F.col("batch_id") <= batch_id)
-        newest = stored.agg(F.max("updated_at")).first()[0]
-        if newest is None:
-            return
+        rows = batch.drop("is_expired").withColumn("_new", F.lit(True))
+        if batch_id:
+            rows = rows.unionByName(spark.read.parquet(slot(batch_id - 1)).withColumn("_new", F.lit(False)))
+        rest = [c for c in rows.columns if c not in ("job_id", "_new")]
+        merged = rows.groupBy("job_id").agg(F.max_by(F.struct(*rest), "_new").alias("_r")).select("job_id", "_r.*")
+        merged.write.mode("overwrite").parquet(f"{slot(batch_id)}-all")
+        every = spark.read.parquet(f"{slot(batch_id)}-all")
+        newest = every.agg(F.max("updated_at")).first()[0]
         as_of = F.lit(newest)
-        # Rows older than the longest retention cannot count; the filter skips their row groups.
-        recent = stored.where(F.col("updated_at") >= as_of - L.seconds(max(retention, stale_ttl)))
-        rest = [c for c in recent.columns if c not in ("job_id", "batch_id")]
-        summaries = recent.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select("job_id", "_r.*")
-        kept = L.sweep(summaries, as_of, retention, stale_ttl)
-        snapshot = M.metrics_snapshot(kept, queued, dispatched, as_of, window)
-        snapshot.write.mode("overwrite").parquet(batch_folder(out_path, batch_id))
+        kept = every if newest is None else L.sweep(every, as_of, retention, stale_ttl)
+        kept.write.mode("overwrite").parquet(slot(batch_id))
+        if newest is not None:
+            snapshot = M.metrics_snapshot(spark.read.parquet(slot(batch_id)), queued(spark), dispatched(spark), as_of, window)
+            snapshot.write.mode("overwrite").parquet(batch_folder(out_path, batch_id))
+
+    from jobtrail.streaming.state import stream_lifecycle_expiring
 
-    return start(stream_lifecycle(events), each, checkpoint, "update", trigger or {"processingTime": "5 seconds"})
+    summaries = stream_lifecycle_expiring(events, watermark, retention, stale_ttl)
+    return start(summaries, each, checkpoint, "update", trigger or {"processingTime": "5 seconds"})
 
 
 def start_split_rejects(
-    raw: DataFrame, payloads: DataFrame, ok_path: str, reject_path: str, checkpoint: str, trigger: Trigger
+    raw: DataFrame, payloads: Table, ok_path: str, reject_path: str, checkpoint: str, trigger: Trigger
 ) -> StreamingQuery:
-    """Resolve queue rows batch by batch into accepted rows and rejects with their class."""
+    """Resolve queue rows batch by batch into accepted rows and rejects with their class.
+
+    ``payloads`` is called in every batch, so that payloads written after the query's start resolve. Only those of
+    the batch's ids take part in the join.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = A.classify_queue(batch, payloads)
-        folder = batch_folder(reject_path, batch_id)
-        # One write splits the batch, so the join runs once.
-        flagged = rows.withColumn("ok", F.col("reject").isNull().cast("int"))
-        flagged.write.mode("overwrite").partitionBy("ok").parquet(folder)
-        done = batch.sparkSession.read.parquet(folder)
-        done.where(F.col("ok") == 1).drop("ok", "reject").write.mode("overwrite").parquet(batch_folder(ok_path, batch_id))
+        ids = batch.select(P.canonical_job_id(F.col("raw_id")).alias("job_id")).distinct()
+        rows = A.classify_queue(batch, payloads(batch.sparkSession).join(ids, "job_id", "left_semi"))
+        good = rows.where(F.col("reject").isNull()).drop("reject")
+        bad = rows.where(F.col("reject").isNotNull())
+        rows.persist()
+        try:
+            good.write.mode("overwrite").parquet(batch_folder(ok_path, batch_id))
+            bad.write.mode("overwrite").parquet(batch_folder(reject_path, batch_id))
+        finally:
+            rows.unpersist()
 
     return start(raw, each, checkpoint, "append", trigger)
-
-

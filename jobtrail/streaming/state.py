@@ -3,11 +3,13 @@
 State is a handful of numbers per job. Times are epoch microseconds; timers run on watermark milliseconds.
 """
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobtrail import schemas as S
@@ -99,107 +101,145 @@ def _fold_batch(s: dict, pdf: pd.DataFrame) -> None:
     s["updated"] = max(s["updated"], int(pdf["t"].max()))
 
 
-# --- completion ----------------------------------------------------------------------------
+# --- events in order -----------------------------------------------------------------------
+#
+# Rows reach a key in the order of files, not of time. The folds below keep what the watermark has not passed and
+# walk the rest in the order of time, so that their results do not hang on where files are cut.
 
-_READY = "job_id string, first_at timestamp, completed_at timestamp"
 
+def _unpack(packed: bytes | None) -> list:
+    return pickle.loads(packed) if packed else []
 
-def stream_completions(events: DataFrame, progress: DataFrame | None = None, watermark: str = "0 seconds", drain: int = 30) -> DataFrame:
-    """Jobs that ran and ended, ``drain`` seconds of event time after their end, once: job_id, first_at
-    (earliest event), completed_at.
 
-    ``progress`` is a second stream with a ``ts`` (the log batches): it only holds the clock back until it has
-    come as far, none of its rows is shuffled.
+def _split(waiting: list, now: int) -> tuple[list, list]:
+    """Rows (time first) that no earlier row can precede any more, in order, and the rest."""
+    due = sorted(row for row in waiting if row[0] <= now)
+    return due, [row for row in waiting if row[0] > now]
+
+
+def _wake(state: GroupState, micros: int) -> None:
+    """Call again once the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(-(-micros // 1000), state.getCurrentWatermarkMs() + 1))
+
+
+_READY = "job_id string, first_at timestamp, completed_at timestamp, complete boolean"
+
+
+def stream_completions(
+    events: DataFrame, progress: DataFrame | None = None, watermark: str = "0 seconds", drain: int = 30, forget: int = 86400
+) -> DataFrame:
+    """Each run of a job that ended, ``drain`` seconds of event time after its end: job_id, first_at (earliest
+    event), completed_at, complete.
+
+    A run starts at Running and ends at the next terminal status, so a job that runs again completes again.
+    ``progress`` is a second stream with a ``ts``, as a rule the committed log table (``jobs.committed_logs``): it
+    only holds the clock back until it has come as far, none of its rows is shuffled. ``complete`` says that there
+    was such a clock, so that all logs up to the end are there. A job is let go ``forget`` seconds after its last event.
     """
+    followed = progress is not None
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, running, ended, sent = state.get if state.exists else (-1, False, -1, False)
-        if state.hasTimedOut:
-            state.update((first, running, ended, True))
-            yield pd.DataFrame({"job_id": [key[0]], "first_at": [_time(first)], "completed_at": [_time(ended)]})
-            return
-        pdf = pd.concat(list(batches))
-        pdf = pdf.assign(t=_micros(pdf["ts"])).sort_values(["t", "seq"], kind="stable")
-        first = int(pdf["t"].min()) if first < 0 else min(first, int(pdf["t"].min()))
-        for status, t in zip(pdf["status"], pdf["t"]):
+        first, running, seen, waiting, ends = state.get if state.exists else (-1, False, -1, None, None)
+        waiting, ends, now = _unpack(waiting), _unpack(ends), state.getCurrentWatermarkMs() * 1000
+        for pdf in () if state.hasTimedOut else batches:
+            waiting += zip(_micros(pdf["ts"]).tolist(), pdf["seq"].tolist(), pdf["status"].tolist())
+        due, waiting = _split(waiting, now)
+        for t, _, status in due:
+            first, seen = t if first < 0 else min(first, t), max(seen, t)
             if status == "Running":
                 running = True
-            elif status in S.TERMINAL and running and ended < 0:
-                ended = int(t)
-        state.update((first, running, ended, sent))
-        if ended >= 0 and not sent:
-            state.setTimeoutTimestamp(max(ended // 1000 + drain * 1000, state.getCurrentWatermarkMs() + 1))
-
-    rows = _first_per_phase(events).withWatermark("ts", watermark)
-    if progress is not None:
+            elif status in S.TERMINAL and running:
+                running = False
+                ends.append(t)
+        ready, ends = [t for t in ends if t + drain * 1_000_000 <= now], [t for t in ends if t + drain * 1_000_000 > now]
+        wake = [*[t for t, _, _ in waiting], *[t + drain * 1_000_000 for t in ends]]
+        if wake or seen + forget * 1_000_000 > now:
+            state.update((first, running, seen, pickle.dumps(waiting), pickle.dumps(ends)))
+            _wake(state, min(wake) if wake else seen + forget * 1_000_000)
+        elif state.exists:
+            state.remove()
+        if ready:
+            rows = pd.DataFrame({"job_id": key[0], "first_at": _time(first), "completed_at": [_time(t) for t in ready], "complete": followed})
+            yield rows.astype({"first_at": "datetime64[us]", "completed_at": "datetime64[us]"})
+
+    rows = valid_events(events).select("job_id", "status", "ts", "seq").withWatermark("ts", watermark)
+    if followed:
         # No row passes this test, yet every row has moved the clock by then.
         clock = progress.select("ts").withWatermark("ts", watermark).where(F.col("ts").isNull())
-        empty = [F.lit("").alias(c) for c in ("job_id", "status", "reason")]
-        rows = rows.unionByName(clock.select(*empty, "ts", F.lit(0).cast("bigint").alias("seq")))
+        rows = rows.unionByName(clock.select(F.lit("").alias("job_id"), F.lit("").alias("status"), "ts", F.lit(0).cast("bigint").alias("seq")))
     return rows.groupBy("job_id").applyInPandasWithState(
-        fold, _READY, "first long, running boolean, ended long, sent boolean", "append", GroupStateTimeout.EventTimeTimeout
+        fold, _READY, "first long, running boolean, seen long, waiting binary, ends binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def _first_per_phase(events: DataFrame) -> DataFrame:
-    """Of each Arrow batch keep what can decide a completion: a job's first event, first Running, the
-    first end after it, and all ends without a Running before them in the batch."""
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-            run = pdf["status"] == "Running"
-            ran = run.groupby(pdf["job_id"]).cummax()
-            phase = pdf["status"].where(~pdf["status"].isin(S.TERMINAL), ran.map({True: "done", False: "early"}))
-            keep = ~pdf.assign(p=phase).duplicated(["job_id", "p"], keep="first")
-            # The Running before these ends may be in another batch, so any of them may decide.
-            keep |= phase == "early"
-            # The newest row stays too: the watermark is taken after this step and must not lag behind.
-            keep.iloc[-1:] = True
-            yield pdf[keep]
-
-    return valid_events(events).select("job_id", "status", "reason", "ts", "seq").mapInPandas(thin, _EVENT)
-
-
 # --- time limits ---------------------------------------------------------------------------
 
 _LATE = "job_id string, status string, reason string, deadline timestamp"
+_LIMIT = "limit"
 
 
-def stream_timeouts(events: DataFrame, jobs: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """A Failed row for every job still running at its limit: job_id, status, reason, deadline.
+def stream_timeouts(events: DataFrame, jobs: DataFrame, watermark: str = "0 seconds", forget: int = 86400) -> DataFrame:
+    """A Failed row for every run that is not over at its job's limit: job_id, status, reason, deadline.
 
-    ``jobs`` is the static job table (job_id, timeout_seconds); jobs without a limit keep no state.
+    A run starts at Running; it is over at the next terminal status, and no row is due if that comes at the limit or
+    before. ``jobs`` has job_id and timeout_seconds. As a stream it also has ts, and jobs that come after the query
+    has started count; a table is read once, when the query starts. Jobs without a limit give no rows. A job is let
+    go ``forget`` seconds after its last event, unless a run is open and its limit has not passed.
     """
     from jobtrail.functions import scalars as P
 
-    limits = jobs.select("job_id", P.clamp_timeout(F.col("timeout_seconds")).alias("limit"), "timeout_seconds")
-    rows = _first_per_phase(events).withWatermark("ts", watermark).join(limits.where(F.col("limit").isNotNull()), "job_id")
+    limit = P.clamp_timeout(F.col("timeout_seconds")).alias("limit")
+    rows = valid_events(events).select("job_id", "status", "ts", "seq").withWatermark("ts", watermark)
+    # A test that names the time stays above the watermark, so that every event moves the clock.
+    rows = rows.where(F.col("status").isin("Running", *S.TERMINAL) | F.col("ts").isNull())
+    if jobs.isStreaming:
+        told = jobs.select("job_id", F.lit(_LIMIT).alias("status"), "ts", F.lit(-1).cast("bigint").alias("seq"), limit, "timeout_seconds")
+        nothing = F.lit(None).cast("bigint")
+        rows = rows.withColumns({"limit": nothing, "timeout_seconds": nothing}).unionByName(told.withWatermark("ts", watermark))
+    else:
+        rows = rows.join(jobs.select("job_id", limit, "timeout_seconds").where(F.col("limit").isNotNull()), "job_id")
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started, limit, told, _ = state.get
-            state.update((started, limit, told, True))
+        # The run's start or -1, whether its row is out, the limit (-1 not known, 0 none), and the limit as it is told.
+        run, out, limit, told, seen, waiting = state.get if state.exists else (-1, False, -1, 0, -1, None)
+        waiting, now, late = _unpack(waiting), state.getCurrentWatermarkMs() * 1000, []
+        for pdf in () if state.hasTimedOut else batches:
+            known = pdf[(pdf["status"] == _LIMIT) | pdf["limit"].notna()]
+            if len(known):
+                value = known["limit"].iloc[-1]
+                limit, told = (0, 0) if pd.isna(value) else (int(value), int(known["timeout_seconds"].iloc[-1]))
+                seen = max(seen, int(_micros(known["ts"]).max()))
+            ran = pdf[pdf["status"] != _LIMIT]
+            waiting += zip(_micros(ran["ts"]).tolist(), ran["seq"].tolist(), ran["status"].tolist())
+        seen = max([seen, *[t for t, _, _ in waiting]])
+        if limit == 0:
+            waiting = []
+        elif limit > 0:
+            due, waiting = _split(waiting, now)
+            # The end of time stands for the watermark: what no event has ended by then is late.
+            for t, _, status in [*due, (now + 1, 0, "")]:
+                deadline = run + limit * 1_000_000
+                if run >= 0 and not out and deadline < t:
+                    late.append(deadline)
+                    out = True
+                if status == "Running" and run < 0:
+                    run, out = t, False
+                elif status in S.TERMINAL:
+                    run = -1
+        open_run = run >= 0 and not out
+        wake = [*([t for t, _, _ in waiting] if limit > 0 else []), *([run + limit * 1_000_000] if open_run else [])]
+        if wake or seen + forget * 1_000_000 > now:
+            state.update((run, out, limit, told, seen, pickle.dumps(waiting)))
+            _wake(state, min(wake) if wake else seen + forget * 1_000_000)
+        elif state.exists:
+            state.remove()
+        if late:
             reason = f"job timed out after {told} seconds"
-            yield pd.DataFrame(
-                {"job_id": [key[0]], "status": ["Failed"], "reason": [reason], "deadline": [_time(started + limit * 1_000_000)]}
-            )
-            return
-        started, limit, told, done = state.get if state.exists else (-1, 0, 0, False)
-        for pdf in batches:
-            t = _micros(pdf["ts"])
-            limit, told = int(pdf["limit"].iloc[0]), int(pdf["timeout_seconds"].iloc[0])
-            runs = t[pdf["status"] == "Running"]
-            if len(runs):
-                started = int(runs.min()) if started < 0 else min(started, int(runs.min()))
-            done = done or bool(pdf["status"].isin(S.TERMINAL).any())
-        state.update((started, limit, told, done))
-        if started >= 0 and not done:
-            state.setTimeoutTimestamp(max(started // 1000 + limit * 1000, state.getCurrentWatermarkMs() + 1))
-
-    keyed = rows.groupBy("job_id")
-    return keyed.applyInPandasWithState(
-        fold, _LATE, "started long, limit long, told long, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+            rows = pd.DataFrame({"job_id": key[0], "status": "Failed", "reason": reason, "deadline": [_time(t) for t in late]})
+            yield rows.astype({"deadline": "datetime64[us]"})
+
+    return rows.groupBy("job_id").applyInPandasWithState(
+        fold, _LATE, "run long, out boolean, limit long, told long, seen long, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -209,10 +249,13 @@ def stream_timeouts(events: DataFrame, jobs: DataFrame, watermark: str = "0 seco
 def stream_dedup(queue: DataFrame, gap: int = 60, key: str = "job_id", watermark: str = "0 seconds") -> DataFrame:
     """Drop a row that comes less than ``gap`` seconds after the last accepted row of its key.
 
-    Spark's own ``dropDuplicatesWithinWatermark`` keeps a key until the end of the batch that lets it go and
-    so also drops some rows that come after the window; here the times decide. Queue rows carry ts and seq.
+    Rows come out once the watermark has passed them. Spark's own ``dropDuplicatesWithinWatermark`` keeps a key until
+    the end of the batch that lets it go and so also drops some rows that come after the window; here the times
+    decide. Queue rows carry ts and seq. A key keeps one row per instant that the watermark has not passed.
     """
     columns = queue.columns
+    number = columns.index("seq")
+    kinds = {f.name: "datetime64[us]" for f in queue.schema.fields if isinstance(f.dataType, T.TimestampType)}
 
     def one_per_instant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # All that is certain before the shuffle: of rows at one instant only the first can be accepted.
@@ -220,17 +263,24 @@ def stream_dedup(queue: DataFrame, gap: int = 60, key: str = "job_id", watermark
             yield pdf.sort_values(["ts", "seq"], kind="stable").drop_duplicates([key, "ts"], keep="first")
 
     def accept(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, waiting = state.get if state.exists else (None, None)
+        waiting, now, taken = _unpack(waiting), state.getCurrentWatermarkMs() * 1000, []
+        for pdf in () if state.hasTimedOut else batches:
+            rows = list(pdf[columns].itertuples(index=False, name=None))
+            waiting += [(t, row[number], row) for t, row in zip(_micros(pdf["ts"]).tolist(), rows)]
+        due = sorted((w for w in waiting if w[0] <= now), key=lambda w: w[:2])
+        waiting = [w for w in waiting if w[0] > now]
+        for t, _seq, row in due:
+            if last is None or t >= last + gap * 1_000_000:
+                taken.append(row)
+                last = t
+        if waiting or (last is not None and last + gap * 1_000_000 > now):
+            state.update((last, pickle.dumps(waiting)))
+            _wake(state, min([w[0] for w in waiting], default=(last or 0) + gap * 1_000_000))
+        elif state.exists:
             state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-        last, taken = state.get[0] if state.exists else None, []
-        for t in _micros(pdf["ts"]):
-            taken.append(last is None or t >= last + gap * 1_000_000)
-            last = int(t) if taken[-1] else last
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + gap * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pdf.loc[taken, columns]
+        if taken:
+            yield pd.DataFrame(taken, columns=columns).astype(kinds)
 
     rows = queue.mapInPandas(one_per_instant, queue.schema).withWatermark("ts", watermark).groupBy(key)
-    return rows.applyInPandasWithState(accept, queue.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.applyInPandasWithState(accept, queue.schema, "last long, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)

@@ -11,7 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import __spark_entry__ as entry_module
 from check import compare, oracle
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+from jobtrail.plans import all_oracle_sql, all_queries
+
+QUERIES, SQL = all_queries(), all_oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +25,10 @@ def test_every_report_has_a_check():
     assert set(QUERIES) == set(SQL)
 
 
+def test_the_entry_registers_every_report():
+    assert QUERIES.keys() <= entry_module.queries().keys() and SQL.keys() <= entry_module.oracle_sql().keys()
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["status", "avg_ms", "p95_ms", "n"] and df.count() == 5

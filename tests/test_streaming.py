@@ -112,3 +112,107 @@ def test_repeats_are_dropped_within_the_gap_and_only_there(spark, tmp_path):
     run(J.start_append(K.stream_dedup(stream(spark, src)), out, cp, NOW))
     rows = spark.read.parquet(out).where("job_id = 'a'").orderBy("ts").collect()
     assert [r.seq for r in rows] == [0, 60, 310]
+
+
+# Results must not hang on where files are cut or in which order rows come within the watermark.
+
+DAY = "1 day"
+END = ("~end", "Queued", "", T0 + timedelta(days=400), 10**6)
+
+
+def cuts(rows):
+    """The same rows in one file, in one file each, and in shuffled files."""
+    import random
+
+    mixed = rows[:]
+    random.Random(5).shuffle(mixed)
+    return [[rows], [[r] for r in rows], [mixed[i::3] for i in range(3)]]
+
+
+def each_cut(spark, tmp_path, rows, build, schema=EVENT, end=END):
+    """Output rows of a query for every way to cut its input; a last row closes the stream."""
+    out = []
+    for i, files in enumerate(cuts(rows)):
+        src, dst, cp = (str(tmp_path / f"{x}{i}") for x in ("src", "out", "cp"))
+        for file in files:
+            put(spark, src, *file, schema=schema)
+        put(spark, src, end, schema=schema)
+        run(J.start_append(build(stream(spark, src, schema)), dst, cp, NOW))
+        out.append(sorted(tuple(r) for r in spark.read.parquet(dst).where("job_id <> '~end'").collect()))
+    return out
+
+
+def test_dedup_is_in_the_order_of_time(spark, tmp_path):
+    rows = [ev("a", "Queued", s) for s in (0, 300, 100, 130, 159, 160, 330, 365)]
+    got = each_cut(spark, tmp_path, rows, lambda s: K.stream_dedup(s, watermark=DAY))
+    assert got[0] == got[1] == got[2] and [r[4] for r in got[0]] == [0, 100, 160, 300, 365]
+
+
+def test_completions_are_in_the_order_of_time(spark, tmp_path):
+    rows = [ev("a", "Succeeded", 10), ev("a", "Running", 5), ev("b", "Failed", 3), ev("b", "Running", 4), ev("a", "Failed", 12)]
+    rows += [ev("a", "Queued", 1), ev("a", "Running", 20), ev("a", "Running", 21), ev("a", "Stopped", 30)]
+    got = each_cut(spark, tmp_path, rows, lambda s: K.stream_completions(s, watermark=DAY))
+    naive = lambda s: (T0 + timedelta(seconds=s)).replace(tzinfo=None)
+    assert got[0] == got[1] == got[2] == [("a", naive(1), naive(10), False), ("a", naive(1), naive(30), False)]
+
+
+def test_limits_count_ends_at_or_before_them_only(spark, tmp_path):
+    rows = [ev("late end", "Running", 0), ev("late end", "Succeeded", 100), ev("in time", "Running", 0), ev("in time", "Failed", 2)]
+    rows += [ev("early end", "Failed", 0), ev("early end", "Running", 1), ev("none", "Running", 0), ev("open", "Running", 50)]
+    rows += [ev("again", "Running", 0), ev("again", "Failed", 1), ev("again", "Running", 7), ev("again", "Running", 8)]
+    jobs = [("late end", 2), ("in time", 2), ("early end", 2), ("none", 0), ("open", 2), ("again", 5)]
+    static = spark.createDataFrame(jobs, "job_id string, timeout_seconds long")
+    want = [("again", 12), ("early end", 3), ("late end", 2), ("open", 52)]
+    for got in each_cut(spark, tmp_path, rows, lambda s: K.stream_timeouts(s, static, watermark=DAY)):
+        assert [(r[0], (r[3] - T0.replace(tzinfo=None)).seconds) for r in got] == want
+    # The same with the jobs as a stream, told after the runs have begun.
+    src = str(tmp_path / "jobs")
+    put(spark, src, *[(j, t, T0 + timedelta(seconds=9)) for j, t in jobs], ("~end", 0, END[3]), schema="job_id string, timeout_seconds long, ts timestamp")
+    live = lambda: stream(spark, src, "job_id string, timeout_seconds long, ts timestamp")
+    for got in each_cut(spark, tmp_path / "live", rows, lambda s: K.stream_timeouts(s, live(), watermark=DAY)):
+        assert [(r[0], (r[3] - T0.replace(tzinfo=None)).seconds) for r in got] == want
+
+
+def test_payloads_written_after_the_start_resolve(spark, tmp_path):
+    src, payloads, ok, bad, cp = (str(tmp_path / x) for x in ("src", "payloads", "ok", "bad", "cp"))
+    row = lambda n: (f"00000000-0000-0000-0000-00000000000{n}", n, T0)
+    text = lambda n: (f"00000000-0000-0000-0000-00000000000{n}", '{"id": "x", "name": "n"}')
+    put(spark, payloads, text(1), schema="job_id string, value string")
+    put(spark, src, row(1), row(2), schema="raw_id string, seq long, ts timestamp")
+    start = lambda: J.start_split_rejects(stream(spark, src, "raw_id string, seq long, ts timestamp"), table, ok, bad, cp, NOW)
+    table = lambda s: s.read.parquet(payloads)
+    run(start())
+    put(spark, payloads, text(3), schema="job_id string, value string")
+    put(spark, src, row(3), ("no id", 4, T0), schema="raw_id string, seq long, ts timestamp")
+    run(start())
+    assert sorted(r.seq for r in spark.read.parquet(ok).collect()) == [1, 3]
+    assert sorted((r.seq, r.reject) for r in spark.read.parquet(bad).collect()) == [(2, "missing_payload"), (4, "bad_id")]
+
+
+def test_queue_depth_follows_the_tables(spark, tmp_path):
+    src, queue, state, out, cp = (str(tmp_path / x) for x in ("src", "queue", "state", "out", "cp"))
+    schema = "job_id string, priority string"
+    put(spark, queue, ("a", "high"), schema=schema)
+    none = lambda s: s.createDataFrame([], schema)
+    go = lambda: run(J.start_metrics(stream(spark, src), lambda s: s.read.parquet(queue), none, state, out, cp, NOW))
+    put(spark, src, ev("a", "Queued", 0))
+    go()
+    put(spark, queue, ("b", "low"), ("c", "low"), schema=schema)
+    put(spark, src, ev("b", "Running", 5))
+    go()
+    rows = spark.read.parquet(out).where("metric = 'queue_depth'")
+    last = rows.agg({"batch_id": "max"}).first()[0]
+    got = {r.dimension: r.value for r in rows.where(rows.batch_id == last).collect()}
+    assert got == {"high": 1, "medium": 0, "low": 2, "total": 3}
+
+
+def test_logs_are_in_the_table_however_late(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    schema = "job_id string, container_id string, seq long, ts timestamp, logs array<struct<timestamp: timestamp, message: string, output_stream: string>>"
+    batch = lambda n, day: ("j", "c", n, T0 + timedelta(days=day), [(T0 + timedelta(days=day), f"m{n}", "stdout"), (T0, f"e{n}", "stderr")])
+    put(spark, src, batch(1, 30), schema=schema)
+    put(spark, src, batch(2, 0), batch(1, 30), schema=schema)
+    run(J.start_logs(stream(spark, src, schema), out, cp, NOW))
+    assert sorted(r.message for r in J.read_logs(spark, out).collect()) == ["e1", "e2", "m1", "m2"]
+    stored = sorted(J.stored_batches(spark.read.parquet(out)).collect(), key=lambda r: r.seq)
+    assert [[e.message for e in r.logs] for r in stored] == [["m1", "e1"], ["m2", "e2"]]
