@@ -17,6 +17,8 @@ from jobtrail.operators import ordered
 from jobtrail.operators.lifecycle import seconds, valid_events
 
 CONTAINER = ["job_id", "container_id"]
+#: Entries of a container or job that one row holds.
+PIECE_LINES = 10_000
 
 
 # --- raw lines -----------------------------------------------------------------------------
@@ -163,42 +165,66 @@ def _from_end(batches: DataFrame, boxes: DataFrame, max_entries: int, block: int
     return lines.withColumn("line_no", F.col("kept") - F.col("_rn"))
 
 
-def coalesce_logs(batches: DataFrame, max_entries: int = S.MAX_LOG_ENTRIES, block: int = ordered.SEQ_BLOCK) -> DataFrame:
-    """One row per container with its last ``max_entries`` entries in arrival order.
-
-    The trim comes first, so an array never exceeds ``max_entries``; without a cap use ``ordered_lines``.
-    """
-    if max_entries <= 0:
-        raise ValueError("an uncapped container does not fit one row: use ordered_lines")
-    trimmed = tail_trim(batch_entries(batches), max_entries, block)
-    entry = F.struct("seq", "pos", "ts", "message", "output_stream")
-    grouped = trimmed.groupBy(*CONTAINER).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+def _pieces(batches: DataFrame, boxes: DataFrame, max_entries: int, block: int, piece_lines: int) -> DataFrame:
+    """``boxes`` (CONTAINER, slot, kept and others) with their entries, cut into pieces of ``piece_lines``."""
+    lines = _from_end(batches, boxes.select(*CONTAINER, "kept"), max_entries, block)
+    entry = F.struct("line_no", "ts", "message", "output_stream")
+    piece = F.floor(F.col("line_no") / F.lit(piece_lines)).alias("piece")
+    grouped = lines.groupBy(*CONTAINER, piece).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    # A container without entries is one empty piece.
+    cut = boxes.withColumn("pieces", F.greatest(F.ceil(F.col("kept") / F.lit(piece_lines)), F.lit(1)))
+    cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
     entries = F.transform(
         F.coalesce("_all", F.array()),
         lambda e: F.struct(e["ts"].alias("timestamp"), e["message"].alias("message"), e["output_stream"].alias("output_stream")),
     )
-    slots = container_slots(batches, block)
-    return slots.join(grouped, CONTAINER, "left").select(
-        "job_id", "slot", "container_id", entries.alias("entries"), F.size(F.coalesce("_all", F.array())).alias("n_entries")
-    )
+    return cut.join(grouped, [*CONTAINER, "piece"], "left").withColumn("entries", entries).drop("_all")
 
 
-def job_documents(coalesced: DataFrame, slots_per_part: int = 64) -> DataFrame:
-    """The ordered container logs of each job.
+def coalesce_logs(
+    batches: DataFrame, max_entries: int = S.MAX_LOG_ENTRIES, block: int = ordered.SEQ_BLOCK, piece_lines: int = PIECE_LINES
+) -> DataFrame:
+    """The last ``max_entries`` entries of each container in arrival order; ``max_entries`` <= 0 keeps all.
 
-    A document comes in parts of ``slots_per_part`` containers, so that a job with very many containers stays
-    whole without one huge row; nearly every job is part 0 alone.
+    One row per container, and for a longer one a row per ``piece_lines`` entries: ``piece`` of ``pieces``.
+    ``n_entries`` counts the whole container.
     """
-    box = F.struct("slot", "container_id", "entries")
-    parts = coalesced.groupBy("job_id", F.floor(F.col("slot") / F.lit(slots_per_part)).alias("part"))
-    return parts.agg(F.sort_array(F.collect_list(box)).alias("containers"))
+    boxes = containers(batches, max_entries, block).select(*CONTAINER, "slot", "kept")
+    rows = _pieces(batches, boxes, max_entries, block, piece_lines)
+    return rows.select("job_id", "slot", "container_id", "piece", "pieces", "entries", F.col("kept").alias("n_entries"))
 
 
-def step_log_at(documents: DataFrame, index: int, slots_per_part: int = 64) -> DataFrame:
-    """The container at a 0-based position of each job's document."""
-    part, place = divmod(index, slots_per_part)
-    hit = documents.where(F.col("part") == part).withColumn("c", F.try_element_at("containers", F.lit(place + 1)))
-    return hit.where(F.col("c").isNotNull()).select("job_id", "c.slot", "c.container_id", "c.entries")
+def job_documents(
+    batches: DataFrame,
+    max_entries: int = S.MAX_LOG_ENTRIES,
+    block: int = ordered.SEQ_BLOCK,
+    piece_lines: int = PIECE_LINES,
+    part_lines: int = PIECE_LINES,
+) -> DataFrame:
+    """The ordered container logs of each job: job_id, part, parts, containers.
+
+    Nearly every job is one part. A longer document is cut after about ``part_lines`` entries and containers, inside
+    a container too, so that no row grows with a job; its parts in order are the whole document.
+    """
+    boxes = containers(batches, max_entries, block).select(*CONTAINER, "slot", "kept")
+    # A piece takes a place for itself and one for each entry; places are counted on the small table.
+    size = F.col("kept") + F.greatest(F.ceil(F.col("kept") / F.lit(piece_lines)), F.lit(1))
+    sized = boxes.withColumn("_size", size)
+    upto = ordered.running(sized, ["job_id"], ["slot"], "_size", [ordered.seq_block("slot", block)], "_upto", F.sum, lambda x, y: x + y)
+    last_piece = (F.greatest(F.ceil(F.col("kept") / F.lit(piece_lines)), F.lit(1)) - 1) * F.lit(piece_lines + 1)
+    upto = upto.withColumn("_before", F.col("_upto") - F.col("_size"))
+    ends = upto.groupBy("job_id").agg((F.floor(F.max(F.col("_before") + last_piece) / F.lit(part_lines)) + 1).alias("parts"))
+    placed = upto.join(ends, "job_id").select(*CONTAINER, "slot", "kept", "_before", "parts")
+    rows = _pieces(batches, placed, max_entries, block, piece_lines)
+    part = F.floor((F.col("_before") + F.col("piece") * F.lit(piece_lines + 1)) / F.lit(part_lines)).alias("part")
+    box = F.struct("slot", "piece", "pieces", "container_id", "entries")
+    return rows.groupBy("job_id", part, "parts").agg(F.sort_array(F.collect_list(box)).alias("containers"))
+
+
+def step_log_at(documents: DataFrame, index: int) -> DataFrame:
+    """The container at a 0-based position of each job's document, piece by piece."""
+    hit = documents.select("job_id", F.explode(F.filter("containers", lambda c: c["slot"] == index)).alias("c"))
+    return hit.select("job_id", "c.slot", "c.container_id", "c.piece", "c.pieces", "c.entries")
 
 
 def log_tail(

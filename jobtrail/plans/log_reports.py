@@ -186,21 +186,61 @@ def _(v):
     return G.ordered_lines(v.log_batches(), 0, block=3000).select("job_id", "container_id", "seq", "pos", "slot", "line_no")
 
 
+@report(
+    "a09_coalesce_logs_uncapped",
+    f"""SELECT s.job_id, s.slot, s.container_id, piece, greatest(ceil(n / 7), 1)::BIGINT AS pieces, coalesce(lines, '') AS lines, coalesce(n, 0) AS n_entries
+        FROM slots s LEFT JOIN (SELECT job_id, container_id, count(*) AS n FROM batch_entries GROUP BY ALL) c ON c.job_id = s.job_id AND c.container_id = s.container_id,
+          LATERAL (SELECT unnest(range(greatest(ceil(coalesce(n, 0) / 7), 1)::BIGINT)) AS piece) p
+        LEFT JOIN (SELECT job_id, container_id, line_no // 7 AS at, {_DOC_LINES} AS lines
+          FROM (SELECT *, row_number() OVER (PARTITION BY job_id, container_id ORDER BY seq, pos) - 1 AS line_no FROM batch_entries) GROUP BY ALL) e
+        ON e.job_id = s.job_id AND e.container_id = s.container_id AND e.at = piece""",
+    "slots",
+    "batch_entries",
+)
+def _(v):
+    boxes = G.coalesce_logs(v.log_batches(), 0, piece_lines=7)
+    return boxes.select("job_id", "slot", "container_id", "piece", "pieces", _lines(F.col("entries")).alias("lines"), "n_entries")
+
+
 @report(
     "a10_job_documents",
-    f"""SELECT job_id, slot // 2 AS part, string_agg(concat(container_id, '=', lines), ';' ORDER BY slot) AS body FROM ({_COALESCED}) GROUP BY ALL""",
+    f"""WITH c AS (SELECT *, sum(n_entries + 1) OVER (PARTITION BY job_id ORDER BY slot) - n_entries - 1 AS before FROM ({_COALESCED}))
+        SELECT job_id, CAST(before // 8 AS BIGINT) AS part, CAST(last // 8 + 1 AS BIGINT) AS parts,
+          string_agg(concat(container_id, '=', lines), ';' ORDER BY slot) AS body
+        FROM (SELECT *, max(before) OVER (PARTITION BY job_id) AS last FROM c) GROUP BY job_id, before // 8, last""",
     "slots",
     "batch_entries",
 )
 def _(v):
-    docs = G.job_documents(G.coalesce_logs(v.log_batches(), 5), slots_per_part=2)
+    docs = G.job_documents(v.log_batches(), 5, part_lines=8)
     body = F.array_join(F.transform("containers", lambda c: F.concat(c["container_id"], F.lit("="), _lines(c["entries"]))), ";")
-    return docs.select("job_id", "part", body.alias("body"))
+    return docs.select("job_id", "part", "parts", body.alias("body"))
+
+
+@report(
+    "a10_job_documents_uncapped",
+    f"""SELECT s.job_id, md5(string_agg(concat(s.container_id, '=', coalesce(lines, '')), ';' ORDER BY slot)) AS digest
+        FROM slots s LEFT JOIN (SELECT job_id, container_id, {_DOC_LINES} AS lines FROM batch_entries GROUP BY ALL) e ON e.job_id = s.job_id AND e.container_id = s.container_id
+        GROUP BY s.job_id""",
+    "slots",
+    "batch_entries",
+)
+def _(v):
+    """Whole documents put together from small parts that cut containers."""
+    docs = G.job_documents(v.log_batches(), 0, piece_lines=5, part_lines=9)
+
+    def text(c):
+        head = F.when(c["piece"] == 0, F.concat(F.when(c["slot"] == 0, "").otherwise(";"), c["container_id"], F.lit("="))).otherwise("|")
+        return F.concat(head, _lines(c["entries"]))
+
+    parts = docs.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("part", F.array_join(F.transform("containers", text), "").alias("t")))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    return parts.select("job_id", F.md5(whole.cast("binary")).alias("digest"))
 
 
 @report("a10_step_log", f"SELECT job_id, container_id, lines FROM ({_COALESCED}) WHERE slot = 1", "slots", "batch_entries")
 def _(v):
-    step = G.step_log_at(G.job_documents(G.coalesce_logs(v.log_batches(), 5)), 1)
+    step = G.step_log_at(G.job_documents(v.log_batches(), 5), 1)
     return step.select("job_id", "container_id", _lines(F.col("entries")).alias("lines"))
 
 
@@ -287,27 +327,32 @@ def _(v):
     return G.flush_expired(v.log_entries("day"), v.status_events(), v.as_of, 10 * 86400).select("seq", "job_id")
 
 
+_ORDER_KEY = "CAST(user_id * 30 + day(ts) - 1 AS VARCHAR)"
+
+
 @report(
     "s08_export_job_logs",
     f"""WITH sl AS (SELECT job_id, container_id, row_number() OVER (PARTITION BY job_id ORDER BY first_seq, container_id) - 1 AS slot
-          FROM (SELECT CAST(user_id * 30 + day(ts) - 1 AS VARCHAR) AS job_id, event_type AS container_id, min(event_id) AS first_seq FROM events GROUP BY ALL))
-        SELECT CASE WHEN callback_url LIKE '%h_x%' THEN 'h_x' ELSE 'host.example:8443' END AS target_host, callback_url, c.job_id, 0::BIGINT AS part,
-          (SELECT count(*) FROM sl WHERE sl.job_id = c.job_id) AS containers, (SELECT container_id FROM sl WHERE sl.job_id = c.job_id AND slot = 0) AS first_container
-        FROM order_completions c JOIN jobs j ON j.job_id = c.job_id WHERE {_USABLE}""",
+          FROM (SELECT {_ORDER_KEY} AS job_id, event_type AS container_id, min(event_id) AS first_seq FROM events GROUP BY ALL)),
+        e AS (SELECT {_ORDER_KEY} AS job_id, event_type AS container_id, string_agg(concat(CASE pos WHEN 1 THEN 'stderr' ELSE 'stdout' END, ':', props), '|' ORDER BY event_id, pos) AS lines
+          FROM events, (VALUES (0), (1)) p(pos) WHERE event_type <> 'signup' AND (pos = 0 OR event_type = 'error') GROUP BY ALL)
+        SELECT CASE WHEN callback_url LIKE '%h_x%' THEN 'h_x' ELSE 'host.example:8443' END AS target_host, callback_url, c.job_id,
+          slot, sl.container_id, md5(coalesce(lines, '')) AS digest
+        FROM order_completions c JOIN jobs j ON j.job_id = c.job_id JOIN sl ON sl.job_id = c.job_id
+        LEFT JOIN e ON e.job_id = sl.job_id AND e.container_id = sl.container_id WHERE {_USABLE}""",
     "order_completions",
     "jobs",
 )
 def _(v):
-    docs = G.job_documents(G.coalesce_logs(v.log_batches("order")))
+    """The bodies of a job's parts, cut small here, must make one JSON text with every line in it."""
+    docs = G.job_documents(v.log_batches("order"), 0, piece_lines=3, part_lines=4)
     out = T.export_job_logs(docs, G.delivery_set(v.status_events("order"), v.jobs()))
-    return out.select(
-        "target_host",
-        "callback_url",
-        "job_id",
-        "part",
-        F.json_array_length("body").alias("containers"),
-        F.get_json_object("body", "$[0].container_id").alias("first_container"),
-    )
+    whole = out.groupBy("target_host", "callback_url", "job_id").agg(F.sort_array(F.collect_list(F.struct("part", "body"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["body"]), "")
+    shape = "array<struct<job_id: string, container_id: string, logs: array<struct<message: string, output_stream: string>>>>"
+    boxes = whole.select("target_host", "callback_url", F.posexplode(F.from_json(text, shape)).alias("slot", "c"))
+    digest = F.md5(_lines(F.col("c.logs")).cast("binary")).alias("digest")
+    return boxes.select("target_host", "callback_url", "c.job_id", "slot", "c.container_id", digest)
 
 
 @report(

@@ -140,18 +140,23 @@ def upsert_jobs(old: DataFrame, new: DataFrame, key: str = "job_id", version: st
 
 
 def export_job_logs(documents: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """JSON per deliverable job: target_host, callback_url, job_id, part, body.
+    """JSON per deliverable job: target_host, callback_url, job_id, part, parts, body.
 
-    ``body`` is the JSON list of the part's containers; the parts in order make the whole document.
+    The bodies of a job's parts, put together in order, are one JSON list of its containers; nearly always there is
+    one part. A part may end inside a container, where the next goes on.
     """
-    body = F.transform(
-        "containers",
-        lambda c: F.struct(F.col("job_id"), c["container_id"].alias("container_id"), c["entries"].alias("logs")),
-    )
+
+    def text(c: Column) -> Column:
+        head = F.to_json(F.struct(F.col("job_id"), c["container_id"].alias("container_id")))
+        opened = F.concat(F.when(c["slot"] == 0, "[").otherwise(","), F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"logs":['))
+        logs = F.to_json(c["entries"])
+        closed = F.when(c["piece"] == c["pieces"] - 1, "]}").otherwise("")
+        return F.concat(F.when(c["piece"] == 0, opened).otherwise(","), F.substring(logs, F.lit(2), F.length(logs) - 2), closed)
+
+    end = F.when(F.col("part") == F.col("parts") - 1, "]").otherwise("")
+    body = F.concat(F.array_join(F.transform("containers", text), ""), end)
     rows = documents.join(deliveries.select("job_id", "callback_url"), "job_id")
-    return rows.select(
-        P.callback_host(F.col("callback_url")).alias("target_host"), "callback_url", "job_id", "part", F.to_json(body).alias("body")
-    )
+    return rows.select(P.callback_host(F.col("callback_url")).alias("target_host"), "callback_url", "job_id", "part", "parts", body.alias("body"))
 
 
 def write_exports(exports: DataFrame, path: str, mode: str = "append") -> None:

@@ -124,7 +124,7 @@ def start_documents(
         logs = spark.read.parquet(log_path)
         dates = F.col("event_date").isNull() | F.col("event_date").between(F.lit(span.a), F.lit(span.b))
         wanted = logs.where(dates).join(done.select("job_id"), "job_id", "left_semi")
-        docs = G.job_documents(G.coalesce_logs(stored_batches(wanted), max_entries))
+        docs = G.job_documents(stored_batches(wanted), max_entries)
         ends = done.groupBy("job_id").agg(F.max("completed_at").alias("completed_at"), F.min("complete").alias("complete"))
         docs.join(ends, "job_id").write.mode("overwrite").parquet(f"{folder}/documents")
 

@@ -204,7 +204,7 @@ def test_an_empty_batch_keeps_its_slot(spark, empty):
     df = batches(spark, ("c1", empty), ("c2", ["b"]))
     boxes = G.coalesce_logs(df)
     assert messages(boxes) == [("c1", []), ("c2", ["b"])]
-    (step,) = G.step_log_at(G.job_documents(boxes), 1).collect()
+    (step,) = G.step_log_at(G.job_documents(df), 1).collect()
     assert step.container_id == "c2"
 
 
@@ -213,8 +213,9 @@ def test_trim_keeps_the_last_entries(spark):
     assert messages(G.coalesce_logs(df, 3)) == [("c", ["a7", "a8", "a9"])]
     lines = G.ordered_lines(df, 3).orderBy("line_no").collect()
     assert [(r.line_no, r.message) for r in lines] == [(0, "a7"), (1, "a8"), (2, "a9")]
-    with pytest.raises(ValueError):
-        G.coalesce_logs(df, 0)
+    assert messages(G.coalesce_logs(df, 0)) == [("c", [f"a{i}" for i in range(10)])]
+    pieces = G.coalesce_logs(df, 0, piece_lines=4).orderBy("piece").collect()
+    assert [(r.piece, r.pieces, len(r.entries), r.n_entries) for r in pieces] == [(0, 3, 4, 10), (1, 3, 4, 10), (2, 3, 2, 10)]
     assert G.ordered_lines(df, 0).count() == 10
 
 
@@ -227,8 +228,8 @@ def test_coalescing_does_not_depend_on_batch_splits(spark):
 
 def test_long_documents_come_in_parts(spark):
     df = batches(spark, *[(f"c{i:03d}", [str(i)]) for i in range(10)])
-    docs = G.job_documents(G.coalesce_logs(df), slots_per_part=4).orderBy("part").collect()
-    assert [len(d.containers) for d in docs] == [4, 4, 2]
+    docs = G.job_documents(df, part_lines=8).orderBy("part").collect()
+    assert [len(d.containers) for d in docs] == [4, 4, 2] and [(d.part, d.parts) for d in docs] == [(0, 3), (1, 3), (2, 3)]
     assert [c.container_id for d in docs for c in d.containers] == [f"c{i:03d}" for i in range(10)]
 
 
@@ -415,9 +416,8 @@ def test_tail_logs_and_exports(spark, tmp_path, views):
     assert T.tail_logs(spark, path, "7", stream=False).count() == views.log_entries().where("job_id = '7'").count()
     live = T.tail_logs(spark, path, "7")
     assert live.isStreaming
-    boxes = G.coalesce_logs(batches(spark, ("c1", ["a"]), ("c2", None)))
     deliveries = spark.createDataFrame([("j", "https://u:p@host:1/x")], "job_id string, callback_url string")
-    exports = T.export_job_logs(G.job_documents(boxes), deliveries)
+    exports = T.export_job_logs(G.job_documents(batches(spark, ("c1", ["a"]), ("c2", None))), deliveries)
     T.write_exports(exports, str(tmp_path / "out"))
     (row,) = spark.read.json(str(tmp_path / "out")).collect()
     assert row.target_host == "host:1" and '"container_id":"c1"' in row.body and '"logs":[]' in row.body
