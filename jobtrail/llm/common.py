@@ -2,6 +2,7 @@
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,19 @@ GAPS = " \t\n\x0b\x0c\r"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
 WORD_PATTERN = r"[^\x20\x09-\x0D]"
 
+#: Pre-filters are tables of at most so many hash values, whatever the size of the corpus.
+FILTER = 1 << 20
+U64 = np.uint64
+
+
+def mixed64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the input moves every bit of the output."""
+    x = x ^ (x >> U64(31))
+    x = x * U64(0x9E3779B97F4A7C15)
+    x = x ^ (x >> U64(29))
+    x = x * U64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U64(32))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,3 +67,18 @@ def parts_for(df: DataFrame, weight: Column, per_part: int, least: int = 1) -> i
 def plain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only these columns, so that no other name of the input can clash with a computed one."""
     return df.select(*columns)
+
+
+def in_filter(rows: DataFrame, column: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """Rows with a boolean: false where ``column`` is surely not among ``wanted``'s.
+
+    Only hash values are sent to all executors, ``FILTER`` of them at most; over very large inputs all are true.
+    """
+    cell = F.pmod(F.xxhash64(column), F.lit(FILTER)).cast("int")
+    cells = F.broadcast(wanted.select(cell.alias("__cell")).distinct().withColumn(flag, F.lit(True)))
+    return rows.withColumn("__cell", cell).join(cells, "__cell", "left").drop("__cell").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def prefiltered(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``column`` may be among ``wanted``'s: less to shuffle for the exact join that has to follow."""
+    return in_filter(rows, column, wanted, "__may").where("__may").drop("__may")

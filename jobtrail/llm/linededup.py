@@ -9,61 +9,104 @@ quarters at a time, and only where another line has the same key does a line emi
 quarter. No partner is lost by that, and lines unlike all others, which are nearly all, emit four keys each.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import materialised
+from jobtrail.llm.common import GAPS, in_filter, materialised, mixed64, prefiltered
 
-#: Shorter lines say too little to be called copies of each other: they always stay.
+#: Lines with fewer characters besides white space say too little to be called copies: they always stay.
 MIN_CHARS = 20
-QUARTERS = 4
-STEP = 8
+QUARTERS, STEP = 4, 8
+U64 = np.uint64
+_LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
-def _lines(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
-    """One row per line of at least ``min_chars`` characters: its place in the order, its two hashes and the line."""
-    each = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    each = each.where(F.length(F.trim("line")) >= min_chars)
-    place = F.struct("doc_id", "text_hash", "line_no").alias("place")
-    return each.select(place, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
-
-
-def _quarter_keys(line: Column) -> Column:
-    """Structs ``k, a, s``: hash of all but a quarter, and the lengths before and after that quarter.
+def _line_rows(texts: list[str], min_chars: int):
+    """Per line that counts: number of its text, of the line in it, two hashes, and its keys with their number.
 
-    Lines of n and n + 1 characters must cut alike to meet, so cuts depend on a length rounded down to a multiple of
-    ``STEP``; a line at the lower end of such a range cuts like the range below as well.
+    A line's hashes are sums of characters weighed by their place from the front and from the back, so that those of
+    beginnings and ends come from running sums. A key covers all but a quarter. Lines of n and n + 1 characters must
+    be cut alike to meet, so cuts depend on a length rounded down to a multiple of ``STEP``; a line of such a length
+    may meet one that is shorter by one and is keyed like that as well.
     """
-    n = F.length(line)
-    base = F.floor(n / STEP) * STEP
-    # A line of 8 q characters may pair with one of 8 q - 1, which cuts by the range below.
-    bases = F.when(n % STEP == 0, F.array(base, base - STEP)).otherwise(F.array(base))
-
-    def keys(b: Column) -> Column:
-        out = []
-        for j in range(QUARTERS):
-            before, after = F.floor(b * j / QUARTERS).cast("int"), (b - F.floor(b * (j + 1) / QUARTERS)).cast("int")
-            kept = F.xxhash64(b, F.lit(j), F.substring(line, F.lit(1), before), F.substring(line, n - after + 1, after))
-            out.append(F.struct(kept.alias("k"), before.alias("a"), after.alias("s")))
-        return F.array(*out)
-
-    return F.flatten(F.transform(bases, keys))
-
-
-def near_lines(distinct: DataFrame, lines: DataFrame, max_edits: int = 1) -> DataFrame:
-    """``h1, h2`` of those distinct lines that have a different, earlier line within one edit.
-
-    ``distinct`` has ``h1, h2, first`` with the first place of each different line; ``lines`` is ``_lines``' result.
-    """
-    only = lines.join(distinct.select("h1", "h2", F.col("first").alias("place")), ["h1", "h2", "place"], "left_semi").dropDuplicates(["h1", "h2"])
-    keyed = only.select("h1", "h2", "place", F.explode(_quarter_keys(F.col("line"))).alias("q"))
-    slim = keyed.select("h1", F.col("q.k").alias("k"))
-    shared = slim.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("k")
-    # The keys that two different lines have: few, and all that goes on.
-    hot = keyed.select("h1", "h2", "place", F.col("q.k").alias("k"), F.col("q.a").alias("a"), F.col("q.s").alias("s")).join(shared, "k", "left_semi")
-    full = materialised(hot.join(only.select("h1", "h2", "line"), ["h1", "h2"]))
-    part = F.substring("line", F.col("a") + 1, F.length("line") - F.col("a") - F.col("s"))
-    cut = full.select("h1", "h2", "place", "k", part.alias("part"))
+    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype="<u4").astype(U64)
+    stops = np.flatnonzero(points == 10)
+    starts = np.concatenate([[0], stops[:-1] + 1])
+    n = stops - starts
+    counts = np.array([t.count("\n") + 1 for t in texts])
+    text = np.repeat(np.arange(len(texts)), counts)
+    number = np.arange(len(n)) - np.repeat(np.cumsum(counts) - counts, counts)
+    solid = np.concatenate([[0], np.cumsum(~np.isin(points, [ord(c) for c in GAPS]))])
+    weights = mixed64(np.arange(1, int(n.max()) + 2, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+    place = np.arange(len(points)) - np.repeat(starts, n + 1)
+    front = np.concatenate([np.zeros(1, U64), np.cumsum((points + U64(1)) * weights[place], dtype=U64)])
+    back = np.concatenate([np.zeros(1, U64), np.cumsum((points + U64(7)) * weights[np.maximum(np.repeat(n, n + 1) - 1 - place, 0)], dtype=U64)])
+    own = np.flatnonzero(solid[stops] - solid[starts] >= min_chars)
+    starts, stops, n = starts[own], stops[own], n[own]
+    sized = n.astype(U64) * U64(0x9FB21C651E98DF25)
+    h1, h2 = mixed64(front[stops] - front[starts] + sized), mixed64((back[stops] - back[starts]) ^ sized)
+    keys = np.zeros((len(own), 2 * QUARTERS), dtype=U64)
+    for i in range(2 * QUARTERS):
+        base, j = n // STEP * STEP - STEP * (i // QUARTERS), i % QUARTERS
+        before, after = base * j // QUARTERS, base - base * (j + 1) // QUARTERS
+        head, tail = front[starts + before] - front[starts], back[stops] - back[stops - after]
+        keys[:, i] = mixed64(mixed64(head + base.astype(U64) * U64(4) + U64(j)) + tail)
+    twice = n % STEP == 0
+    used = np.ones(keys.shape, dtype=bool)
+    used[:, QUARTERS:] = twice[:, None]
+    return text[own], number[own], h1, h2, keys[used], np.where(twice, 2 * QUARTERS, QUARTERS)
+
+
+def _emit_lines(min_chars: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def emit(batches):
+        for batch in batches:
+            texts, at = batch.column("text"), 0
+            while at < batch.num_rows:
+                part, size = [], 0
+                while at + len(part) < batch.num_rows and (not part or size < 1 << 19):
+                    part.append(texts[at + len(part)].as_py())
+                    size += len(part[-1])
+                text, number, h1, h2, keys, counts = _line_rows(part, min_chars)
+                rows = pa.array(text + at)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(rows),
+                        batch.column("text_hash").take(rows),
+                        pa.array(number.astype(np.int32)),
+                        pa.array(h1.view(np.int64)),
+                        pa.array(h2.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
+                    ],
+                    schema=schema,
+                )
+                at += len(part)
+
+    return emit
+
+
+def _near_lines(docs: DataFrame, text: str, lines: DataFrame, distinct: DataFrame, max_edits: int = 1) -> DataFrame:
+    """``h1, h2`` of the different lines that have another, earlier line within one edit."""
+    each = lines.select("h1", "h2", "doc_id", "text_hash", "line_no", F.posexplode("keys").alias("q", "k"))
+    shared = each.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("k")
+    shared = materialised(shared)
+    # Lines that agree with a different line in three quarters: few, and all that goes on. Once each, at their first place.
+    likely = prefiltered(each, "k", shared).join(shared, "k")
+    place = F.struct("doc_id", "text_hash", "line_no").alias("place")
+    first = likely.select("h1", "h2", "k", "q", place).join(distinct.select("h1", "h2", F.col("first").alias("place")), ["h1", "h2", "place"], "left_semi")
+    per_doc = materialised(first.distinct().groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place", "k", "q")).alias("wanted")))
+    some = prefiltered(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).where("text is not null"), "text_hash", per_doc)
+    found = some.dropDuplicates(["doc_id", "text_hash"]).join(per_doc.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
+    found = found.select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", "w.k", "w.q", F.get("all", F.col("w.place.line_no")).alias("line"))
+    full = materialised(found)
+    n, j = F.length("line"), F.col("q") % QUARTERS
+    base = F.floor(n / STEP) * STEP - F.when(F.col("q") >= QUARTERS, STEP).otherwise(0)
+    before, after = F.floor(base * j / QUARTERS), base - F.floor(base * (j + 1) / QUARTERS)
+    cut = full.select("h1", "h2", "place", "k", F.substring("line", (before + 1).cast("int"), (n - before - after).cast("int")).alias("part"))
     own = F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64("part").alias("v")))
     without = F.transform(
         F.sequence(F.lit(1), F.length("part")),
@@ -77,9 +120,9 @@ def near_lines(distinct: DataFrame, lines: DataFrame, max_edits: int = 1) -> Dat
     changed = F.when(F.col("i") > 0, F.min("place").over(same))
     shorter = F.when(F.col("i") > 0, F.min(F.when(F.col("i") < 0, F.col("place"))).over(one))
     longer = F.when(F.col("i") < 0, F.min(F.when(F.col("i") > 0, F.col("place"))).over(one))
-    pairs = emitted.select("h1", "h2", "place", F.least(changed, shorter, longer).alias("other")).where("other < place").dropDuplicates()
-    text = full.select(F.col("place").alias("other"), F.col("line").alias("other_line")).dropDuplicates(["other"])
-    both = pairs.join(full.select("h1", "h2", "line").dropDuplicates(["h1", "h2"]), ["h1", "h2"]).join(text, "other")
+    pairs = emitted.select("h1", "h2", "place", F.least(changed, shorter, longer).alias("other")).where("other < place").distinct()
+    text_of = full.select(F.col("place").alias("other"), F.col("line").alias("other_line")).dropDuplicates(["other"])
+    both = pairs.join(full.select("h1", "h2", "line").dropDuplicates(["h1", "h2"]), ["h1", "h2"]).join(text_of, "other")
     return both.where(F.levenshtein("line", "other_line") <= max_edits).select("h1", "h2").distinct()
 
 
@@ -89,29 +132,40 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS)
     A line goes if an earlier line of any document equals it or is within one edit of it, whether or not that
     earlier line itself goes. Lines are ordered by doc_id (null first) and line number; documents that share a
     doc_id are ordered by a hash of their texts, and rows that repeat id and text count as one document and stay
-    alike. Lines of fewer than ``min_chars`` characters stay. What is left is joined by line ends again. Null texts
-    stay null with 0 lines. Columns named ``n_lines`` or ``n_removed`` are replaced.
+    alike. Lines with fewer than ``min_chars`` characters besides white space stay. What is left is joined by line
+    ends again. Null texts stay null with 0 lines. Columns named ``n_lines`` or ``n_removed`` are replaced.
 
-    Equal lines are counted with partial sums before the shuffle. Only the first place of a line is compared on.
+    Equal lines are counted with partial sums before the shuffle and only their first place is compared on. Whole
+    texts are shuffled only for documents that lose lines or have a line that another nearly equals.
     """
     docs = docs.drop("n_lines", "n_removed")
-    lines = _lines(docs, text, min_chars)
-    distinct = materialised(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")))
-    near = near_lines(distinct, lines)
-    marked = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text is not null")
+    lines = materialised(read.mapInArrow(_emit_lines(min_chars), _LINES))
+    place = F.struct("doc_id", "text_hash", "line_no")
+    distinct = materialised(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    near = _near_lines(docs, text, lines, distinct)
     # A line that comes once and is near no other costs nothing from here on.
-    gone = marked.where("n > 1 or near")
-    removed = lines.select("place", "h1", "h2").join(gone, ["h1", "h2"]).where("near or place > first")
+    gone = materialised(distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near"))
+    removed = prefiltered(lines.select("h1", "h2", place.alias("place")), "h1", gone).join(gone, ["h1", "h2"]).where("near or place > first")
     per_doc = removed.groupBy(F.col("place.doc_id").alias("__d"), F.col("place.text_hash").alias("__h")).agg(F.collect_set("place.line_no").alias("__gone"))
-    keyed = docs.withColumn("__text_hash", F.xxhash64(text))
-    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")), "left")
-    joined = joined.withColumn("__all", F.split(F.col(text), "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone"))
-    rest = F.when(F.size(stay) == 0, F.lit("")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__all", i)), "\n"))
-    return joined.withColumns(
-        {
-            text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest),
-            "n_lines": F.when(F.col("__all").isNull(), 0).otherwise(F.size("__all")).cast("long"),
-            "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
-        }
-    ).select(*docs.columns, "n_lines", "n_removed")
+    per_doc = materialised(per_doc)
+    flagged = in_filter(docs.withColumn("__h", F.xxhash64(text)), "__h", per_doc, "__may")
+    untouched = flagged.where("not __may").withColumn("__gone", F.lit(None).cast("array<int>")).drop("__h", "__may")
+    touched = flagged.where("__may").withColumnRenamed("__h", "__own").drop("__may")
+    touched = touched.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")), "left").drop("__d", "__h", "__own")
+    every = F.col("__all")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("__gone"))
+    rest = F.when(F.size(stay) == 0, F.lit("")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(every, i)), "\n"))
+    none = F.col("__gone").isNull()
+    return (
+        untouched.unionByName(touched)
+        .withColumn("__all", F.split(F.col(text), "\n"))
+        .withColumns(
+            {
+                text: F.when(none, F.col(text)).otherwise(rest),
+                "n_lines": F.when(every.isNull(), 0).otherwise(F.size(every)).cast("long"),
+                "n_removed": F.when(none, 0).otherwise(F.size("__gone")).cast("long"),
+            }
+        )
+        .select(*docs.columns, "n_lines", "n_removed")
+    )
