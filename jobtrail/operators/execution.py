@@ -213,18 +213,16 @@ def env_report(jobs: DataFrame, script_key: str | None = None) -> DataFrame:
     """One row per (job, step, variable) with its final value and where it comes from."""
     steps = jobs.select(F.col("id").alias("job_id"), "name", "metadata", F.explode("steps").alias("step"))
     reserved = P.reserved_env(F.col("job_id"), F.col("name"), F.col("step"), script_key)
-    maps = F.struct(F.col("metadata").alias("job"), F.col("step.metadata").alias("step"), reserved.alias("fixed"))
-
-    def rows(m: Column) -> Column:
-        source = lambda key: (
-            F.when(F.map_contains_key(m["fixed"], key), "reserved")
-            .when(F.map_contains_key(F.coalesce(m["step"], P.empty_map()), key), "step")
-            .otherwise("job")
-        )
-        entries = P.env_rows(P.effective_env(m["job"], m["step"], m["fixed"]))
-        return F.transform(entries, lambda e: F.struct(e["name"].alias("key"), e["value"].alias("value"), source(e["name"]).alias("source")))
-
-    return steps.select("job_id", F.col("step.id").alias("step_id"), F.inline(P.let(maps, rows)))
+    # Each value carries its source and the rank of its source, so overlaying them is the last one by rank per key.
+    layers = (("job", F.col("metadata")), ("step", F.col("step.metadata")), ("reserved", reserved))
+    told = lambda rank, source, m: F.transform(
+        F.map_entries(F.coalesce(m, P.empty_map())),
+        lambda e: F.struct(e["key"].alias("key"), F.lit(rank).alias("rank"), e["value"].alias("value"), F.lit(source).alias("source")),
+    )
+    every = F.array_sort(F.concat(*[told(i, source, m) for i, (source, m) in enumerate(layers)]))
+    rows = steps.select("job_id", F.col("step.id").alias("step_id"), every.alias("_all"))
+    last = F.filter("_all", lambda e, i: ~F.coalesce(F.get("_all", i + 1)["key"] == e["key"], F.lit(False)))
+    return rows.select("job_id", "step_id", F.inline(last)).drop("rank")
 
 
 def job_spec_rows(jobs: DataFrame, namespace: str, priority_key: str = "priority", labels: dict[str, str] | None = None) -> DataFrame:

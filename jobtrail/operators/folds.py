@@ -50,12 +50,9 @@ def ordered_fold(
 
 
 def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of keys with more than ``hot_rows`` rows.
-
-    There are fewer than rows/hot_rows hot keys, so their list is small enough to send to every task.
-    """
+    """Rows of ordinary keys and rows of keys with more than ``hot_rows`` rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select(key))
+    hot = counts.where(F.col("_n") > hot_rows).select(key)
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 

@@ -7,7 +7,6 @@ output_stream); ``seq`` is the arrival number of the batch, ``pos`` the place in
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtrail import schemas as S
@@ -131,12 +130,12 @@ def dedup_replay(entries: DataFrame) -> DataFrame:
     return first.select(*key, "_f.*").select(*entries.columns)
 
 
-def assign_batches(entries: DataFrame, size: int = 50, interval_seconds: int = 1) -> DataFrame:
+def assign_batches(entries: DataFrame, size: int = 50, interval_seconds: int = 1, block: int = ordered.SEQ_BLOCK) -> DataFrame:
     """Deterministic micro-batches: per container and time slice, ``size`` entries each, in order."""
     tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(interval_seconds * 1_000_000))
-    order = W.partitionBy(*CONTAINER, "batch_tick").orderBy("seq", "pos")
-    part = F.floor((F.row_number().over(order) - 1) / F.lit(size))
-    return entries.withColumn("batch_tick", tick).withColumn("batch_id", part)
+    ticked = entries.withColumn("batch_tick", tick)
+    rows = ordered.numbered(ticked, [*CONTAINER, "batch_tick"], ["seq", "pos"], [ordered.seq_block("seq", block)], "_rn")
+    return rows.withColumn("batch_id", F.floor((F.col("_rn") - 1) / F.lit(size))).drop("_rn")
 
 
 # --- coalesced logs and job documents ------------------------------------------------------

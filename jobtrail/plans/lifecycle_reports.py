@@ -211,7 +211,7 @@ def _(v):
           {_TIMES}, coalesce(p.name, '') AS name, CASE WHEN p.id IS NULL THEN 0 ELSE 2 END AS step_count,
           epoch_us(p.timestamp) AS submitted_at, coalesce(p.timeout_seconds, 0) AS timeout_seconds, p.id IS NOT NULL AS payload_available,
           CASE WHEN p.id IS NULL OR o_orderkey % 13 = 0 THEN NULL WHEN o_custkey % 4 = 0 THEN '' ELSE '••••••' END AS git_password,
-          CASE WHEN p.id IS NOT NULL THEN concat('export API_KEY=••••••; git clone https://u:••••••@h.example/r.git') END AS script
+          CASE WHEN p.id IS NOT NULL THEN concat('export DEPLOY_SECRET=••••••; svn checkout https://bot:••••••@code.example/tree') END AS script
         FROM order_summary s FULL OUTER JOIN payloads p ON s.job_id = p.id""",
     "order_summary",
     "payloads",

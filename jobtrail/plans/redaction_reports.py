@@ -39,7 +39,7 @@ def _(v):
 
 @report(
     "p24_redact_scripts",
-    """SELECT job_id, CAST(id AS BIGINT) AS step_id, CASE WHEN id = 1 THEN 'export API_KEY=••••••; git clone https://u:••••••@h.example/r.git' ELSE script END AS script
+    """SELECT job_id, CAST(id AS BIGINT) AS step_id, CASE WHEN id = 1 THEN 'export DEPLOY_SECRET=••••••; svn checkout https://bot:••••••@code.example/tree' ELSE script END AS script
        FROM payload_steps""",
     "payload_steps",
 )

@@ -206,7 +206,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "payload_steps": (
         (),
         """SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 1 AS id, 'clone' AS name, concat('img-', CAST(o_custkey % 20 AS VARCHAR)) AS image,
-    concat('export API_KEY=sk-', CAST(o_orderkey AS VARCHAR), '; git clone https://u:p', CAST(o_custkey AS VARCHAR), '@h.example/r.git') AS script,
+    concat('export DEPLOY_SECRET=v-', CAST(o_orderkey AS VARCHAR), '; svn checkout https://bot:p', CAST(o_custkey AS VARCHAR), '@code.example/tree') AS script,
     o_custkey % 2 = 0 AS continue_on_error, o_custkey % 5 AS cpu_limit,
     CASE o_custkey % 8 WHEN 0 THEN '512M' WHEN 1 THEN '2G' WHEN 2 THEN '1g' WHEN 3 THEN '' WHEN 4 THEN '3G' WHEN 5 THEN '1G'
       WHEN 6 THEN '640M' ELSE '256m' END AS memory_limit,
@@ -223,10 +223,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 0 AS step_id, 'GIT_PASSWORD' AS key,
     CASE WHEN o_custkey % 4 = 0 THEN '' ELSE concat('pw', CAST(o_custkey AS VARCHAR)) END AS value FROM orders WHERE o_orderkey % 13 <> 0
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 0, 'BRANCH', concat('b', CAST(o_custkey % 3 AS VARCHAR)) FROM orders WHERE o_orderkey % 13 <> 0
-  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 0, 'CONN', CASE o_custkey % 3 WHEN 0 THEN concat('redis://admin:p', CAST(o_custkey AS VARCHAR), '@cache:6379')
-    ELSE 'redis://cache:6379' END FROM orders WHERE o_orderkey % 13 <> 0
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 0, 'CONN', CASE o_custkey % 3 WHEN 0 THEN concat('amqp://svc:q', CAST(o_custkey AS VARCHAR), '@bus.local:5671')
+    ELSE 'amqp://bus.local:5671' END FROM orders WHERE o_orderkey % 13 <> 0
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 0, 'BLOB', CASE o_orderkey % 4 WHEN 0 THEN md5(CAST(o_orderkey AS VARCHAR)) WHEN 1 THEN repeat('ab', 20)
-    WHEN 2 THEN '-----BEGIN X-----' ELSE 'eyJhbGci.eyJzdWIi.dBjftJeZ' END FROM orders WHERE o_orderkey % 13 <> 0
+    WHEN 2 THEN '-----BEGIN SAMPLE-----' ELSE 'aGVhZGVy.cGF5bG9h.c2lnbmF0' END FROM orders WHERE o_orderkey % 13 <> 0
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1, 'BRANCH', concat('s', CAST(o_custkey % 2 AS VARCHAR)) FROM orders
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1, 'JOB_NAME', 'mine' FROM orders
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 2, 'TOKEN', 't' FROM orders WHERE o_orderkey % 2 = 0""",
@@ -277,6 +277,6 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   CASE WHEN line_no % 5 = 0 THEN 'stderr' ELSE 'stdout' END AS stream, line_no,
   CASE line_no % 4 WHEN 0 THEN line WHEN 1 THEN concat('2024-01-01T00:00:01Z ', line)
     WHEN 2 THEN concat('2024-01-01T00:00:02Z time="2024-01-01T00:01:00.5Z" level="info" msg="', line, '"')
-    ELSE concat('export API_KEY=sk-live-', CAST(doc_id AS VARCHAR), '; psql postgres://u:p4ss@db/app ', line) END AS line FROM lines""",
+    ELSE concat('set MAIL_PASSWORD=mp-', CAST(doc_id AS VARCHAR), '; fetch sftp://bob:open1@files/app ', line) END AS line FROM lines""",
     ),
 }

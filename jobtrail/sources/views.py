@@ -1,9 +1,9 @@
 """Entity views over the driver's tables (see FIXTURES.md). Every view reads its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobtrail.operators import ordered
 from jobtrail.session import configure
 from jobtrail.sources.tables import split_lines
 
@@ -132,12 +132,12 @@ class Views:
               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE map(
                 'GIT_PASSWORD', CASE WHEN o_custkey % 4 = 0 THEN '' ELSE concat('pw', o_custkey) END,
                 'BRANCH', concat('b', o_custkey % 3),
-                'CONN', CASE o_custkey % 3 WHEN 0 THEN concat('redis://admin:p', o_custkey, '@cache:6379') ELSE 'redis://cache:6379' END,
+                'CONN', CASE o_custkey % 3 WHEN 0 THEN concat('amqp://svc:q', o_custkey, '@bus.local:5671') ELSE 'amqp://bus.local:5671' END,
                 'BLOB', CASE o_orderkey % 4 WHEN 0 THEN md5(CAST(o_orderkey AS STRING)) WHEN 1 THEN repeat('ab', 20)
-                        WHEN 2 THEN '-----BEGIN X-----' ELSE 'eyJhbGci.eyJzdWIi.dBjftJeZ' END) END AS metadata,
+                        WHEN 2 THEN '-----BEGIN SAMPLE-----' ELSE 'aGVhZGVy.cGF5bG9h.c2lnbmF0' END) END AS metadata,
               array(
                 named_struct('id', 1, 'name', 'clone', 'image', concat('img-', o_custkey % 20),
-                  'script', concat('export API_KEY=sk-', o_orderkey, '; git clone https://u:p', o_custkey, '@h.example/r.git'),
+                  'script', concat('export DEPLOY_SECRET=v-', o_orderkey, '; svn checkout https://bot:p', o_custkey, '@code.example/tree'),
                   'continue_on_error', o_custkey % 2 = 0, 'metadata', map('BRANCH', concat('s', o_custkey % 2), 'JOB_NAME', 'mine'),
                   'cpu_limit', o_custkey % 5,
                   'memory_limit', CASE o_custkey % 8 WHEN 0 THEN '512M' WHEN 1 THEN '2G' WHEN 2 THEN '1g' WHEN 3 THEN ''
@@ -244,11 +244,9 @@ class Views:
     _STEP_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax"]
 
     def steps(self) -> DataFrame:
-        """Steps numbered from 1 inside their job. Line numbers and part ranges block the numbering, so an
-        order with very many lines is split."""
-        blocks = [F.col("l_linenumber"), ordered.seq_block("l_partkey", 100_000)]
-        rows = ordered.numbered(self.step_rows(), ["job_id"], self._STEP_ORDER, blocks, "step_id")
-        return rows.withColumn("step_id", F.col("step_id").cast("int")).drop(*self._STEP_ORDER)
+        """Steps numbered from 1 inside their job. An order has a handful of lines, so a plain window will do."""
+        number = F.row_number().over(W.partitionBy("job_id").orderBy(*self._STEP_ORDER))
+        return self.step_rows().withColumn("step_id", number).drop(*self._STEP_ORDER)
 
     def containers(self) -> DataFrame:
         """Container states: the last two line numbers act as app containers."""
@@ -284,7 +282,7 @@ class Views:
               CASE line_no % 4 WHEN 0 THEN line
                 WHEN 1 THEN concat('2024-01-01T00:00:01Z ', line)
                 WHEN 2 THEN concat('2024-01-01T00:00:02Z time="2024-01-01T00:01:00.5Z" level="info" msg="', line, '"')
-                ELSE concat('export API_KEY=sk-live-', doc_id, '; psql postgres://u:p4ss@db/app ', line) END AS line
+                ELSE concat('set MAIL_PASSWORD=mp-', doc_id, '; fetch sftp://bob:open1@files/app ', line) END AS line
             FROM {lines}
             """,
             lines=docs,

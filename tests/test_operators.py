@@ -209,14 +209,14 @@ def test_an_empty_batch_keeps_its_slot(spark, empty):
 
 
 def test_trim_keeps_the_last_entries(spark):
-    df = batches(spark, *[("c", [f"a{i}"]) for i in range(10)])
-    assert messages(G.coalesce_logs(df, 3)) == [("c", ["a7", "a8", "a9"])]
-    lines = G.ordered_lines(df, 3).orderBy("line_no").collect()
-    assert [(r.line_no, r.message) for r in lines] == [(0, "a7"), (1, "a8"), (2, "a9")]
-    assert messages(G.coalesce_logs(df, 0)) == [("c", [f"a{i}" for i in range(10)])]
-    pieces = G.coalesce_logs(df, 0, piece_lines=4).orderBy("piece").collect()
-    assert [(r.piece, r.pieces, len(r.entries), r.n_entries) for r in pieces] == [(0, 3, 4, 10), (1, 3, 4, 10), (2, 3, 2, 10)]
-    assert G.ordered_lines(df, 0).count() == 10
+    df = batches(spark, *[("c", [f"l{i}"]) for i in range(13)])
+    assert messages(G.coalesce_logs(df, 2)) == [("c", ["l11", "l12"])]
+    lines = G.ordered_lines(df, 2).orderBy("line_no").collect()
+    assert [(r.line_no, r.message) for r in lines] == [(0, "l11"), (1, "l12")]
+    assert messages(G.coalesce_logs(df, 0)) == [("c", [f"l{i}" for i in range(13)])]
+    pieces = G.coalesce_logs(df, 0, piece_lines=5).orderBy("piece").collect()
+    assert [(r.piece, r.pieces, len(r.entries), r.n_entries) for r in pieces] == [(0, 3, 5, 13), (1, 3, 5, 13), (2, 3, 3, 13)]
+    assert G.ordered_lines(df, 0).count() == 13
 
 
 def test_coalescing_does_not_depend_on_batch_splits(spark):
@@ -283,13 +283,13 @@ def test_outcome(spark):
 
 def test_stuck(spark):
     rows = [
-        ("a", False, 0, "ImagePullBackOff", "ghcr.io/x/y:1.0.0"), ("b", True, 0, "CrashLoopBackOff", "busybox:latest"), ("c", False, 0, "ErrImagePull", "i"),
+        ("a", False, 0, "ImagePullBackOff", "reg.example/tool:7"), ("b", True, 0, "CrashLoopBackOff", "runner:9"), ("c", False, 0, "ErrImagePull", "i"),
         ("d", False, 0, "ContainerCreating", "i"), ("e", True, 0, "CrashLoopBackOff", "app"), ("e", False, 1, "InvalidImageName", "init"), ("f", False, 0, None, "i"),
     ]
     df = spark.createDataFrame(rows, "job_id string, is_app boolean, idx int, waiting_reason string, image string")
     assert {r.job_id: r.reason for r in E.stuck_report(df).collect()} == {
-        "a": "ImagePullBackOff (step 1): ghcr.io/x/y:1.0.0",
-        "b": "CrashLoopBackOff (container 1): busybox:latest",
+        "a": "ImagePullBackOff (step 1): reg.example/tool:7",
+        "b": "CrashLoopBackOff (container 1): runner:9",
         "e": "InvalidImageName (step 2): init",
     }
 

@@ -40,31 +40,31 @@ def test_first_reason(table):
 
 
 def test_memory_limits(table):
-    good = [("1G", 1073741824), ("2g", 2147483648), ("10G", 10737418240), ("1M", 1048576), ("2m", 2097152), ("512M", 536870912), ("+1G", 1 << 30)]
-    bad = [("1T", "unit"), ("1K", "unit"), ("1B", "unit"), ("abcM", "value"), ("", "format"), ("G", "format"), ("-5G", "negative"),
-           ("123", "unit"), ("1 G", "value"), ("9223372036854775807G", "overflow"), ("99999999999999999999G", "value"), ("1G\n", "value")]
+    good = [("3G", 3 << 30), ("7g", 7 << 30), ("40G", 40 << 30), ("5M", 5 << 20), ("6m", 6 << 20), ("768M", 768 << 20), ("+3G", 3 << 30), ("0M", 0)]
+    bad = [("4T", "unit"), ("8K", "unit"), ("9B", "unit"), ("x1M", "value"), ("", "format"), ("m", "format"), ("-2M", "negative"),
+           ("777", "unit"), ("6 G", "value"), ("8589934592G", "overflow"), ("99999999999999999999M", "value"), ("3G\n", "value")]
     table(P.memory_limit_bytes, good + [(t, None) for t, _ in bad])
     table(P.memory_limit_error, bad + [(t, None) for t, _ in good])
 
 
 def test_find_limit(evaluate):
-    rows = [(0, 0), (0, 10), (10, 0), (5, 10), (10, 5), (7, 7)]
-    assert [r[0] for r in evaluate("a int, b int", rows, P.find_limit(F.col("a"), F.col("b")))] == [0, 10, 10, 5, 5, 7]
-    floats = [(0.0, 0.0), (0.0, 5.5), (3.3, 0.0), (2.5, 7.8)]
-    assert [r[0] for r in evaluate("a double, b double", floats, P.find_limit(F.col("a"), F.col("b"), 0.0))] == [0.0, 5.5, 3.3, 2.5]
-    texts = [("", ""), ("", "hello"), ("world", ""), ("apple", "banana")]
-    assert [r[0] for r in evaluate("a string, b string", texts, P.find_limit(F.col("a"), F.col("b"), ""))] == ["", "hello", "world", "apple"]
+    rows = [(0, 0), (0, 4), (6, 0), (4, 6), (6, 4), (8, 8)]
+    assert [r[0] for r in evaluate("a int, b int", rows, P.find_limit(F.col("a"), F.col("b")))] == [0, 4, 6, 4, 4, 8]
+    floats = [(0.0, 0.0), (0.0, 0.25), (1.5, 0.0), (9.75, 0.5)]
+    assert [r[0] for r in evaluate("a double, b double", floats, P.find_limit(F.col("a"), F.col("b"), 0.0))] == [0.0, 0.25, 1.5, 0.5]
+    texts = [("", ""), ("", "oak"), ("elm", ""), ("fir", "ash")]
+    assert [r[0] for r in evaluate("a string, b string", texts, P.find_limit(F.col("a"), F.col("b"), ""))] == ["", "oak", "elm", "ash"]
 
 
 def test_find_memory_limit(evaluate):
-    rows = [("", ""), ("1G", ""), ("", "2M"), ("1G", "2M"), ("512M", "1G"), ("invalid", "2M"), ("1G", "invalid"), ("invalid1", "invalid2")]
-    want = [0, 1 << 30, 2 << 20, 2 << 20, 512 << 20, 2 << 20, 1 << 30, 0]
+    rows = [("", ""), ("3G", ""), ("", "9M"), ("3G", "9M"), ("700M", "3G"), ("lots", "9M"), ("3G", "lots"), ("lots", "more")]
+    want = [0, 3 << 30, 9 << 20, 9 << 20, 700 << 20, 9 << 20, 3 << 30, 0]
     assert [r[0] for r in evaluate("a string, b string", rows, P.find_memory_limit(F.col("a"), F.col("b")))] == want
 
 
 def test_network_modes(table):
-    valid = ["", "none", "bridge", "host", "default", "my-net", "build_net.1", "some-build-network"]
-    invalid = [" ", "no ne", "net work", "-leading", ".dot", "bad/slash", "tab\there", "net\n"]
+    valid = ["", "none", "bridge", "host", "default", "lab-7", "ci.lan_2", "9lives"]
+    invalid = [" ", "la b", "lan 2", "-lan", ".lan", "lan/2", "la\tn", "lan\n"]
     table(lambda c: P.network_mode_error(c).isNull(), [(v, True) for v in valid] + [(v, False) for v in invalid])
 
 
@@ -74,18 +74,18 @@ def test_callback_urls(table):
     table(
         P.callback_url_error,
         [
-            ("http://localhost:8082/adapter/logs", None),
-            ("https://example.com/adapter/logs", None),
-            ("HTTPS://host.example.com:8443/path", None),
+            ("http://collector:9100/in", None),
+            ("https://logs.example/in/put", None),
+            ("HTTPS://Logs.Example:9443/p", None),
             ("http://[::1]:80/x", None),
             ("http://:80/", None),
             ("", absolute),
-            ("/adapter/logs", absolute),
-            ("example.com/logs", absolute),
-            ("ftp://example.com/logs", scheme),
-            ("file:///etc/passwd", scheme),
-            ("javascript:alert(1)", scheme),
-            ("http:///path", host),
+            ("/in/put", absolute),
+            ("logs.example/in", absolute),
+            ("gopher://logs.example/in", scheme),
+            ("file:///srv/in", scheme),
+            ("mailto:ops", scheme),
+            ("http:///in", host),
             ("http://u@/", host),
             ("http:opaque", host),
             ("http://a b/", broken),
@@ -93,7 +93,7 @@ def test_callback_urls(table):
             ("http://h/%zz", broken),
             ("://h", broken),
             ("http://h/\x01", broken),
-            ("first:seg/../x y"[5:], broken),
+            (":seg/../x y", broken),
         ],
     )
 
@@ -102,7 +102,7 @@ def test_sanitize_callback_url(table):
     table(
         P.sanitize_callback_url,
         [
-            ("https://user:tok@example.com/logs?sig=1#frag", "https://example.com/logs"),
+            ("https://bob:0pen@logs.example/in?k=1#top", "https://logs.example/in"),
             ("HTTPS://h/x", "https://h/x"),
             ("https://h/a@b", "https://h/a@b"),
             ("http://h/%zz?token=1", "http://h/%zz?token=1"),
@@ -150,7 +150,7 @@ def test_requests_follow_limits_only_when_none_is_set(evaluate):
 
 
 def test_ids(table):
-    low = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+    low = "63e4a1b0-7c2d-4f6e-8a95-0d1b2c3e4f56"
     table(
         P.canonical_job_id,
         [(low, low), (low.upper(), low), ("{" + low + "}", low), ("URN:UUID:" + low, low), (low.replace("-", ""), low), ("not-a-uuid", None),
