@@ -5,28 +5,28 @@ a pair is dropped as soon as, given the matches so far, the posterior probabilit
 threshold is below a chosen miss probability. What is left is verified on the full sets of shingles.
 
 A bucket of m documents holds m * m / 2 candidates, and most say nothing new: copies of one text are all linked. So
-each bucket first verifies its members against one pivot, then, where members are still apart, against a second,
-drawn by hash. Only members of one bucket that are then still in different components are compared pair by pair,
-in blocks of bounded size, so that no link between components goes unseen.
+each bucket first verifies its members against its smallest. Only members of one bucket that are then still in
+different components are compared pair by pair, each pair in the first band it shares, in blocks of bounded size, so
+that no link between components goes unseen. What tasks send on are pairs that pruning leaves, not all pairs.
 """
 
 import hashlib
 import math
 from dataclasses import dataclass
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import materialised
+from jobtrail.llm.common import materialised, mixed64, prefiltered
 from jobtrail.llm.components import components
 
-#: Rows of a bucket that meet in one task at most, from either side.
-BLOCK = 512
-BATCH = 32
+#: Rows of a bucket that meet in one block at most, from either side, and rows of blocks that go to one group.
+BLOCK, GROUP = 512, 8192
+#: Hashes of the signature that is compared, 8 bits of each, and how many are compared at a time.
+COMPARED, BATCH = 1024, 64
 U64 = np.uint64
 
 
@@ -46,7 +46,7 @@ class Params:
 
     @property
     def hashes(self) -> int:
-        return -(-self.bands * self.rows // BATCH) * BATCH
+        return self.bands * self.rows
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -54,23 +54,14 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 
     With a uniform prior, the chance after m matches of n is that of at most m successes in n + 1 trials.
     """
-    t, total = Fraction(threshold).limit_denominator(1000), 0.0
+    total = 0.0
     for m in range(n + 1):
-        total += math.comb(n + 1, m) * float(t) ** m * (1 - float(t)) ** (n + 1 - m)
+        total += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
         if total >= miss:
             return m
     return n
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the input moves every bit of the output."""
-    x = x ^ (x >> U64(31))
-    x = x * U64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> U64(29))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> U64(32))
-
-
 def _lowered() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
@@ -108,21 +99,21 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         first = np.flatnonzero(np.diff(inner, prepend=-2) > 1)
         starts = inner[first]
         place = inner - np.repeat(starts, np.diff(first, append=len(inner)))
-        weights = _mix(np.arange(1, int(place.max()) + 2, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
-        hashes = _mix(np.add.reduceat((lowered[data[inner]].astype(U64) + U64(1)) * weights[place], first))
+        weights = mixed64(np.arange(1, int(place.max()) + 2, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+        hashes = mixed64(np.add.reduceat((lowered[data[inner]].astype(U64) + U64(1)) * weights[place], first))
         counts = np.searchsorted(starts, borders)
-        factors = _mix(np.arange(1, words + 2, dtype=U64)) | U64(1)
+        factors = mixed64(np.arange(1, words + 2, dtype=U64)) | U64(1)
         n = len(hashes)
         whole = np.zeros(max(n - words + 1, 0), dtype=U64)
         for i in range(words):
             whole += hashes[i : i + len(whole)] * factors[i]
-        whole = _mix(whole)
+        whole = mixed64(whole)
         for lo, hi in zip(counts[:-1], counts[1:]):
             if hi - lo >= words:
                 out.append(np.unique(whole[lo : hi - words + 1]))
             elif hi > lo:
                 few = np.concatenate([hashes[lo:hi], np.full(1, hi - lo, dtype=U64)]) * np.append(factors[: hi - lo], factors[words])
-                out.append(_mix(few.sum(keepdims=True, dtype=U64)))
+                out.append(mixed64(few.sum(keepdims=True, dtype=U64)))
             else:
                 out.append(empty)
         at = stop
@@ -130,22 +121,24 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The least value of each of many hash functions over a set, cut to 32 bits."""
+    """The least value of each of many hash functions over a set, its upper 32 bits."""
     least = np.full(len(multipliers), np.iinfo(U64).max, dtype=U64)
     for i in range(0, len(hashes), 128):
         np.minimum(least, np.multiply.outer(hashes[i : i + 128], multipliers).min(axis=0), out=least)
     return (least >> U64(32)).astype(np.uint32)
 
 
-def _multipliers(p: Params) -> np.ndarray:
-    return _mix(np.arange(1, p.hashes + 1, dtype=U64) * U64(0xA0761D6478BD642F) + U64(p.seed)) | U64(1)
+def _multipliers(p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Of the hash functions that make bands, and of others that make the signature to compare."""
+    m = mixed64(np.arange(1, p.hashes + COMPARED + 1, dtype=U64) * U64(0xA0761D6478BD642F) + U64(p.seed)) | U64(1)
+    return m[: p.hashes], m[p.hashes :]
 
 
 def band_keys(signatures: np.ndarray, p: Params) -> np.ndarray:
     """One 64-bit key per row and band."""
-    s = signatures[:, : p.bands * p.rows].astype(U64).reshape(len(signatures), p.bands, p.rows)
-    factors = _mix(np.arange(1, p.rows + 1, dtype=U64) * U64(0xE7037ED1A0B428DB)) | U64(1)
-    return _mix((s * factors).sum(axis=2, dtype=U64) + _mix(np.arange(1, p.bands + 1, dtype=U64)))
+    s = signatures.astype(U64).reshape(len(signatures), p.bands, p.rows)
+    factors = mixed64(np.arange(1, p.rows + 1, dtype=U64) * U64(0xE7037ED1A0B428DB)) | U64(1)
+    return mixed64((s * factors).sum(axis=2, dtype=U64) + mixed64(np.arange(1, p.bands + 1, dtype=U64)))
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -157,7 +150,7 @@ def _keys_udf(p: Params):
 
     @F.arrow_udf("struct<n:bigint,digest:binary,keys:array<bigint>>")
     def keys(texts: pa.Array) -> pa.Array:
-        m, out = _multipliers(p), []
+        m, out = _multipliers(p)[0], []
         for at in range(0, len(texts), 256):
             for s in shingle_sets(_texts(texts[at : at + 256]), p.words):
                 if not len(s):
@@ -171,102 +164,118 @@ def _keys_udf(p: Params):
 
 
 def _sets_udf(p: Params):
-    kind = pa.struct([("sig", pa.binary()), ("members", pa.binary())])
+    kind = pa.struct([("sig", pa.binary()), ("bands", pa.binary()), ("members", pa.binary())])
 
-    @F.arrow_udf("struct<sig:binary,members:binary>")
+    @F.arrow_udf("struct<sig:binary,bands:binary,members:binary>")
     def sets(texts: pa.Array) -> pa.Array:
-        m, out = _multipliers(p), []
+        (banded, compared), out = _multipliers(p), []
         for at in range(0, len(texts), 256):
             for s in shingle_sets(_texts(texts[at : at + 256]), p.words):
-                out.append({"sig": signature(s, m).tobytes(), "members": s.tobytes()} if len(s) else {"sig": None, "members": None})
+                if not len(s):
+                    out.append({"sig": None, "bands": None, "members": None})
+                    continue
+                keys = band_keys(signature(s, banded)[None, :], p)[0].astype(np.uint32)
+                out.append({"sig": signature(s, compared).astype(np.uint8).tobytes(), "bands": keys.tobytes(), "members": s.tobytes()})
         return pa.array(out, type=kind)
 
     return sets
 
 
 def _limits(p: Params) -> list[int]:
-    return [least_matches(n, p.percent / 100, p.miss) for n in range(BATCH, p.hashes + 1, BATCH)]
+    return [least_matches(n, p.percent / 100, p.miss) for n in range(BATCH, COMPARED + 1, BATCH)]
 
 
-def _matrix(column, p: Params) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, p.hashes)
+def _rows(column, kind) -> np.ndarray:
+    """Packed values of equal length as the rows of a matrix."""
+    return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), -1)
 
 
 def survivors(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, limits: list[int]) -> np.ndarray:
-    """Which of the pairs left[x], right[y] are not pruned, batch after batch."""
+    """Which of the pairs left[x], right[y] are not pruned, batch after batch.
+
+    Two hashes that differ may agree in 8 bits, which only makes a pair look more alike: none is lost by it.
+    """
     alive, matches = np.arange(len(x)), np.zeros(len(x), dtype=np.int32)
     for i, limit in enumerate(limits):
         cut = slice(i * BATCH, (i + 1) * BATCH)
-        matches[alive] += (left[x[alive], cut] == right[y[alive], cut]).sum(axis=1, dtype=np.int32)
+        matches[alive] += np.count_nonzero(left[x[alive], cut] == right[y[alive], cut], axis=1).astype(np.int32)
         alive = alive[matches[alive] >= limit]
     return alive
 
 
-def _prune_udf(p: Params):
+def _similar(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two packed sets are similar enough, exactly."""
+    left, right = np.frombuffer(a, dtype=U64), np.frombuffer(b, dtype=U64)
+    if len(left) > len(right):
+        left, right = right, left
+    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+    inter = int(np.count_nonzero(right[at] == left))
+    return 100 * inter >= percent * (len(left) + len(right) - inter)
+
+
+def _linked_udf(p: Params):
     limits = _limits(p)
 
     @F.arrow_udf("boolean")
-    def likely(a: pa.Array, b: pa.Array) -> pa.Array:
-        keep = np.zeros(len(a), dtype=bool)
-        for at in range(0, len(a), 1024):
-            left, right = _matrix(a[at : at + 1024].to_pylist(), p), _matrix(b[at : at + 1024].to_pylist(), p)
+    def linked(s1: pa.Array, m1: pa.Array, s2: pa.Array, m2: pa.Array) -> pa.Array:
+        out = np.zeros(len(s1), dtype=bool)
+        for at in range(0, len(out), 1024):
+            cut = slice(at, at + 1024)
+            left, right = _rows(s1[cut].to_pylist(), np.uint8), _rows(s2[cut].to_pylist(), np.uint8)
             own = np.arange(len(left))
-            keep[at + survivors(left, right, own, own, limits)] = True
-        return pa.array(keep)
-
-    return likely
+            for i in survivors(left, right, own, own, limits):
+                out[at + i] = _similar(m1[at + int(i)].as_py(), m2[at + int(i)].as_py(), p.percent)
+        return pa.array(out)
 
-
-@F.arrow_udf("bigint")
-def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Size of the intersection of two packed sets."""
-    out = []
-    for x, y in zip(a, b):
-        left, right = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-        if len(left) > len(right):
-            left, right = right, left
-        at = np.searchsorted(right, left)
-        out.append(int((right[np.minimum(at, len(right) - 1)] == left).sum()))
-    return pa.array(out, type=pa.int64())
+    return linked
 
 
 def _verified(pairs: DataFrame, active: DataFrame, p: Params) -> DataFrame:
-    """Of the pairs ``a, b`` those whose sets are similar enough, after pruning by signatures."""
-    sigs = active.select("id", "sig")
-    both = pairs.join(sigs.withColumnsRenamed({"id": "a", "sig": "s1"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "s2"}), "b")
-    likely = both.select("a", "b", _prune_udf(p)("s1", "s2").alias("ok")).where("ok").select("a", "b")
-    sets = active.select("id", "members")
-    full = likely.join(sets.withColumnsRenamed({"id": "a", "members": "m1"}), "a").join(sets.withColumnsRenamed({"id": "b", "members": "m2"}), "b")
-    sizes = (F.octet_length("m1") + F.octet_length("m2")) / 8
-    shared = full.select("a", "b", sizes.cast("long").alias("total"), _shared("m1", "m2").alias("inter"))
-    return shared.where(100 * F.col("inter") >= p.percent * (F.col("total") - F.col("inter"))).select("a", "b")
+    """Of the pairs ``a, b`` those that signatures do not rule out and whose full sets are similar enough."""
+    side = lambda n: active.select(F.col("id").alias("ab"[n - 1]), F.col("sig").alias(f"s{n}"), F.col("members").alias(f"m{n}"))
+    both = pairs.join(side(1), "a").join(side(2), "b")
+    return both.where(_linked_udf(p)("s1", "m1", "s2", "m2")).select("a", "b")
 
 
 def _across(p: Params):
     limits = _limits(p)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, sides = rows["id"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
-        sigs = _matrix(rows["sig"], p)
-        first, second = np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        for i in first:
+        rows = rows.sort_values(["key", "kind", "i", "j", "side"], ignore_index=True)
+        block = rows[["key", "kind", "i", "j"]].ne(rows[["key", "kind", "i", "j"]].shift()).any(axis=1).to_numpy()
+        heads = np.flatnonzero(block)
+        sides, comps, band = rows["side"].to_numpy(), rows["comp"].to_numpy(), rows["band"].to_numpy()
+        sigs, bands, ids = _rows(rows["sig"], np.uint8), _rows(rows["bands"], np.uint32), rows["id"].to_numpy()
+        found = []
+        for lo, hi in zip(heads, np.append(heads[1:], len(rows))):
             # Side 0 holds rows that meet each other; side 1 meets side 2.
-            others = second[second > i] if sides[i] == 0 else second
-            others = others[comps[others] != comps[i]]
-            alive = survivors(sigs, sigs, np.full(len(others), i), others, limits)
-            found.append(np.stack([np.full(len(alive), ids[i]), ids[others[alive]]], axis=1))
-        pairs = np.concatenate(found)
+            if sides[lo] == 0:
+                x, y = np.triu_indices(hi - lo, 1)
+                x, y = x + lo, y + lo
+            else:
+                middle = lo + np.searchsorted(sides[lo:hi], 2)
+                x, y = np.repeat(np.arange(lo, middle), hi - middle), np.tile(np.arange(middle, hi), middle - lo)
+            apart = comps[x] != comps[y]
+            found.append((x[apart], y[apart]))
+        x, y = (np.concatenate(part) if found else np.zeros(0, dtype=np.int64) for part in (list(zip(*found)) or ((), ())))
+        keep = []
+        for at in range(0, len(x), 1 << 16):
+            a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+            alive = survivors(sigs, sigs, a, b, limits)
+            first = (bands[a[alive]] == bands[b[alive]]).argmax(axis=1)
+            alive = alive[first == band[a[alive]]]
+            keep.append(np.stack([ids[a[alive]], ids[b[alive]]], axis=1))
+        pairs = np.concatenate([np.zeros((0, 2), dtype=np.int64), *keep])
         return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
 
     return compare
 
 
 def _cross_pairs(apart: DataFrame, active: DataFrame, p: Params) -> DataFrame:
-    """Pairs of one bucket in different components that signatures do not rule out; ``apart`` has ``key, id, comp``.
+    """Pairs of one bucket in different components that signatures do not rule out; ``apart``: ``key, band, id, comp``.
 
     The members of a bucket's largest component need not meet each other. The others meet those and each other, in
-    blocks: a member goes to as many tasks as there are blocks it has to meet.
+    blocks: a member goes to as many blocks as there are of those it has to meet.
     """
     sizes = apart.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("all"))
@@ -276,14 +285,16 @@ def _cross_pairs(apart: DataFrame, active: DataFrame, p: Params) -> DataFrame:
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     each = lambda n: F.sequence(F.lit(0), n - 1)
     own = of(F.col("rests"))
-    to_rests = F.transform(each(F.col("rests")), lambda j: task("main", of(F.col("mains")), j, F.lit(1)))
-    to_mains = F.transform(each(F.col("mains")), lambda i: task("main", i, own, F.lit(2)))
+    to_rests = F.transform(each(F.col("rests")), lambda j: task(0, of(F.col("mains")), j, F.lit(1)))
+    to_mains = F.transform(each(F.col("mains")), lambda i: task(0, i, own, F.lit(2)))
     side = lambda j: F.when(j == own, 0).when(j > own, 1).otherwise(2)
-    to_each = F.transform(each(F.col("rests")), lambda j: task("rest", F.least(j, own), F.greatest(j, own), side(j)))
+    to_each = F.transform(each(F.col("rests")), lambda j: task(1, F.least(j, own), F.greatest(j, own), side(j)))
     tasks = F.when(F.col("comp") == F.col("main"), to_rests).otherwise(F.concat(to_mains, to_each))
-    dealt = rows.select("key", "id", "comp", F.explode(tasks).alias("t")).select("key", "id", "comp", "t.kind", "t.i", "t.j", "t.side")
-    dealt = dealt.join(active.select("id", "sig"), "id")
-    return dealt.groupBy("key", "kind", "i", "j").applyInPandas(_across(p), "a long, b long").distinct()
+    dealt = rows.select("key", "band", "id", "comp", F.explode(tasks).alias("t")).select("key", "band", "id", "comp", "t.kind", "t.i", "t.j", "t.side")
+    groups = max(1, -(-apart.count() * 2 // GROUP))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "kind", "i", "j"), F.lit(groups)))
+    dealt = dealt.join(active.select("id", "sig", "bands"), "id")
+    return dealt.groupBy("group").applyInPandas(_across(p), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
@@ -304,34 +315,23 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     member = sound.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id")
     same = member.where("doc_id <> id").distinct()
     first = sound.join(classes.withColumnRenamed("id", "doc_id"), ["digest", "doc_id"], "left_semi")
-    banded = first.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    banded = first.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot")
-    buckets = materialised(banded.join(shared, "key").select("key", "id", "pivot").distinct())
-    # Texts of documents that share a bucket, once each: of rows equal in their set any will do.
-    wanted = first.select("doc_id", "digest").join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    active = docs.select("doc_id", text).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    active = active.select(F.col("doc_id").alias("id"), _sets_udf(p)(F.col(text)).alias("x"))
-    active = materialised(active.where("x.sig is not null").select("id", "x.sig", "x.members").distinct())
+    shared = materialised(shared)
+    buckets = materialised(prefiltered(banded, "key", shared).join(shared, "key").select("key", "band", "id", "pivot"))
+    # Texts of documents that share a bucket.
+    wanted = materialised(buckets.select(F.col("id").alias("doc_id")).distinct())
+    active = prefiltered(docs.select("doc_id", text), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+    active = materialised(active.select(F.col("doc_id").alias("id"), _sets_udf(p)(F.col(text)).alias("x")).select("id", "x.sig", "x.bands", "x.members"))
+    active = active.where("sig is not null")
 
     pairs = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = materialised(_verified(pairs, active, p))
-
-    def apart(comps: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        named = buckets.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-        named = named.select("key", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        return named.join(mixed, "key", "left_semi")
-
-    comps = components(links)
-    open_ones = materialised(apart(comps))
-    drawn = open_ones.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("key", "id")).alias("p"))
-    second = open_ones.join(drawn, "key").where("comp <> p.comp")
-    second = second.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = materialised(links.unionByName(_verified(second, active, p)))
-    comps = components(links)
-    last = _cross_pairs(materialised(apart(comps)), active, p)
-    links = links.unionByName(_verified(last, active, p))
+    comps = components(links).withColumnRenamed("node", "id")
+    named = buckets.select("key", "band", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    apart = materialised(named.join(mixed, "key", "left_semi"))
+    links = links.unionByName(_verified(_cross_pairs(apart, active, p), active, p))
     comps = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     out = known.select("doc_id", F.col("n").alias("n_shingles")).join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
