@@ -211,8 +211,8 @@ def _smaller_elsewhere(rec: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _batch_of(group: pa.Table) -> _Batch:
-    texts = [(t.as_py() or b"") for t in group.column("__bytes")]
+def _batch_of(group: pa.Table, text: str) -> _Batch:
+    texts = [(t.as_py() or "").encode("utf-8") for t in group.column(text)]
     ids = group.column("__doc").to_numpy()
     return _Batch(texts, ids)
 
@@ -231,9 +231,9 @@ _MESSAGE = pa.schema([("to", pa.int64()), ("back", pa.int64()), ("kind", pa.int3
 _MESSAGE_DDL = "to long, back long, kind int, body binary"
 
 
-def _send_anchors(parts: int):
+def _send_anchors(parts: int, text: str):
     def send(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        keys, _, counts, several = _batch_of(group).buckets(parts)
+        keys, _, counts, several = _batch_of(group, text).buckets(parts)
         note = np.minimum(counts, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
         low = (keys & U64(0xFFFFFFFF)).astype(np.uint32)
         rows = [(p, key[0].as_py(), 0, low[a:z].tobytes() + note[a:z].tobytes()) for p, a, z in _runs((keys >> U64(32)).astype(np.int64))]
@@ -269,11 +269,11 @@ def _states(batch: _Batch, messages: pa.Table, parts: int) -> np.ndarray:
     return np.frombuffer(_joined(messages, 0), dtype=np.uint8)[where]
 
 
-def _send_contexts(parts: int):
+def _send_contexts(parts: int, text: str):
     def send(key: tuple[pa.Scalar, ...], group: pa.Table, messages: pa.Table) -> pa.Table:
         if not group.num_rows:
             return _table(_MESSAGE, [])
-        batch, me = _batch_of(group), key[0].as_py()
+        batch, me = _batch_of(group, text), key[0].as_py()
         states = _states(batch, messages, parts)
         bucket, rec, smallest, *_ = batch.records(states, parts)
         rows = [(b, me, 1, rec[a:z].tobytes() + smallest[a:z].tobytes()) for b, a, z in _runs(bucket)]
@@ -298,9 +298,9 @@ def _compare_contexts(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return _table(_MESSAGE, out)
 
 
-def _mark(parts: int, columns: list[str]):
+def _mark(parts: int, text: str, columns: list[str]):
     def mark(key: tuple[pa.Scalar, ...], group: pa.Table, messages: pa.Table) -> pa.Table:
-        batch = _batch_of(group)
+        batch = _batch_of(group, text)
         covered = np.zeros(len(batch.data) + 1, dtype=np.int32)
         if len(batch.anchor):
             _, _, smallest, where, entry, low, high = batch.records(_states(batch, messages, parts), parts)
@@ -356,19 +356,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", batch_bytes: int | None
     dealt = docs.withColumns(
         {
             "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-            "__bytes": F.when(~from_nobody, F.col(text).cast("binary")),
             "__batch": F.pmod(F.xxhash64("doc_id", text), F.lit(parts)),
         }
     )
     alone = dealt.where(from_nobody)
     dealt = dealt.where(~from_nobody).repartition(parts, "__batch")
     of_batch = dealt.groupBy("__batch")
-    anchors = of_batch.applyInArrow(_send_anchors(parts), _MESSAGE_DDL)
+    anchors = of_batch.applyInArrow(_send_anchors(parts, text), _MESSAGE_DDL)
     repeated = anchors.groupBy("to").applyInArrow(_find_repeated, _MESSAGE_DDL)
-    contexts = of_batch.cogroup(repeated.groupBy("to")).applyInArrow(_send_contexts(parts), _MESSAGE_DDL)
+    contexts = of_batch.cogroup(repeated.groupBy("to")).applyInArrow(_send_contexts(parts, text), _MESSAGE_DDL)
     answers = contexts.groupBy("to").applyInArrow(_compare_contexts, _MESSAGE_DDL)
     schema = docs.schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    marked = of_batch.cogroup(answers.groupBy("to")).applyInArrow(_mark(parts, columns), schema)
+    marked = of_batch.cogroup(answers.groupBy("to")).applyInArrow(_mark(parts, text, columns), schema)
     own = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rest = alone.select(*columns, text_bytes(F.col(text)).alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), own.alias("kept"))
     return marked.unionByName(rest)
