@@ -16,6 +16,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 #: Host tables up to this many rows and bytes are sent to every executor; larger ones are joined by salted keys.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4_000_000
 SALTS = 16
+#: The prior counts for at least so many documents of a host, however unlike the hosts are.
+LEAST_STRENGTH = 10
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,8 @@ def host_verdicts(measured: DataFrame, host: str = "source", rules: Rules = Rule
 
     ``host_rate`` is the mean of the host's beta posterior. The prior's mean is the failure rate of all documents
     and its strength follows from how much the hosts' rates vary beyond chance, so that a host of few documents
-    keeps near the common rate and only much evidence condemns a host. Hosts are counted with partial sums before
+    keeps near the common rate and only much evidence condemns a host: a rate over ``rules.max_host_rate`` that also
+    lies nearer to 1 than to the common rate. Hosts are counted with partial sums before
     the shuffle, so one host may hold any share of the rows.
     """
     hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(any_failed(rules).cast("long")).alias("n_failed"))
@@ -102,9 +105,9 @@ def host_verdicts(measured: DataFrame, host: str = "source", rules: Rules = Rule
     noise = mean * (1 - mean)
     scale = noise * (docs - squares / docs - (k - 1))
     share = (spread - mean * mean * docs - noise * (k - 1)) / scale if scale > 0 else 0.0
-    strength = 1 / min(max(share, 1e-6), 0.5) - 1
+    strength = 1 / min(max(share, 1e-6), 1 / (1 + LEAST_STRENGTH)) - 1
     rate = (f + F.lit(mean * strength)) / (n + F.lit(strength))
-    return hosts.withColumns({"host_rate": rate, "host_rejected": rate > rules.max_host_rate})
+    return hosts.withColumns({"host_rate": rate, "host_rejected": rate > max(rules.max_host_rate, (1 + mean) / 2)})
 
 
 def judge(measured: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:

@@ -73,8 +73,8 @@ h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed
 s AS (SELECT count(*) AS k, sum(n) AS docs, sum(f) AS bad, sum(n * n) AS squares, sum(f * f / n) AS spread FROM h),
 q AS (SELECT k, bad / docs AS mean, (bad / docs) * (1 - bad / docs) AS noise, docs, squares, spread FROM s),
 z AS (SELECT mean, noise * (docs - squares / docs - (k - 1)) AS scale, spread - mean * mean * docs - noise * (k - 1) AS over FROM q),
-prior AS (SELECT mean, 1 / least(greatest(CASE WHEN scale > 0 THEN over / scale ELSE 0 END, 1e-6), 0.5) - 1 AS strength FROM z),
-v AS (SELECT source, (f + mean * strength) / (n + strength) > 0.5 AS host_rejected FROM h, prior)
+prior AS (SELECT mean, 1 / least(greatest(CASE WHEN scale > 0 THEN over / scale ELSE 0 END, 1e-6), 1 / 11) - 1 AS strength FROM z),
+v AS (SELECT source, (f + mean * strength) / (n + strength) > greatest(0.5, (1 + mean) / 2) AS host_rejected FROM h, prior)
 SELECT a.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, NOT base_failed AND NOT host_rejected AS kept
 FROM a JOIN v ON a.source IS NOT DISTINCT FROM v.source
 """,
