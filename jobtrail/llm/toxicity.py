@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-A lexicon of telling words and word beginnings is learnt from one part of the labelled sample, trees over densities
-and rates from a second, and the map from their scores to probabilities from a third. All three are fit in numpy on
-a bounded sample; scoring runs over every whole text.
+A lexicon of telling words and word beginnings is learnt from a bounded labelled sample, then trees over densities
+and rates, then the map from their scores to probabilities. Spark counts words and computes features, numpy fits on
+the few numbers per sampled document, and scoring runs over every whole text.
 """
 
 import math
@@ -250,25 +250,30 @@ def _features_udf(lexicon: dict[str, float]):
     return run
 
 
-def fit(labelled: DataFrame, how: Training = Training()) -> Model:
-    """Learn from ``doc_id, text, toxic`` (0 or 1; other rows are left out).
+def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
+    """Learn from ``doc_id, text`` and ``doc_id, toxic`` (0 or 1; other rows are left out, of several the largest counts).
 
-    Of each class at most ``max_toxic`` and ``max_clean`` documents, the first by a hash of id and text, are used;
-    clean ones then weigh as many as they stand for. Half of them give the lexicon, three tenths the trees and a
-    fifth the calibration, so that no part is judged on documents another was fit on.
+    Of each class at most ``max_toxic`` and ``max_clean`` labelled ids, the first by a hash, are used; each then
+    weighs as many as it stands for. Each half of them is given the features that a lexicon of the other half finds,
+    so that trees do not learn from words a document itself brought in; four fifths of them then give the trees and
+    a fifth the calibration. Scoring uses the lexicon of all. Of rows that share an id, one is used.
     """
-    rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("turn"))
-    slim = rows.select("doc_id", "toxic", "turn")
+    rows = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    slim = rows.withColumn("turn", F.xxhash64("doc_id"))
     n = {r["toxic"]: r["count"] for r in slim.groupBy("toxic").count().collect()}
     chosen = None
     for label, most in ((1, how.max_toxic), (0, how.max_clean)):
         part = slim.where(F.col("toxic") == label).orderBy("turn", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # The bound of the sample bounds this table.
-    picked = F.broadcast(chosen.select("toxic", "turn").distinct())
-    sample = materialised(rows.join(picked, ["toxic", "turn"]).withColumn("part", F.pmod(F.xxhash64("turn"), F.lit(10))))
-    lexicon = _lexicon(sample.where("part < 5"), how)
-    rest = sample.where("part >= 5").select("toxic", "part", "turn", _features_udf(lexicon)(F.coalesce("text", F.lit(""))).alias("x")).orderBy("turn").collect()
+    # The bound of the sample bounds this table; the texts of the other documents are not moved.
+    picked = docs.select("doc_id", "text").join(F.broadcast(materialised(chosen)), "doc_id")
+    sample = picked.groupBy("doc_id", "toxic", "turn").agg(F.min("text").alias("text"))
+    sample = materialised(sample.withColumn("part", F.pmod(F.xxhash64("turn"), F.lit(10))))
+    lexicon, rest = _lexicon(sample, how), []
+    for half in (0, 1):
+        other = _features_udf(_lexicon(sample.where(F.col("part") % 2 != half), how))
+        own = sample.where(F.col("part") % 2 == half)
+        rest += own.select("toxic", "part", "turn", other(F.coalesce("text", F.lit(""))).alias("x")).orderBy("turn").collect()
     x = np.array([r["x"] for r in rest]).reshape(len(rest), len(FEATURES))
     y, part = np.array([r["toxic"] for r in rest], dtype=float), np.array([r["part"] for r in rest])
     weight = np.where(y == 1, max(1.0, n.get(1, 0) / how.max_toxic), max(1.0, n.get(0, 0) / how.max_clean))
