@@ -30,6 +30,10 @@ HEADLINE = [
     "p21_secret_scan",
     "p23_redact_documents",
     "p32_admission_report",
+    "r01_stream_lifecycle",
+    "r04_stream_documents",
+    "r06_stream_metrics",
+    "r08_stream_dedup",
     "t01_job_list",
     "t02_log_tail",
     "w03_tail_trim",

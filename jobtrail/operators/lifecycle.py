@@ -210,27 +210,32 @@ def _merged(current: str, new: str, columns: Iterable[str]) -> list[Column]:
 def upsert_summaries(
     current: DataFrame, updates: DataFrame, status: str | None = None, n: int = S.MAX_LISTED_JOBS
 ) -> DataFrame:
-    """Merge one micro-batch of updates into a live list.
+    """Merge one micro-batch of updates into a live list, as if they came one by one.
 
-    ``current`` has a ``position`` (0 = top), ``updates`` a ``seq``. A known job keeps its place and takes
-    every non-NULL field of its latest update; a job that no longer matches ``status`` leaves the list; new
-    jobs go on top, latest first. The result is numbered anew.
+    ``current`` has a ``position`` (0 = top), ``updates`` a ``seq``. A known job keeps its place and takes each
+    field's newest non-NULL value. A job that an update takes out of ``status`` leaves the list; if a later update
+    brings it back, it goes on top with what came since. New jobs go on top, latest first. The result is numbered anew.
     """
     fields = [c for c in current.columns if c not in ("job_id", "position")]
-    latest = updates.groupBy("job_id").agg(F.max_by(F.struct(*fields, "seq"), "seq").alias("u"))
-    both = current.alias("c").join(latest, "job_id", "full_outer")
-    merged = both.select(
-        "job_id",
-        *[F.coalesce(F.col(f"u.{c}"), F.col(f"c.{c}")).alias(c) for c in fields],
-        F.col("position").alias("_position"),
-        F.col("u.seq").alias("_seq"),
-        F.col("u.status").alias("_status"),
+    matches = F.lit(True) if status is None else F.coalesce(F.col("status") == status, F.lit(False))
+    leaves = F.lit(False) if status is None else F.coalesce(F.col("status") != status, F.lit(False))
+    gone = updates.groupBy("job_id").agg(F.max(F.when(leaves, F.col("seq"))).alias("_left"))
+    since = updates.join(gone, "job_id").where(F.col("_left").isNull() | (F.col("seq") > F.col("_left")))
+    entered = since.groupBy("job_id").agg(F.min(F.when(matches, F.col("seq"))).alias("_entry"))
+    # Before its entry a job that is not listed takes nothing; a listed one that never left takes all.
+    listed = current.select("job_id", F.lit(True).alias("_listed"))
+    taken = since.join(entered, "job_id").join(listed, "job_id", "left")
+    taken = taken.where((F.col("seq") >= F.col("_entry")) | (F.col("_listed") & F.col("_left").isNull()))
+    newest = taken.groupBy("job_id").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in fields], F.min("_entry").alias("_entry")
     )
+    kept = current.join(gone, "job_id", "left").where(F.col("_left").isNull()).drop("_left")
+    both = kept.join(newest, "job_id", "full_outer")
+    merged = both.select("job_id", *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in fields], F.col("position").alias("_position"), "_entry")
     if status:
-        merged = merged.where(F.coalesce(F.col("_status"), F.col("status")) == status)
-    order = [F.col("_position").isNotNull(), F.coalesce("_position", -F.col("_seq")), F.col("job_id")]
-    top = merged.orderBy(*order).limit(n)
-    return top.drop("_status", "_position", "_seq")
+        merged = merged.where(F.col("status") == status)
+    order = [F.col("_position").isNotNull(), F.coalesce("_position", -F.col("_entry")), F.col("job_id")]
+    return merged.orderBy(*order).limit(n).drop("_position", "_entry")
 
 
 def merge_detail(detail: DataFrame, updates: DataFrame) -> DataFrame:

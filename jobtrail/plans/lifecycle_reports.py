@@ -260,10 +260,15 @@ def _updates(v):
 
 @report(
     "t03_upsert_summaries",
-    f"""SELECT coalesce(c.job_id, n.job_id) AS job_id, coalesce(u[1], c.status) AS status, coalesce(u[2], c.reason) AS reason
-        FROM ({_LIST}) c FULL OUTER JOIN ({_UPDATES}) n ON c.job_id = n.job_id
-        WHERE coalesce(u[1], c.status) = 'Failed'
-        ORDER BY c.position IS NOT NULL, coalesce(c.position, -u[3]), coalesce(c.job_id, n.job_id) LIMIT 500""",
+    f"""WITH u AS (SELECT job_id, status, nullif(reason, '') AS reason, seq,
+          max(seq) FILTER (status <> 'Failed') OVER (PARTITION BY job_id) AS gone FROM user_events WHERE day(ts) > 25),
+        n AS (SELECT job_id, arg_max(status, seq) AS status, arg_max(reason, seq) FILTER (reason IS NOT NULL) AS reason, min(seq) AS entry
+          FROM u WHERE gone IS NULL OR seq > gone GROUP BY job_id),
+        c AS (SELECT * FROM ({_LIST}) WHERE job_id NOT IN (SELECT job_id FROM u WHERE gone IS NOT NULL))
+        SELECT coalesce(c.job_id, n.job_id) AS job_id, coalesce(n.status, c.status) AS status, coalesce(n.reason, c.reason) AS reason
+        FROM c FULL OUTER JOIN n ON c.job_id = n.job_id
+        WHERE coalesce(n.status, c.status) = 'Failed'
+        ORDER BY c.position IS NOT NULL, coalesce(c.position, -entry), coalesce(c.job_id, n.job_id) LIMIT 500""",
     "user_events",
 )
 def _(v):

@@ -112,6 +112,12 @@ def test_live_list(spark):
     assert ids(L.upsert_summaries(one, feed(spark, ("c", "Running", "c"), ("x", "Failed", "x")), "Running")) == ["c", "a"]
     (merged,) = L.upsert_summaries(one, feed(spark, ("a", "Failed", None))).collect()
     assert (merged.status, merged.name) == ("Failed", "a")
+    # Out of the filter and back in one batch: on top, with what came since.
+    two = list_of(spark, ("a", "Running", "old"), ("b", "Running", "b"))
+    back = L.upsert_summaries(two, feed(spark, ("b", "Failed", "x"), ("b", "Running", "again"), ("b", "Running", None), ("a", "Failed", None)), "Running").collect()
+    assert [(r.job_id, r.name) for r in back] == [("b", "again")]
+    fields = L.upsert_summaries(two, feed(spark, ("a", "Running", "new"), ("a", "Running", None))).collect()
+    assert [(r.job_id, r.name) for r in fields] == [("a", "new"), ("b", "b")]
     many = list_of(spark, *[(f"j{i}", "Queued", "") for i in range(500)])
     full = ids(L.upsert_summaries(many, feed(spark, ("new", "Queued", ""))))
     assert len(full) == 500 and full[0] == "new" and "j499" not in full
