@@ -49,10 +49,15 @@ def ordered_fold(
     return rows.select(*keys, F.aggregate("_rows", zero, merge, finish).alias("result"))
 
 
-def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of keys with more than ``hot_rows`` rows."""
+def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of keys with more than ``hot_rows`` rows or None where there are none.
+
+    Counting the keys first spares a table without hot keys, as nearly all are, the whole plan for them.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > hot_rows).select(key)
+    if hot.isEmpty():
+        return df, None
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
@@ -211,6 +216,8 @@ def greedy_gap(times: DataFrame, gap: int, hot_rows: int = HOT_ROWS, fanout: int
     key_type = times.schema["key"].dataType.simpleString()
     out = f"key {key_type}, t long"
     kept = cold.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_gap_rows(gap), out)
+    if hot is None:
+        return kept
     length = gap * steps
     blocks = hot.withColumn("b", F.floor(F.col("t") / F.lit(length)))
     return kept.unionByName(
@@ -367,7 +374,9 @@ def lockout_report(
     gap = window * 1_000_000
     rows = attempts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq", "ok")
     cold, hot = split_hot(rows, "key", hot_rows)
-    parts = _fold_locks(cold, max_failures, gap).unionByName(_hot_locks(hot, max_failures, gap, fanout, steps))
+    parts = _fold_locks(cold, max_failures, gap)
+    if hot is not None:
+        parts = parts.unionByName(_hot_locks(hot, max_failures, gap, fanout, steps))
     locks = parts.groupBy("key", "until").agg(F.sum("refused").alias("refused"))
     return locks.select(
         "key",
