@@ -6,7 +6,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_components, brute_lines, brute_measures, near_copies, prose, reference_ids
+from test_training_operators import brute_components, brute_lines, brute_measures, near_copies, prose, reference_ids
 
 import corpus_pipeline
 

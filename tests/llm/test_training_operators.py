@@ -91,6 +91,31 @@ def test_bpe_cuts_change_nothing(spark, odd, vocabulary, chunk, overlap):
         assert r["ids"] == known[text] and bytes(r["raw"]) == text.encode()
 
 
+def test_the_common_pattern_splits_like_its_regex():
+    import public_tokenizers
+
+    assert public_tokenizers.PATTERN == bpe.COMMON_PATTERN
+    fast, compiled, rng = bpe.splitter(bpe.COMMON_PATTERN), bpe.regex.compile(bpe.COMMON_PATTERN), random.Random(3)
+    alphabet = ["'", "'", *"stmdlrev", "re", "ve", "ll", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "é", "日", "🎉", "1", "²", "Ⅷ", "!", "-", "\u0301", "B", "\0", "\x1c", "\x85", "ſ"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(rng.randrange(1, 8))]
+        for got, want in zip(fast(texts), bpe._regex_spans(texts, compiled)):
+            assert got.tolist() == want.tolist()
+
+
+def test_other_patterns_are_split_by_their_regex(spark, vocabulary):
+    docs = spark.createDataFrame([("ab, cd  12",), (None,)], "text string")
+    (some, none) = bpe.encode(docs, vocabulary, r"[a-z]+|[0-9]").orderBy(F.desc_nulls_last("text")).collect()
+    assert [bpe.parse_vocabulary(vocabulary)[t] for t in (b"ab", b"cd", b"1", b"2")] == some["ids"] and none["ids"] == []
+
+
+def test_pieces_with_a_common_hash_are_encoded_one_by_one(vocabulary):
+    ranks, texts = bpe.parse_vocabulary(vocabulary), ["some words, some more", "", "more words"]
+    pieces, spans = bpe._Pieces(ranks, bpe.PairTable(ranks)), bpe.splitter(bpe.COMMON_PATTERN)(texts)
+    for a, b in zip(pieces.encode(texts, spans), pieces.one_by_one(texts, spans)):
+        assert a.tolist() == b.tolist()
+
+
 def test_bpe_merges_long_pieces_like_short_ones(vocabulary):
     ranks, rng = bpe.parse_vocabulary(vocabulary), random.Random(3)
     for n in (2, 7, 30, 255, 256):
