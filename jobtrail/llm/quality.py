@@ -63,7 +63,12 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
     out = out.withColumn("__starts", F.array_sort(F.array_compact(F.transform("__sorted", lambda x, j: near(x, j))))).drop("__sorted")
     step = F.transform("__starts", lambda p, j: F.least(F.lit(w), F.coalesce(F.get("__starts", j + 1) - p, F.lit(w))).cast("long"))
     covered = F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__starts")
+    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__starts")
+    # A filter on a measure must not move below its steps: it would repeat them for every time a step names another.
+    # No filter passes an explode, even of one row.
+    others = [c for c in out.columns if c not in MEASURES]
+    row = F.explode(F.array(F.struct(*MEASURES))).alias("__m")
+    return out.select(*others, row).select(*others, *[F.col(f"__m.{m}").alias(m) for m in MEASURES])
 
 
 def base_failed(rules: Rules = Rules()) -> Column:
