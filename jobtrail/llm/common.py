@@ -1,7 +1,5 @@
 """Helpers shared by the training-data operators."""
 
-from collections.abc import Sequence
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,11 +62,6 @@ def parts_for(df: DataFrame, weight: Column, per_part: int, least: int = 1) -> i
     return max(least, -(-int(total) // per_part))
 
 
-def plain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Only these columns, so that no other name of the input can clash with a computed one."""
-    return df.select(*columns)
-
-
 def in_filter(rows: DataFrame, column: str, wanted: DataFrame, flag: str) -> DataFrame:
     """Rows with a boolean: false where ``column`` is surely not among ``wanted``'s.
 

@@ -95,6 +95,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int =
     Both inputs have ``vec_id`` and ``v`` (array of long; see ``quantised``). Vectors with a query's own id are not
     candidates for it. Rows that repeat both id and vector count once; rows without id or vector take no part. Where
     lengths differ, missing components count 0. Fewer than k candidates are all returned; empty inputs give no rows.
+    Scores must fit a long.
 
     Every block of vectors meets every block of queries, and each pair returns k rows per query at most.
     """
