@@ -12,9 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtrail.llm.common import materialised
+
 WINDOW = 64
 #: Windows that run through the network together.
 LANES = 4096
+#: A sample of so many documents at most is sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -166,12 +170,18 @@ def fit(docs: DataFrame, how: Training = Training(), text: str = "text", lang: s
     ``how.windows_per_doc`` windows of each, evenly spaced over the whole text, come to the driver.
     """
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    drawn = F.xxhash64("doc_id", text)
+    share = F.shiftrightunsigned(F.xxhash64("doc_id", text), 1).cast("double") / 2.0**63
+    slim = materialised(known.select(F.col(lang).alias("__l"), share.alias("__share")))
     # Thin out large languages before they are ranked: a third more than wanted is left, all but surely.
-    sizes = known.groupBy(F.col(lang).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
-    share = F.shiftrightunsigned(drawn, 1).cast("double") / 2.0**63
-    thin = known.withColumn("__share", share).join(sizes, F.col(lang) == F.col("__l")).where(F.col("__share") * F.col("__n") < how.docs_per_lang * 1.34 + 100)
-    ranked = thin.withColumn("__rank", F.row_number().over(Window.partitionBy("__l").orderBy("__share", "doc_id"))).where(F.col("__rank") <= how.docs_per_lang)
+    sizes = slim.groupBy("__l").agg(F.count(F.lit(1)).alias("__n"))
+    thin = slim.join(sizes, "__l").where(F.col("__share") * F.col("__n") < how.docs_per_lang * 1.34 + 100).distinct()
+    order = Window.partitionBy("__l").orderBy("__share")
+    picked = materialised(thin.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= how.docs_per_lang).select("__l", "__share"))
+    # The texts of the other documents are not moved, as long as the sample is as small as its parameters mean it to be.
+    few = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
+    ranked = known.withColumn("__s", share).join(few, (F.col(lang) == F.col("__l")) & (F.col("__s") == F.col("__share")))
+    # Rows that repeat id and text are one.
+    ranked = ranked.groupBy("__l", "__share").agg(F.min(text).alias(text))
     n = F.length(text)
     starts = F.transform(F.sequence(F.lit(0), F.lit(how.windows_per_doc - 1)), lambda i: F.floor(F.greatest(n - WINDOW, F.lit(0)) * i / max(how.windows_per_doc - 1, 1)).cast("int"))
     parts = F.array_distinct(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(WINDOW))))
