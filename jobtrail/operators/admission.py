@@ -90,9 +90,10 @@ def classify_queue(queue: DataFrame, payloads: DataFrame) -> DataFrame:
     flag is set could not be looked up and is retried.
     """
     keyed = queue.withColumn("job_id", P.canonical_job_id(F.col("raw_id")))
-    # Unreadable ids are all NULL; in the join they would be one key.
-    joined = keyed.where(F.col("job_id").isNotNull()).join(payloads, "job_id", "left")
-    joined = joined.unionByName(keyed.where(F.col("job_id").isNull()), allowMissingColumns=True)
+    # Unreadable ids are all NULL, which would be one key in the join; spread by their text they match nothing either.
+    spread = F.coalesce("job_id", F.concat(F.lit("~"), F.xxhash64("raw_id").cast("string")))
+    named = payloads.withColumnRenamed("job_id", "_payload_id")
+    joined = keyed.withColumn("_key", spread).join(named, F.col("_key") == F.col("_payload_id"), "left").drop("_key", "_payload_id")
     decoded = F.from_json("value", S.JOB, {"mode": "PERMISSIVE"})
     transient = F.col("lookup_failed") if "lookup_failed" in queue.columns else F.lit(False)
     rows = joined.withColumn("job", decoded)
