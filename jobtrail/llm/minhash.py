@@ -213,58 +213,82 @@ def _similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * inter >= percent * (len(left) + len(right) - inter)
 
 
-def _linked_udf(p: Params):
+def _likely_udf(p: Params):
     limits = _limits(p)
 
     @F.arrow_udf("boolean")
-    def linked(s1: pa.Array, m1: pa.Array, s2: pa.Array, m2: pa.Array) -> pa.Array:
+    def likely(s1: pa.Array, s2: pa.Array) -> pa.Array:
         out = np.zeros(len(s1), dtype=bool)
         for at in range(0, len(out), 1024):
-            cut = slice(at, at + 1024)
-            left, right = _rows(s1[cut].to_pylist(), np.uint8), _rows(s2[cut].to_pylist(), np.uint8)
+            left, right = (_rows(s[at : at + 1024].to_pylist(), np.uint8) for s in (s1, s2))
             own = np.arange(len(left))
-            for i in survivors(left, right, own, own, limits):
-                out[at + i] = _similar(m1[at + int(i)].as_py(), m2[at + int(i)].as_py(), p.percent)
+            out[at + survivors(left, right, own, own, limits)] = True
         return pa.array(out)
 
-    return linked
+    return likely
+
+
+def _similar_udf(p: Params):
+    @F.arrow_udf("boolean")
+    def similar(m1: pa.Array, m2: pa.Array) -> pa.Array:
+        return pa.array([_similar(x.as_py(), y.as_py(), p.percent) for x, y in zip(m1, m2)], type=pa.bool_())
+
+    return similar
+
+
+def _joined(pairs: DataFrame, active: DataFrame, column: str) -> DataFrame:
+    """Pairs ``a, b`` with a column of either side as ``x`` and ``y``."""
+    side = lambda name, value: active.select(F.col("id").alias(name), F.col(column).alias(value))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+
+def _pruned(pairs: DataFrame, active: DataFrame, p: Params) -> DataFrame:
+    """Of the pairs ``a, b`` those that signatures do not rule out."""
+    return _joined(pairs, active, "sig").where(_likely_udf(p)("x", "y")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, active: DataFrame, p: Params) -> DataFrame:
-    """Of the pairs ``a, b`` those that signatures do not rule out and whose full sets are similar enough."""
-    side = lambda n: active.select(F.col("id").alias("ab"[n - 1]), F.col("sig").alias(f"s{n}"), F.col("members").alias(f"m{n}"))
-    both = pairs.join(side(1), "a").join(side(2), "b")
-    return both.where(_linked_udf(p)("s1", "m1", "s2", "m2")).select("a", "b")
+    """Of the pairs ``a, b`` those whose full sets are similar enough."""
+    return _joined(pairs, active, "members").where(_similar_udf(p)("x", "y")).select("a", "b")
 
 
 def _across(p: Params):
     limits = _limits(p)
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "kind", "i", "j", "side"], ignore_index=True)
         block = rows[["key", "kind", "i", "j"]].ne(rows[["key", "kind", "i", "j"]].shift()).any(axis=1).to_numpy()
         heads = np.flatnonzero(block)
         sides, comps, band = rows["side"].to_numpy(), rows["comp"].to_numpy(), rows["band"].to_numpy()
-        sigs, bands, ids = _rows(rows["sig"], np.uint8), _rows(rows["bands"], np.uint32), rows["id"].to_numpy()
-        found = []
+        # A document comes once for each of its buckets, its signature once for all of the group.
+        known = known.drop_duplicates("doc").sort_values("doc", ignore_index=True)
+        sigs, bands, ids = _rows(known["sig"], np.uint8), _rows(known["bands"], np.uint32), rows["id"].to_numpy()
+        row = np.searchsorted(known["doc"].to_numpy(), ids)
+        keep, waiting, size = [], [], 0
+
+        def flush():
+            x, y = (np.concatenate(part) for part in zip(*waiting))
+            alive = survivors(sigs, sigs, row[x], row[y], limits)
+            first = (bands[row[x[alive]]] == bands[row[y[alive]]]).argmax(axis=1)
+            alive = alive[first == band[x[alive]]]
+            keep.append(np.stack([ids[x[alive]], ids[y[alive]]], axis=1))
+
         for lo, hi in zip(heads, np.append(heads[1:], len(rows))):
             # Side 0 holds rows that meet each other; side 1 meets side 2.
-            if sides[lo] == 0:
-                x, y = np.triu_indices(hi - lo, 1)
-                x, y = x + lo, y + lo
-            else:
-                middle = lo + np.searchsorted(sides[lo:hi], 2)
-                x, y = np.repeat(np.arange(lo, middle), hi - middle), np.tile(np.arange(middle, hi), middle - lo)
-            apart = comps[x] != comps[y]
-            found.append((x[apart], y[apart]))
-        x, y = (np.concatenate(part) if found else np.zeros(0, dtype=np.int64) for part in (list(zip(*found)) or ((), ())))
-        keep = []
-        for at in range(0, len(x), 1 << 16):
-            a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-            alive = survivors(sigs, sigs, a, b, limits)
-            first = (bands[a[alive]] == bands[b[alive]]).argmax(axis=1)
-            alive = alive[first == band[a[alive]]]
-            keep.append(np.stack([ids[a[alive]], ids[b[alive]]], axis=1))
+            alone = sides[lo] == 0
+            middle = hi if alone else lo + int(np.searchsorted(sides[lo:hi], 2))
+            for one in range(lo, middle):
+                others = np.arange(one + 1 if alone else middle, hi)
+                others = others[comps[others] != comps[one]]
+                if len(others):
+                    waiting.append((np.full(len(others), one), others))
+                    size += len(others)
+                # So many pairs are held at a time, whatever the size of the group.
+                if size >= 1 << 16:
+                    flush()
+                    waiting, size = [], 0
+        if waiting:
+            flush()
         pairs = np.concatenate([np.zeros((0, 2), dtype=np.int64), *keep])
         return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
 
@@ -279,7 +303,10 @@ def _cross_pairs(apart: DataFrame, active: DataFrame, p: Params) -> DataFrame:
     """
     sizes = apart.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("all"))
-    main = main.select("key", F.col("x.comp").alias("main"), F.ceil(F.col("x.m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).cast("int").alias("rests"))
+    main = main.select("key", F.col("x.comp").alias("main"), "all", F.ceil(F.col("x.m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).cast("int").alias("rests"))
+    # Buckets with one main component hold much the same documents: they share groups, as few as their rows need.
+    shares = main.groupBy("main").agg(F.ceil(F.sum("all") * 2 / GROUP).alias("parts"))
+    main = materialised(main.drop("all").join(shares, "main"))
     rows = apart.join(main, "key")
     of = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
@@ -290,11 +317,16 @@ def _cross_pairs(apart: DataFrame, active: DataFrame, p: Params) -> DataFrame:
     side = lambda j: F.when(j == own, 0).when(j > own, 1).otherwise(2)
     to_each = F.transform(each(F.col("rests")), lambda j: task(1, F.least(j, own), F.greatest(j, own), side(j)))
     tasks = F.when(F.col("comp") == F.col("main"), to_rests).otherwise(F.concat(to_mains, to_each))
-    dealt = rows.select("key", "band", "id", "comp", F.explode(tasks).alias("t")).select("key", "band", "id", "comp", "t.kind", "t.i", "t.j", "t.side")
     groups = max(1, -(-apart.count() * 2 // GROUP))
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "kind", "i", "j"), F.lit(groups)))
-    dealt = dealt.join(active.select("id", "sig", "bands"), "id")
-    return dealt.groupBy("group").applyInPandas(_across(p), "a long, b long").distinct()
+    dealt = rows.select("key", "band", "id", "comp", "main", "parts", F.explode(tasks).alias("t"))
+    dealt = dealt.select("key", "band", "id", "comp", "main", "parts", "t.kind", "t.i", "t.j", "t.side")
+    block = F.pmod(F.xxhash64("key", "kind", "i", "j"), F.col("parts"))
+    small = F.pmod(F.xxhash64("main"), F.lit(groups))
+    group = F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("main", block))
+    dealt = materialised(dealt.withColumn("group", group).drop("main", "parts"))
+    asked = dealt.select(F.col("group").alias("of"), F.col("id").alias("doc")).distinct()
+    known = asked.join(active.select(F.col("id").alias("doc"), "sig", "bands"), "doc")
+    return dealt.groupBy("group").cogroup(known.groupBy("of")).applyInPandas(_across(p), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
@@ -326,7 +358,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     active = active.where("sig is not null")
 
     pairs = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialised(_verified(pairs, active, p))
+    links = materialised(_verified(_pruned(pairs, active, p), active, p))
     comps = components(links).withColumnRenamed("node", "id")
     named = buckets.select("key", "band", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
