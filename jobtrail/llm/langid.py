@@ -17,7 +17,7 @@ from jobtrail.llm.common import materialised
 WINDOW = 64
 #: Windows that run through the network together.
 LANES = 4096
-#: A sample of so many documents at most is sent to all executors.
+#: Tables of so many languages or sampled documents at most are sent to all executors.
 BROADCAST_ROWS = 200_000
 
 
@@ -173,7 +173,8 @@ def fit(docs: DataFrame, how: Training = Training(), text: str = "text", lang: s
     share = F.shiftrightunsigned(F.xxhash64("doc_id", text), 1).cast("double") / 2.0**63
     slim = materialised(known.select(F.col(lang).alias("__l"), share.alias("__share")))
     # Thin out large languages before they are ranked: a third more than wanted is left, all but surely.
-    sizes = slim.groupBy("__l").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = materialised(slim.groupBy("__l").agg(F.count(F.lit(1)).alias("__n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     thin = slim.join(sizes, "__l").where(F.col("__share") * F.col("__n") < how.docs_per_lang * 1.34 + 100).distinct()
     order = Window.partitionBy("__l").orderBy("__share")
     picked = materialised(thin.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= how.docs_per_lang).select("__l", "__share"))
