@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm.common import GAPS, in_filter, materialised, mixed64, prefiltered
 
-#: Lines with fewer characters besides white space say too little to be called copies: they always stay.
+#: Lines with fewer characters besides white space say too little to be called near copies. They stay, unless
+#: ``exact_chars`` has their exact repeats dropped.
 MIN_CHARS = 20
 QUARTERS, STEP = 4, 8
 U64 = np.uint64
 _LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
-def _line_rows(texts: list[str], min_chars: int):
+def _line_rows(texts: list[str], min_chars: int, exact_chars: int):
     """Per line that counts: number of its text, of the line in it, two hashes, and its keys with their number.
 
+    Lines below ``min_chars`` have hashes but no keys: only their equals find them.
+
     A line's hashes are sums of characters weighed by their place from the front and from the back, so that those of
     beginnings and ends come from running sums. A key covers all but a quarter. Lines of n and n + 1 characters must
     be cut alike to meet, so cuts depend on a length rounded down to a multiple of ``STEP``; a line of such a length
@@ -43,23 +46,25 @@ def _line_rows(texts: list[str], min_chars: int):
     place = np.arange(len(points)) - np.repeat(starts, n + 1)
     front = np.concatenate([np.zeros(1, U64), np.cumsum((points + U64(1)) * weights[place], dtype=U64)])
     back = np.concatenate([np.zeros(1, U64), np.cumsum((points + U64(7)) * weights[np.maximum(np.repeat(n, n + 1) - 1 - place, 0)], dtype=U64)])
-    own = np.flatnonzero(solid[stops] - solid[starts] >= min_chars)
-    starts, stops, n = starts[own], stops[own], n[own]
+    held = solid[stops] - solid[starts]
+    own = np.flatnonzero(held >= exact_chars)
+    starts, stops, n, keyed = starts[own], stops[own], n[own], held[own] >= min_chars
     sized = n.astype(U64) * U64(0x9FB21C651E98DF25)
     h1, h2 = mixed64(front[stops] - front[starts] + sized), mixed64((back[stops] - back[starts]) ^ sized)
     keys = np.zeros((len(own), 2 * QUARTERS), dtype=U64)
     for i in range(2 * QUARTERS):
-        base, j = n // STEP * STEP - STEP * (i // QUARTERS), i % QUARTERS
+        base, j = np.maximum(n // STEP * STEP - STEP * (i // QUARTERS), 0), i % QUARTERS
         before, after = base * j // QUARTERS, base - base * (j + 1) // QUARTERS
         head, tail = front[starts + before] - front[starts], back[stops] - back[stops - after]
         keys[:, i] = mixed64(mixed64(head + base.astype(U64) * U64(4) + U64(j)) + tail)
     twice = n % STEP == 0
     used = np.ones(keys.shape, dtype=bool)
     used[:, QUARTERS:] = twice[:, None]
-    return text[own], number[own], h1, h2, keys[used], np.where(twice, 2 * QUARTERS, QUARTERS)
+    used &= keyed[:, None]
+    return text[own], number[own], h1, h2, keys[used], used.sum(axis=1)
 
 
-def _emit_lines(min_chars: int):
+def _emit_lines(min_chars: int, exact_chars: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def emit(batches):
@@ -70,7 +75,7 @@ def _emit_lines(min_chars: int):
                 while at + len(part) < batch.num_rows and (not part or size < 1 << 19):
                     part.append(texts[at + len(part)].as_py())
                     size += len(part[-1])
-                text, number, h1, h2, keys, counts = _line_rows(part, min_chars)
+                text, number, h1, h2, keys, counts = _line_rows(part, min_chars, exact_chars)
                 rows = pa.array(text + at)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -126,21 +131,25 @@ def _near_lines(docs: DataFrame, text: str, lines: DataFrame, distinct: DataFram
     return both.where(F.levenshtein("line", "other_line") <= max_edits).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The input with ``text`` less its repeated lines, ``n_lines`` and ``n_removed`` (longs).
 
     A line goes if an earlier line of any document equals it or is within one edit of it, whether or not that
     earlier line itself goes. Lines are ordered by doc_id (null first) and line number; documents that share a
     doc_id are ordered by a hash of their texts, and rows that repeat id and text count as one document and stay
-    alike. Lines with fewer than ``min_chars`` characters besides white space stay. What is left is joined by line
-    ends again. Null texts stay null with 0 lines. Columns named ``n_lines`` or ``n_removed`` are replaced.
+    alike. Only lines with ``min_chars`` characters besides white space or more are held against near ones. Exact
+    repeats go from ``exact_chars`` such characters on (as many as ``min_chars`` if not given; with 1, all but blank
+    lines), so lines with fewer stay. What is left is joined by line ends again. Null texts stay null with 0 lines. Columns named ``n_lines`` or ``n_removed`` are replaced.
 
     Equal lines are counted with partial sums before the shuffle and only their first place is compared on. Whole
     texts are shuffled only for documents that lose lines or have a line that another nearly equals.
     """
+    exact_chars = min_chars if exact_chars is None else exact_chars
+    if exact_chars > min_chars:
+        raise ValueError("exact_chars must not be above min_chars")
     docs = docs.drop("n_lines", "n_removed")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text is not null")
-    lines = materialised(read.mapInArrow(_emit_lines(min_chars), _LINES))
+    lines = materialised(read.mapInArrow(_emit_lines(min_chars, exact_chars), _LINES))
     place = F.struct("doc_id", "text_hash", "line_no")
     distinct = materialised(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
     near = _near_lines(docs, text, lines, distinct)

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from jobtrail.llm import bpe, components, langid, linededup, minhash, mixing, quality, sharding, suffix, topk, toxicity
 from jobtrail.llm.common import n_words
 
@@ -305,6 +306,25 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert linededup.dedup_lines(odd.limit(0)).collect() == []
 
 
+def test_line_dedup_drops_exact_repeats_of_short_lines(spark):
+    rows = [(1, "Les.\n\n\nA line that is long enough to count.\nLes."), (2, "Les!\nLes.\n \n中。\nAll rights reserved."), (3, "中。\nAll rights reserved.\nx"), (4, "Les."), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linededup.dedup_lines(docs, exact_chars=1).collect()}
+    # Short lines go if they are equal ("Les!" is near only), blank ones stay.
+    assert got == {
+        1: ("Les.\n\n\nA line that is long enough to count.", 5, 1),
+        2: ("Les!\n \n中。\nAll rights reserved.", 5, 1),
+        3: ("x", 3, 2),
+        4: ("", 1, 1),
+        5: (None, 0, 0),
+    }
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    left = stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")), "").collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {d: t for d, (t, _, _) in got.items() if d != 4}
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(docs, min_chars=3, exact_chars=4)
+
+
 # Sharding
 
 
