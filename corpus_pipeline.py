@@ -23,11 +23,12 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that an earlier line equals or, from ``linededup.MIN_CHARS`` characters on, nearly equals.
+    """Documents less the lines that an earlier line equals or, from ``linededup.MIN_CHARS`` characters on,
+    is within two edits of.
 
     A document that loses lines and has no word left goes with them.
     """
-    cleaned = linededup.dedup_lines(docs, exact_chars=1)
+    cleaned = linededup.dedup_lines(docs, exact_chars=1, max_edits=2)
     left = (F.col("n_removed") == 0) | (F.size(words(F.col("text"))) > 0)
     return cleaned.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

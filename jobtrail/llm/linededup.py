@@ -1,4 +1,4 @@
-"""Line dedup by a deletion-neighbourhood join: a line goes if an earlier line is within one edit of it.
+"""Line dedup by a deletion-neighbourhood join: a line goes if an earlier line is within a few edits of it, one by default.
 
 Two lines within one edit (a character put in, taken out or changed) become equal when the right character is left
 out of one or both. Each line therefore emits hashed keys of itself and of all variants with one character less;
@@ -7,8 +7,14 @@ lines that share a key are compared, and the later one goes.
 One edit touches one quarter of a line, so partners agree in the other three. Lines are first keyed by three
 quarters at a time, and only where another line has the same key does a line emit variants, those of the fourth
 quarter. No partner is lost by that, and lines unlike all others, which are nearly all, emit four keys each.
+
+A higher bound of e edits has too many variants. Lines are cut into e + 2 pieces there, of which two at least are left
+whole. Keys are of two whole pieces, at every place to which the other edits can shift them, and lines that share a
+key are compared by edit distance, large groups in blocks.
 """
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,10 +27,59 @@ from jobtrail.llm.common import GAPS, in_filter, materialised, mixed64, prefilte
 MIN_CHARS = 20
 QUARTERS, STEP = 4, 8
 U64 = np.uint64
+#: Lines that share a key are compared all with all in blocks of so many.
+BLOCK_LINES = 64
+FACTOR = 0xD1342543DE82EF95
 _LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
-def _line_rows(texts: list[str], min_chars: int, exact_chars: int):
+def _shared_pieces(edits: int) -> list[tuple[int, int, int, int]]:
+    """Pieces i < j with the shifts at which a partner may have them, if i is the first whole piece and j the next.
+
+    Pieces of the front half keep their place from the front up to the edits before them, the others theirs from the
+    back up to the edits behind them. What a length is more than its rounded value lies between the halves.
+    """
+    pieces = edits + 2
+    front, found = pieces // 2, set()
+    for i, j in combinations(range(pieces), 2):
+        near = j < front or i >= front
+        for before in range(i, edits + 1) if i else [0]:
+            for between in [0] if near and j == i + 1 else range(j - i - 1, edits - before + 1):
+                behind = 0 if j == pieces - 1 else edits - before - between
+                if behind < 0:
+                    continue
+                moved = lambda n: range(-n, n + 1)
+                if j < front:
+                    found |= {(i, j, x, x + d) for x in moved(before) for d in moved(between)}
+                elif i >= front:
+                    found |= {(i, j, x + d, x) for x in moved(behind) for d in moved(between)}
+                else:
+                    found |= {(i, j, x, y) for x in moved(before) for y in moved(behind)}
+    return sorted(found)
+
+
+def _piece_keys(points: np.ndarray, place: np.ndarray, starts: np.ndarray, n: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of two pieces for each line, and which of them are used: those for a shorter line's cuts only where one is in reach."""
+    longest, pieces = int(place.max()) + 2, edits + 2
+    powers, inverse = (np.cumprod(np.concatenate([[U64(1)], np.full(longest, x, U64)]), dtype=U64) for x in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed64(points + U64(1)) * powers[place], dtype=U64)])
+    plan = _shared_pieces(edits)
+    keys = np.zeros((len(n), 2 * len(plan)), dtype=U64)
+    used = np.ones(keys.shape, dtype=bool)
+    used[:, len(plan) :] = (n % STEP < edits)[:, None]
+    for at in range(2 * len(plan)):
+        i, j, *shifts = plan[at % len(plan)]
+        base = np.maximum(n // STEP * STEP - STEP * (at // len(plan)), 0)
+        key = mixed64(base.astype(U64) * U64(pieces * pieces) + U64(i * pieces + j))
+        for piece, shift in zip((i, j), shifts):
+            moved = shift if piece < pieces // 2 else n - base - shift
+            head, tail = (np.clip(base * x // pieces + moved, 0, n) for x in (piece, piece + 1))
+            key = mixed64(key + (sums[starts + tail] - sums[starts + head]) * inverse[head])
+        keys[:, at] = key
+    return keys, used
+
+
+def _line_rows(texts: list[str], min_chars: int, exact_chars: int, max_edits: int):
     """Per line that counts: number of its text, of the line in it, two hashes, and its keys with their number.
 
     Lines below ``min_chars`` have hashes but no keys: only their equals find them.
@@ -51,6 +106,10 @@ def _line_rows(texts: list[str], min_chars: int, exact_chars: int):
     starts, stops, n, keyed = starts[own], stops[own], n[own], held[own] >= min_chars
     sized = n.astype(U64) * U64(0x9FB21C651E98DF25)
     h1, h2 = mixed64(front[stops] - front[starts] + sized), mixed64((back[stops] - back[starts]) ^ sized)
+    if max_edits > 1:
+        keys, used = _piece_keys(points, place, starts, n, max_edits)
+        used &= keyed[:, None]
+        return text[own], number[own], h1, h2, keys[used], used.sum(axis=1)
     keys = np.zeros((len(own), 2 * QUARTERS), dtype=U64)
     for i in range(2 * QUARTERS):
         base, j = np.maximum(n // STEP * STEP - STEP * (i // QUARTERS), 0), i % QUARTERS
@@ -64,7 +123,7 @@ def _line_rows(texts: list[str], min_chars: int, exact_chars: int):
     return text[own], number[own], h1, h2, keys[used], used.sum(axis=1)
 
 
-def _emit_lines(min_chars: int, exact_chars: int):
+def _emit_lines(min_chars: int, exact_chars: int, max_edits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def emit(batches):
@@ -75,7 +134,7 @@ def _emit_lines(min_chars: int, exact_chars: int):
                 while at + len(part) < batch.num_rows and (not part or size < 1 << 19):
                     part.append(texts[at + len(part)].as_py())
                     size += len(part[-1])
-                text, number, h1, h2, keys, counts = _line_rows(part, min_chars, exact_chars)
+                text, number, h1, h2, keys, counts = _line_rows(part, min_chars, exact_chars, max_edits)
                 rows = pa.array(text + at)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -94,7 +153,14 @@ def _emit_lines(min_chars: int, exact_chars: int):
     return emit
 
 
-def _near_lines(docs: DataFrame, text: str, lines: DataFrame, distinct: DataFrame, max_edits: int = 1) -> DataFrame:
+def _wanted_lines(docs: DataFrame, text: str, per_doc: DataFrame) -> DataFrame:
+    """``w, line``: the members of ``wanted`` of each document and the line at their place."""
+    some = prefiltered(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).where("text is not null"), "text_hash", per_doc)
+    found = some.dropDuplicates(["doc_id", "text_hash"]).join(per_doc.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
+    return found.select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w", F.get("all", F.col("w.place.line_no")).alias("line"))
+
+
+def _near_lines(docs: DataFrame, text: str, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """``h1, h2`` of the different lines that have another, earlier line within one edit."""
     each = lines.select("h1", "h2", "doc_id", "text_hash", "line_no", F.posexplode("keys").alias("q", "k"))
     shared = each.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("k")
@@ -104,9 +170,7 @@ def _near_lines(docs: DataFrame, text: str, lines: DataFrame, distinct: DataFram
     place = F.struct("doc_id", "text_hash", "line_no").alias("place")
     first = likely.select("h1", "h2", "k", "q", place).join(distinct.select("h1", "h2", F.col("first").alias("place")), ["h1", "h2", "place"], "left_semi")
     per_doc = materialised(first.distinct().groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place", "k", "q")).alias("wanted")))
-    some = prefiltered(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).where("text is not null"), "text_hash", per_doc)
-    found = some.dropDuplicates(["doc_id", "text_hash"]).join(per_doc.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
-    found = found.select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", "w.k", "w.q", F.get("all", F.col("w.place.line_no")).alias("line"))
+    found = _wanted_lines(docs, text, per_doc).select("w.h1", "w.h2", "w.place", "w.k", "w.q", "line")
     full = materialised(found)
     n, j = F.length("line"), F.col("q") % QUARTERS
     base = F.floor(n / STEP) * STEP - F.when(F.col("q") >= QUARTERS, STEP).otherwise(0)
@@ -128,14 +192,37 @@ def _near_lines(docs: DataFrame, text: str, lines: DataFrame, distinct: DataFram
     pairs = emitted.select("h1", "h2", "place", F.least(changed, shorter, longer).alias("other")).where("other < place").distinct()
     text_of = full.select(F.col("place").alias("other"), F.col("line").alias("other_line")).dropDuplicates(["other"])
     both = pairs.join(full.select("h1", "h2", "line").dropDuplicates(["h1", "h2"]), ["h1", "h2"]).join(text_of, "other")
-    return both.where(F.levenshtein("line", "other_line") <= max_edits).select("h1", "h2").distinct()
+    return both.where(F.levenshtein("line", "other_line") <= 1).select("h1", "h2").distinct()
+
+
+def _near_by_pieces(docs: DataFrame, text: str, lines: DataFrame, distinct: DataFrame, max_edits: int) -> DataFrame:
+    """``h1, h2`` of the different lines that have another, earlier line within ``max_edits`` edits."""
+    each = lines.select("h1", "h2", "doc_id", "text_hash", "line_no", F.explode("keys").alias("k"))
+    shared = each.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("k")
+    shared = materialised(shared)
+    place = F.struct("doc_id", "text_hash", "line_no").alias("place")
+    likely = prefiltered(each, "k", shared).join(shared, "k").select("h1", "h2", place, "k")
+    first = likely.join(distinct.select("h1", "h2", F.col("first").alias("place")), ["h1", "h2", "place"], "left_semi")
+    per_line = first.groupBy("h1", "h2", "place").agg(F.collect_set("k").alias("keys"))
+    per_doc = materialised(per_line.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place", "keys")).alias("wanted")))
+    full = materialised(_wanted_lines(docs, text, per_doc).select("w.h1", "w.h2", "w.place", "w.keys", "line"))
+    # Blocks of a key meet each other two by two, so no task holds all lines of a key.
+    many = full.select(F.explode("keys").alias("k")).groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).cast("int").alias("blocks")).where("blocks > 1")
+    keyed = full.select("h1", "h2", "place", "line", F.explode("keys").alias("k")).join(many, "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.col("h2"), F.col("blocks")).cast("int")
+    met = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = met.groupBy("k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    held = group.agg(F.collect_list(F.struct("h1", "h2", "place", "line")).alias("held")).where(F.size("held") > 1)
+    earlier = lambda x: lambda y: (y["place"] < x["place"]) & (F.levenshtein(y["line"], x["line"], max_edits) >= 0)
+    near = F.filter("held", lambda x: F.exists(F.col("held"), earlier(x)))
+    return held.select(F.explode(near).alias("x")).select("x.h1", "x.h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1) -> DataFrame:
     """The input with ``text`` less its repeated lines, ``n_lines`` and ``n_removed`` (longs).
 
-    A line goes if an earlier line of any document equals it or is within one edit of it, whether or not that
-    earlier line itself goes. Lines are ordered by doc_id (null first) and line number; documents that share a
+    A line goes if an earlier line of any document equals it or is within ``max_edits`` edits of it (1 to 7),
+    whether or not that earlier line itself goes. Lines are ordered by doc_id (null first) and line number; documents that share a
     doc_id are ordered by a hash of their texts, and rows that repeat id and text count as one document and stay
     alike. Only lines with ``min_chars`` characters besides white space or more are held against near ones. Exact
     repeats go from ``exact_chars`` such characters on (as many as ``min_chars`` if not given; with 1, all but blank
@@ -147,12 +234,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
     exact_chars = min_chars if exact_chars is None else exact_chars
     if exact_chars > min_chars:
         raise ValueError("exact_chars must not be above min_chars")
+    if not 1 <= max_edits < STEP:
+        raise ValueError(f"max_edits must be 1 to {STEP - 1}")
     docs = docs.drop("n_lines", "n_removed")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text is not null")
-    lines = materialised(read.mapInArrow(_emit_lines(min_chars, exact_chars), _LINES))
+    lines = materialised(read.mapInArrow(_emit_lines(min_chars, exact_chars, max_edits), _LINES))
     place = F.struct("doc_id", "text_hash", "line_no")
     distinct = materialised(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    near = _near_lines(docs, text, lines, distinct)
+    near = _near_lines(docs, text, lines, distinct) if max_edits == 1 else _near_by_pieces(docs, text, lines, distinct, max_edits)
     # A line that comes once and is near no other costs nothing from here on.
     gone = materialised(distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near"))
     removed = prefiltered(lines.select("h1", "h2", place.alias("place")), "h1", gone).join(gone, ["h1", "h2"]).where("near or place > first")

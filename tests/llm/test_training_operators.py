@@ -325,6 +325,55 @@ def test_line_dedup_drops_exact_repeats_of_short_lines(spark):
         linededup.dedup_lines(docs, min_chars=3, exact_chars=4)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_finds_all_within_the_bound(spark, monkeypatch, edits):
+    monkeypatch.setattr(linededup, "BLOCK_LINES", 4)
+    rng = random.Random(edits)
+    lines = [prose(rng.randrange(4, 10), rng, 50) for _ in range(12)] + ["ü" * 24]
+    rows = []
+    for d in range(45):
+        body = []
+        for _ in range(rng.randrange(1, 4)):
+            x = rng.choice(lines)
+            for _ in range(rng.randrange(edits + 2)):
+                at, c = rng.randrange(len(x) + 1), rng.choice("abcü ")
+                x = rng.choice([x[:at] + c + x[at:], x[:at] + x[at + 1 :], x[:at] + c + x[at + 1 :]])
+            body.append(x)
+        rows.append((d, "\n".join(body)))
+    places = sorted((d, i, x) for d, t in rows for i, x in enumerate(t.split("\n")) if len(re.sub(r"[ \t-\r]", "", x)) >= linededup.MIN_CHARS)
+    gone = {(d, i) for k, (d, i, x) in enumerate(places) if any(distance(x, y) <= edits for _, _, y in places[:k])}
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), max_edits=edits).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_line_keys_meet_for_all_partners_within_the_bound():
+    rng = random.Random(4)
+    for edits in (2, 3, 4):
+        for _ in range(150):
+            a = b = "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(20, 90)))
+            for _ in range(edits):
+                at, c = rng.randrange(len(b) + 1), rng.choice("xyz")
+                b = rng.choice([b[:at] + c + b[at:], b[:at] + b[at + 1 :], b[:at] + c + b[at + 1 :]])
+            *_, keys, counts = linededup._line_rows([a, b], 1, 1, edits)
+            assert set(keys[: counts[0]]) & set(keys[counts[0] :]), (edits, a, b)
+
+
+def test_pipeline_drops_lines_within_two_edits(spark):
+    line = "Subscribe to our weekly letter and never miss a story again"
+    docs = spark.createDataFrame([(1, line), (2, line.replace("weekly", "wekly").replace("story", "storry")), (3, line[:30])], "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs.withColumn("n_chars", F.length("text").cast("long")), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
 # Sharding
 
 
