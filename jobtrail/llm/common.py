@@ -13,6 +13,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]"
 
 #: Pre-filters are tables of at most so many hash values, whatever the size of the corpus.
 FILTER = 1 << 20
+#: Keys that hold at least this part of all rows are joined apart from the others; there are at most so many.
+HEAVY = 10_000
 U64 = np.uint64
 
 
@@ -75,3 +77,18 @@ def in_filter(rows: DataFrame, column: str, wanted: DataFrame, flag: str) -> Dat
 def prefiltered(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """Rows whose ``column`` may be among ``wanted``'s: less to shuffle for the exact join that has to follow."""
     return in_filter(rows, column, wanted, "__may").where("__may").drop("__may")
+
+
+def attached(rows: DataFrame, found: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined with ``found``, which has one row per ``key`` and in ``count`` how many rows have it.
+
+    A key that holds a ten-thousandth of all rows or more would put them into one task. There are at most ``HEAVY``
+    such keys, whatever the input, so what is found of them is broadcast; rows of the others are shuffled. Both
+    tables are read more than once: pass materialised ones. The count is not kept; no key is null.
+    """
+    total = F.lit(rows.count())
+    heavy = F.broadcast(found.where(F.col(count) * HEAVY >= total).drop(count).withColumn("__heavy", F.lit(True)))
+    light = found.where(F.col(count) * HEAVY < total).drop(count)
+    marked = rows.join(heavy, key, "left")
+    direct = marked.where("__heavy").drop("__heavy")
+    return direct.unionByName(marked.where("__heavy is null").select(*rows.columns).join(light, key, "left"))

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, suffix, topk, toxicity
+from jobtrail.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, simhash, suffix, topk, toxicity
 from jobtrail.llm.common import materialised, n_words, table
 from jobtrail.llm.queries_sql import SQL
 
@@ -85,6 +85,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), simhash.Params(words=3, bits=2, seed=42))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}
