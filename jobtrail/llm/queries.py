@@ -1,16 +1,18 @@
 """One query per operator over its whole table, and the SQL that checks it where SQL can say it."""
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, simhash, suffix, topk, toxicity
+from jobtrail.llm import alignment, bpe, langid, linededup, minhash, mixing, quality, sharding, simhash, suffix, topk, toxicity
 from jobtrail.llm.common import materialised, n_words, table
 from jobtrail.llm.queries_sql import SQL
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +87,13 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (Path(public_tokenizers.path(name)).read_bytes() for name in ALIGNED)
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), simhash.Params(words=3, bits=2, seed=42))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
+    "op11_alignment": op11_alignment,
     "op13_simhash": op13_simhash,
 }
 
