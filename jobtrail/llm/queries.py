@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import alignment, bpe, langid, linededup, minhash, mixing, quality, sharding, simhash, suffix, topk, toxicity
+from jobtrail.llm import alignment, bpe, langid, linededup, minhash, mixing, prefixtrie, quality, sharding, simhash, suffix, topk, toxicity
 from jobtrail.llm.common import materialised, n_words, table
 from jobtrail.llm.queries_sql import SQL
 
@@ -94,6 +94,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), simhash.Params(words=3, bits=2, seed=42))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_mix": op10_mix,
     "op11_alignment": op11_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_simhash": op13_simhash,
 }
 

@@ -77,5 +77,23 @@ prior AS (SELECT mean, 1 / least(greatest(CASE WHEN scale > 0 THEN over / scale
 v AS (SELECT source, (f + mean * strength) / (n + strength) > greatest(0.5, (1 + mean) / 2) AS host_rejected FROM h, prior)
 SELECT a.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, NOT base_failed AND NOT host_rejected AS kept
 FROM a JOIN v ON a.source IS NOT DISTINCT FROM v.source
+""",
+    "op12_prefix_trie": rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT c, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes FROM t),
+f AS (SELECT c, xor(list_reduce(list_prepend(4294967295, codes),
+  lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h FROM i),
+b AS (SELECT f.c, t.p, role, said FROM f JOIN t ON t.c = f.c - f.c % 20 AND t.p <= h UNION ALL SELECT c, p, role, said FROM f JOIN t USING (c) WHERE p > h),
+s AS (SELECT f.c, coalesce(list(md5(role) || md5(said) ORDER BY p) FILTER (p IS NOT NULL), []) AS e, coalesce(list(said ORDER BY p) FILTER (p IS NOT NULL), []) AS said
+  FROM f LEFT JOIN b USING (c) GROUP BY f.c),
+u AS (SELECT c, e, said, unnest(range(len(e) + 1)) AS d FROM s),
+m AS (SELECT c, d, md5(array_to_string(e[1:d], '')) AS k, md5(array_to_string(e[1:d - 1], '')) AS up, len(e) = d AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(said[d], '{WORD}')) END AS w FROM u),
+n AS (SELECT d, k, any_value(up) AS up, any_value(w) AS w, min(c) AS c, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS ends FROM m GROUP BY d, k),
+g AS (SELECT x.*, (SELECT count(*) FROM n y WHERE y.d = x.d + 1 AND y.up = x.k) AS kids FROM n x),
+a AS (SELECT m.d, m.k, count(*) FILTER (kids = 0) AS leaves, CAST(sum((g.n - 1) * g.w) AS BIGINT) AS saved FROM g JOIN m ON m.c = g.c AND m.d <= g.d GROUP BY m.d, m.k)
+SELECT g.c AS conv_id, g.d AS depth, o.c AS parent_conv_id, g.n AS n_convs, g.kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN a USING (d, k) LEFT JOIN n o ON o.d = g.d - 1 AND o.k = g.up
 """,
 }
