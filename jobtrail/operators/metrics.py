@@ -75,6 +75,16 @@ def metrics_snapshot(
     summaries: DataFrame, queued: DataFrame, dispatched: DataFrame, as_of: Column, window: int = 60, width_ms: int = 60_000
 ) -> DataFrame:
     """All figures of the dashboard in long form: as_of, metric, dimension, value."""
+    hist = _histogram(summaries, ["status"], finished_since(as_of, window))
+    counts = hist.groupBy("status").agg(F.sum("_n").alias("n"))
+    rate = hist.agg(F.coalesce(F.sum(F.when(F.col("_recent"), F.col("_n"))), F.lit(0)).alias("n"))
+    return snapshot_of(counts, hist, rate, queued, dispatched, as_of, width_ms)
+
+
+def snapshot_of(
+    counts: DataFrame, hist: DataFrame, rate: DataFrame, queued: DataFrame, dispatched: DataFrame, as_of: Column, width_ms: int = 60_000
+) -> DataFrame:
+    """The same from aggregates: ``status, n``; ``_ms, _timed`` (jobs per duration); and ``n`` recent finishes."""
     row = lambda df, metric, dimension, value: df.select(
         as_of.alias("as_of"),
         F.lit(metric).alias("metric"),
@@ -82,9 +92,6 @@ def metrics_snapshot(
         value.cast("bigint").alias("value"),
     )
     none = F.lit("")
-    hist = _histogram(summaries, ["status"], finished_since(as_of, window))
-    counts = hist.groupBy("status").agg(F.sum("_n").alias("n"))
-    rate = hist.agg(F.coalesce(F.sum(F.when(F.col("_recent"), F.col("_n"))), F.lit(0)).alias("n"))
     durations = _durations(hist, [], width_ms).select(
         F.inline(
             F.array(

@@ -174,7 +174,7 @@ def _(v):
     v.queue().write.parquet(queue)
     v.dispatched().write.parquet(dispatched)
     tables = (lambda spark: spark.read.parquet(queue)), (lambda spark: spark.read.parquet(dispatched))
-    drain(J.start_metrics(events, *tables, f"{out}/state", f"{out}/metrics", f"{out}/checkpoint", _NOW, 40 * 86400, 4 * 86400, 86400, "40 days"))
+    drain(J.start_metrics(events, *tables, f"{out}/state", f"{out}/metrics", f"{out}/checkpoint", _NOW, 40 * 86400, 4 * 86400, 86400, 400 * 86400))
     rows = v.spark.read.parquet(f"{out}/metrics")
     last = rows.agg(F.max("batch_id")).scalar()
     return rows.where(F.col("batch_id") == last).select("metric", "dimension", "value")

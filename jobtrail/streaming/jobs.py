@@ -17,6 +17,7 @@ from jobtrail.operators import admission as A
 from jobtrail.operators import lifecycle as L
 from jobtrail.operators import logs as G
 from jobtrail.operators import metrics as M
+from jobtrail.sources import runs as U
 
 Trigger = dict
 
@@ -61,21 +62,30 @@ def start_append(df: DataFrame, path: str, checkpoint: str, trigger: Trigger, pa
     return writer.partitionBy(*partition_by).option("path", path).trigger(**trigger).start()
 
 
-def start_updates(df: DataFrame, path: str, checkpoint: str, trigger: Trigger) -> StreamingQuery:
-    """Write every batch of an update-mode frame; read the table back with ``latest``."""
+def start_updates(
+    df: DataFrame, path: str, checkpoint: str, trigger: Trigger, key: str = "job_id", keep: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
+    """Write every batch of an update-mode frame; read the table back with ``latest``.
+
+    Batches are merged to the newest row per key as they pile up (``sources.runs``), so neither a reader's folders nor
+    superseded rows grow with history. ``keep`` says which of the newest rows stay when a merge goes back to the first
+    batch, e.g. a ``lifecycle.sweep``: rows that it drops have expired and leave the table.
+    """
+
+    def merge(rows: DataFrame, whole: bool) -> DataFrame:
+        merged = U.newest(rows, key)
+        return keep(merged) if keep and whole else merged
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        U.compact(batch.sparkSession, path, batch_id, merge)
+        U.write(batch.withColumn(U.BATCH, F.lit(batch_id).cast("bigint")), path, batch_id)
 
     return start(df, each, checkpoint, "update", trigger)
 
 
 def latest(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
-    """The newest row per key of a table written by ``start_updates``."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (key, "batch_id")]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
-    return newest.select(key, "_r.*")
+    """The newest row per key of a table written by ``start_updates``, which must have written a batch."""
+    return U.newest(U.read(spark, path), key).drop(U.BATCH)
 
 
 def start_logs(batches: DataFrame, path: str, checkpoint: str, trigger: Trigger) -> StreamingQuery:
@@ -138,6 +148,58 @@ def read_documents(spark: SparkSession, out_path: str) -> DataFrame:
 Table = Callable[[SparkSession], DataFrame]
 
 
+# --- metrics kept as aggregates --------------------------------------------------------------
+
+_JOB = ["status", "at", "reason", "reason_at", "queued_at", "started_at", "finished_at", "updated_at"]
+
+
+def _told(events: DataFrame) -> DataFrame:
+    """What a batch of events says of each job, in a form of which two can be merged."""
+    arrival, reason = F.struct(*L.ARRIVAL), F.col("reason") != ""
+    first = lambda cond: F.min(F.when(cond, F.col("ts")))
+    return L.valid_events(events).groupBy("job_id").agg(
+        F.max_by("status", arrival).alias("status"),
+        F.max(arrival).alias("at"),
+        F.max_by("reason", F.when(reason, arrival)).alias("reason"),
+        F.max(F.when(reason, arrival)).alias("reason_at"),
+        first(F.col("status") == "Queued").alias("queued_at"),
+        first(F.col("status") == "Running").alias("started_at"),
+        first(P.is_terminal(F.col("status"))).alias("finished_at"),
+        F.max("ts").alias("updated_at"),
+    )
+
+
+def _joined(told: DataFrame) -> DataFrame:
+    earliest = [F.min(c).alias(c) for c in ("queued_at", "started_at", "finished_at")]
+    return told.groupBy("job_id").agg(
+        F.max_by("status", "at").alias("status"),
+        F.max("at").alias("at"),
+        F.max_by("reason", "reason_at").alias("reason"),
+        F.max("reason_at").alias("reason_at"),
+        *earliest,
+        F.max("updated_at").alias("updated_at"),
+    )
+
+
+def _figures(jobs: DataFrame, retention: int, stale_ttl: int, tick: int) -> DataFrame:
+    """What jobs add to the figures, ``n`` times each: kind, dimension, value, gone_at and the tick that lies in.
+
+    A job counts while the clock is not past ``gone_at``, in microseconds.
+    """
+    ttl = F.when(P.is_terminal(F.col("status")), retention).otherwise(stale_ttl)
+    gone = F.unix_micros("updated_at") + ttl.cast("bigint") * 1_000_000
+    ms = P.millis_between(F.col("started_at"), F.col("finished_at")).cast("bigint")
+    one = lambda kind, dimension, value: F.struct(F.lit(kind).alias("kind"), dimension.alias("dimension"), value.alias("value"))
+    nothing = F.lit("")
+    parts = F.array(
+        one("status", F.col("status"), F.lit(0).cast("bigint")),
+        F.when(ms.isNotNull(), one("ms", nothing, ms)),
+        F.when(F.col("finished_at").isNotNull(), one("finish", nothing, F.unix_micros("finished_at"))),
+    )
+    rows = jobs.select("n", gone.alias("gone_at"), F.inline(F.filter(parts, lambda p: p.isNotNull())))
+    return rows.withColumn("tick", F.floor(F.col("gone_at") / (tick * 1_000_000)))
+
+
 def start_metrics(
     events: DataFrame,
     queued: Table,
@@ -149,40 +211,91 @@ def start_metrics(
     retention: int = 3600,
     stale_ttl: int = 86400,
     window: int = 60,
-    watermark: str = "0 seconds",
+    forget: int | None = None,
+    tick: int = 3600,
 ) -> StreamingQuery:
     """A metrics snapshot after every batch, by default every 5 seconds. The snapshot's time is that of the
     newest event, so a replay gives the same figures.
 
-    ``queued`` and ``dispatched`` are called in every batch, so that files written meanwhile count. The table of live
-    summaries is written whole in every batch, by turns into two folders: a batch reads its predecessor's, and a
-    replay finds it untouched. Expired jobs leave it, so neither it nor the keyed state grows with history.
-    """
+    A batch is folded by itself, laid over the rows of its own jobs, and what these add to the figures is taken off and
+    put on again: jobs per status, per exact duration, and finishes, each by the time at which its job expires. Three
+    tables of runs (``sources.runs``) hold the jobs, the figures by tick of that time, and the figures by the exact
+    time, of which a snapshot reads the one tick that the clock is in. So what a batch writes grows with the jobs it
+    names, not with those that live, and a job expires without being touched.
 
-    def slot(batch_id: int) -> str:
-        return f"{state_path}/slot={batch_id % 2}"
+    ``queued`` and ``dispatched`` are called in every batch, so that files written meanwhile count. A job's row is let
+    go ``forget`` seconds after its last event, by default when it has surely expired; an event after that begins anew.
+    """
+    forget = max(retention, stale_ttl) if forget is None else forget
+    if forget < max(retention, stale_ttl):
+        raise ValueError("forget must not be less than retention and stale_ttl")
+    jobs, ticks, exact = (f"{state_path}/{name}" for name in ("jobs", "ticks", "exact"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.drop("is_expired").withColumn("_new", F.lit(True))
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(slot(batch_id - 1)).withColumn("_new", F.lit(False)))
-        rest = [c for c in rows.columns if c not in ("job_id", "_new")]
-        merged = rows.groupBy("job_id").agg(F.max_by(F.struct(*rest), "_new").alias("_r")).select("job_id", "_r.*")
-        merged.write.mode("overwrite").parquet(f"{slot(batch_id)}-all")
-        every = spark.read.parquet(f"{slot(batch_id)}-all")
-        newest = every.agg(F.max("updated_at")).first()[0]
-        as_of = F.lit(newest)
-        kept = every if newest is None else L.sweep(every, as_of, retention, stale_ttl)
-        kept.write.mode("overwrite").parquet(slot(batch_id))
-        if newest is not None:
-            snapshot = M.metrics_snapshot(spark.read.parquet(slot(batch_id)), queued(spark), dispatched(spark), as_of, window)
-            snapshot.write.mode("overwrite").parquet(batch_folder(out_path, batch_id))
-
-    from jobtrail.streaming.state import stream_lifecycle_expiring
-
-    summaries = stream_lifecycle_expiring(events, watermark, retention, stale_ttl)
-    return start(summaries, each, checkpoint, "update", trigger or {"processingTime": "5 seconds"})
+        told = _told(batch).withColumn("bucket", U.bucket("job_id")).persist()
+        changed = None
+        try:
+            seen = told.agg(F.max(F.unix_micros("updated_at")), F.collect_set("bucket")).first()
+            before = U.read(spark, ticks, batch_id)
+            clock = None if before is None else before.where("kind = 'clock'").agg(F.max("value")).first()[0]
+            now = max([x for x in (seen[0], clock) if x is not None], default=None)
+            if now is None:
+                return
+            live = lambda rows: rows.where(F.unix_micros("updated_at") + F.lit(forget * 1_000_000) >= F.lit(now))
+            U.compact(spark, jobs, batch_id, lambda rows, whole: live(U.newest(rows, "job_id")) if whole else U.newest(rows, "job_id"))
+            U.compact(spark, ticks, batch_id, _summed(now, window, tick))
+            U.compact(spark, exact, batch_id, _summed(now, window, tick))
+
+            rows = told.select("job_id", "bucket", *_JOB, F.lit(1).alias("n"))
+            known = U.read(spark, jobs, batch_id)
+            if known is not None:
+                own = known.where(F.col("bucket").isin(seen[1])).join(told.select("job_id"), "job_id", "left_semi")
+                rows = rows.unionByName(live(U.newest(own, "job_id")).select("job_id", "bucket", *_JOB, F.lit(-1).alias("n")))
+            after = _joined(rows).withColumns({"bucket": U.bucket("job_id"), "n": F.lit(1)})
+            changed = rows.where("n < 0").unionByName(after).persist()
+            now_held = changed.where("n > 0").drop("n").withColumn(U.BATCH, F.lit(batch_id).cast("bigint"))
+            U.write(now_held.repartitionByRange("bucket").sortWithinPartitions("bucket", "job_id"), jobs, batch_id)
+            added = _figures(changed, retention, stale_ttl, tick)
+            stamp = spark.range(1).selectExpr("'clock' AS kind", "'' AS dimension", f"{now}L AS value", f"{1 << 62}L AS tick", "1L AS n")
+            by_tick = added.groupBy("kind", "dimension", "value", "tick").agg(F.sum("n").alias("n")).where("n <> 0")
+            U.write(by_tick.unionByName(stamp), ticks, batch_id)
+            by_time = added.groupBy("kind", "dimension", "value", "tick", "gone_at").agg(F.sum("n").alias("n")).where("n <> 0")
+            U.write(by_time.repartitionByRange("tick").sortWithinPartitions("tick"), exact, batch_id)
+            _snapshot(spark, ticks, exact, now, batch_id, queued(spark), dispatched(spark), window, tick).write.mode("overwrite").parquet(
+                batch_folder(out_path, batch_id)
+            )
+        finally:
+            told.unpersist()
+            if changed is not None:
+                changed.unpersist()
+
+    return start(events, each, checkpoint, "append", trigger or {"processingTime": "5 seconds"})
+
+
+def _summed(now: int, window: int, tick: int) -> U.Merge:
+    """Figures of merged runs added up, without those that no clock from ``now`` on reads again."""
+
+    def merge(rows: DataFrame, whole: bool) -> DataFrame:
+        clock = rows.where("kind = 'clock'").groupBy(*[c for c in rows.columns if c not in ("n", "value")]).agg(F.max("value").alias("value"), F.lit(1).cast("bigint").alias("n"))
+        wanted = (F.col("tick") >= now // (tick * 1_000_000)) & ((F.col("kind") != "finish") | (F.col("value") > now - window * 1_000_000))
+        left = rows.where((F.col("kind") != "clock") & wanted)
+        summed = left.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("n")).where("n <> 0")
+        return summed.unionByName(clock.select(*summed.columns))
+
+    return merge
+
+
+def _snapshot(spark, ticks: str, exact: str, now: int, batch_id: int, queued: DataFrame, dispatched: DataFrame, window: int, tick: int) -> DataFrame:
+    at = now // (tick * 1_000_000)
+    figures = ["kind", "dimension", "value", "n"]
+    later = U.read(spark, ticks, batch_id + 1).where((F.col("tick") > at) & (F.col("kind") != "clock")).select(*figures)
+    border = U.read(spark, exact, batch_id + 1).where((F.col("tick") == at) & (F.col("gone_at") >= now)).select(*figures)
+    held = later.unionByName(border)
+    counts = held.where("kind = 'status'").groupBy(F.col("dimension").alias("status")).agg(F.sum("n").alias("n")).where("n <> 0")
+    hist = held.where("kind = 'ms'").groupBy(F.col("value").alias("_ms")).agg(F.sum("n").alias("_timed")).where("_timed <> 0")
+    rate = held.where((F.col("kind") == "finish") & (F.col("value") > now - window * 1_000_000)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return M.snapshot_of(counts, hist, rate, queued, dispatched, F.timestamp_micros(F.lit(now)))
 
 
 def start_split_rejects(
