@@ -42,6 +42,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in the shared folder, read back: smaller than a checkpoint where columns repeat or go unread."""
+    folder = shared_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(GAPS))

@@ -8,9 +8,15 @@ One edit touches one quarter of a line, so partners agree in the other three. Li
 quarters at a time, and only where another line has the same key does a line emit variants, those of the fourth
 quarter. No partner is lost by that, and lines unlike all others, which are nearly all, emit four keys each.
 
-A higher bound of e edits has too many variants. Lines are cut into e + 2 pieces there, of which two at least are left
+For two edits the same is done in three steps. One of a line's thirds is whole in every partner: lines that share a
+third with another, at every place to which an edit can shift it, go on. Those are cut into cells of some twelve
+characters, and their edits lie in two of them: they are keyed by all but two cells, and where another line has the same
+key, the two cells emit their variants. Lines with one variant are compared through their first place only, by how many
+characters they leave out and where, which tells two edits apart from more; so no step compares all with all.
+
+Three edits or more have too many variants. Lines are cut into e + 2 pieces there, of which two at least are left
 whole. Keys are of two whole pieces, at every place to which the other edits can shift them, and lines that share a
-key are compared by edit distance, large groups in blocks.
+key are compared by edit distance, large groups in blocks: the work grows with the square of such a group.
 """
 
 from itertools import combinations
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import GAPS, in_filter, materialised, mixed64, prefiltered
+from jobtrail.llm.common import GAPS, in_filter, materialised, mixed64, prefiltered, written
 
 #: Lines with fewer characters besides white space say too little to be called near copies. They stay, unless
 #: ``exact_chars`` has their exact repeats dropped.
@@ -30,6 +36,8 @@ U64 = np.uint64
 #: Lines that share a key are compared all with all in blocks of so many.
 BLOCK_LINES = 64
 FACTOR = 0xD1342543DE82EF95
+#: Characters of a cell, and how many cells a line has at least and at most.
+CELL, CELLS = 12, (4, 48)
 _LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
@@ -79,10 +87,33 @@ def _piece_keys(points: np.ndarray, place: np.ndarray, starts: np.ndarray, n: np
     return keys, used
 
 
+def _third_keys(points: np.ndarray, place: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the thirds of each line, for the cuts of its length and those of a shorter partner's, and which are used.
+
+    The first third keeps its place from the front and the last from the back. If neither is whole there is an edit in
+    each, and the middle is shifted by one at most: both partners key it at its place and one further.
+    """
+    longest = int(place.max()) + 2
+    powers, inverse = (np.cumprod(np.concatenate([[U64(1)], np.full(longest, x, U64)]), dtype=U64) for x in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed64(points + U64(1)) * powers[place], dtype=U64)])
+    keys, used = np.zeros((len(n), 8), dtype=U64), np.ones((len(n), 8), dtype=bool)
+    used[:, 4:] = (n % STEP < 2)[:, None]
+    for at in range(8):
+        base = np.maximum(n // STEP * STEP - STEP * (at // 4), 0)
+        third, shift = ((0, 0), (1, 0), (1, 1), (2, 0))[at % 4]
+        head, tail = base * third // 3 + shift, base * (third + 1) // 3 + shift
+        if third == 2:
+            head, tail = head + n - base, n
+        head, tail = np.minimum(head, n), np.minimum(tail, n)
+        cut = (sums[starts + tail] - sums[starts + head]) * inverse[head]
+        keys[:, at] = mixed64(mixed64(base.astype(U64) * U64(4) + U64(third)) + cut)
+    return keys, used
+
+
 def _line_rows(texts: list[str], min_chars: int, exact_chars: int, max_edits: int):
     """Per line that counts: number of its text, of the line in it, two hashes, and its keys with their number.
 
-    Lines below ``min_chars`` have hashes but no keys: only their equals find them.
+    Lines below ``min_chars`` have hashes but no keys: only their equals find them. Without edits there are no keys.
 
     A line's hashes are sums of characters weighed by their place from the front and from the back, so that those of
     beginnings and ends come from running sums. A key covers all but a quarter. Lines of n and n + 1 characters must
@@ -106,8 +137,10 @@ def _line_rows(texts: list[str], min_chars: int, exact_chars: int, max_edits: in
     starts, stops, n, keyed = starts[own], stops[own], n[own], held[own] >= min_chars
     sized = n.astype(U64) * U64(0x9FB21C651E98DF25)
     h1, h2 = mixed64(front[stops] - front[starts] + sized), mixed64((back[stops] - back[starts]) ^ sized)
+    if not max_edits:
+        return text[own], number[own], h1, h2, np.zeros(0, U64), np.zeros(len(own), np.int64)
     if max_edits > 1:
-        keys, used = _piece_keys(points, place, starts, n, max_edits)
+        keys, used = _third_keys(points, place, starts, n) if max_edits == 2 else _piece_keys(points, place, starts, n, max_edits)
         used &= keyed[:, None]
         return text[own], number[own], h1, h2, keys[used], used.sum(axis=1)
     keys = np.zeros((len(own), 2 * QUARTERS), dtype=U64)
@@ -218,6 +251,139 @@ def _near_by_pieces(docs: DataFrame, text: str, lines: DataFrame, distinct: Data
     return held.select(F.explode(near).alias("x")).select("x.h1", "x.h2").distinct()
 
 
+def _shared_thirds(min_chars: int):
+    """Keys of thirds with a tag of their line: what is needed to see which of them different lines share."""
+    schema, emit = pa.schema([("k", pa.int64()), ("tag", pa.int32())]), _emit_lines(min_chars, min_chars, 2)
+
+    def rows(batches):
+        for batch in emit(batches):
+            keys, tags = batch.column("keys"), batch.column("h1").to_numpy().astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(tags, np.diff(keys.offsets.to_numpy())))], schema=schema)
+
+    return rows
+
+
+def _cells(line: str):
+    """Per pair of cells and shift: number, all but the cells, and the text in them, in one piece where they are neighbours.
+
+    Cells before the first edit keep their place from the front, those behind the last one theirs from the back, and
+    those between may be shifted by one; what the length is more than its rounded value is in the second cell.
+    """
+    n, number = len(line), 0
+    for base in (n // STEP * STEP, *([n // STEP * STEP - STEP] if n % STEP < 2 else [])):
+        count = min(max(base // CELL, CELLS[0]), CELLS[1])
+        cuts = [base * i // count for i in range(count + 1)]
+        for a in range(count - 1):
+            for b in range(a + 1, count):
+                head, tail = line[: cuts[a]], line[n - base + cuts[b + 1] :]
+                for shift in (0, 1) if b > a + 1 else (0,):
+                    one, two = cuts[a + 1] + shift, cuts[b] + shift
+                    if b == a + 1:
+                        parts = (line[cuts[a] : n - base + cuts[b + 1]],)
+                    else:
+                        parts = line[cuts[a] : one], line[two : n - base + cuts[b + 1]]
+                    yield number, f"{base} {a} {b}\n{head}\n{line[one:two]}\n{tail}", parts
+                    number += 1
+
+
+def _key(text: str, seed: int = 0) -> int:
+    import xxhash
+
+    key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _outer_udf():
+    @F.arrow_udf("array<struct<k:bigint,c:int>>")
+    def outer(lines: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("k", pa.int64()), ("c", pa.int32())]))
+        return pa.array([[{"k": _key(rest), "c": c} for c, rest, _ in _cells(line.as_py())] for line in lines], type=kind)
+
+    return outer
+
+
+def _variants(parts: tuple[str, ...], seed: int):
+    """Key, number of characters left out, and their places (-1: none) of the variants of one text or of two.
+
+    One text loses up to two characters, of two texts each up to one. Places in a second text are below -1.
+    """
+    if len(parts) == 1:
+        (x,) = parts
+        yield _key(x, seed), 0, -1, -1
+        for p in range(len(x)):
+            left = x[:p] + x[p + 1 :]
+            yield _key(left, seed), 1, p, -1
+            for q in range(p + 1, len(x)):
+                yield _key(left[: q - 1] + left[q:], seed), 2, p, q
+        return
+    x, y = parts
+    seconds = [(y, -1)] + [(y[:q] + y[q + 1 :], -2 - q) for q in range(len(y))]
+    for p in range(-1, len(x)):
+        left = x if p < 0 else x[:p] + x[p + 1 :]
+        for right, q in seconds:
+            one, two = (p, q) if p >= 0 else (q, -1)
+            yield _key(f"{left}\n{right}", seed), (p >= 0) + (q < -1), one, two
+
+
+def _emit_variants(batches):
+    """Rows of the variants of a line's wanted cells, each with the places that a variant with one more or one less meets."""
+    schema = pa.schema([("id", pa.int64()), ("v", pa.int64()), ("d", pa.int8()), ("p", pa.int32()), ("q", pa.int32())])
+    rows: list[tuple] = []
+    for batch in batches:
+        for line, own, wanted in zip(*(batch.column(c).to_pylist() for c in ("line", "id", "wanted"))):
+            by_number = {w["c"]: w["k"] for w in wanted}
+            for c, _, parts in _cells(line):
+                if c not in by_number:
+                    continue
+                for v, d, p, q in _variants(parts, by_number[c] % (1 << 64)):
+                    rows.append((own, v, d, p, q))
+                if len(rows) >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: int) -> DataFrame:
+    """``h1, h2`` of the different lines that have another, earlier line within two edits."""
+    tagged = read.mapInArrow(_shared_thirds(min_chars), "k long, tag int").groupBy("k").agg(F.min("tag").alias("x"), F.max("tag").alias("y"))
+    thirds = materialised(tagged.where("x <> y").select("k"))
+    each = read.mapInArrow(_emit_lines(min_chars, min_chars, 2), _LINES).select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("place"), F.explode("keys").alias("k"))
+    likely = prefiltered(each, "k", thirds).join(thirds, "k", "left_semi")
+    # All places of a line have its keys, so the first of them is its first place.
+    first = materialised(likely.groupBy("h1", "h2").agg(F.min("place").alias("place")))
+    per_doc = materialised(first.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place")).alias("wanted")))
+    full = _wanted_lines(docs, text, per_doc).select("w.h1", "w.h2", "w.place", "line")
+    full = materialised(full.withColumn("id", F.xxhash64("h1", "h2")))
+    outer = full.select("id", F.inline(_outer_udf()("line")))
+    common = materialised(outer.groupBy("k").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("k"))
+    wanted = prefiltered(outer, "k", common).join(common, "k", "left_semi").groupBy("id").agg(F.collect_set(F.struct("k", "c")).alias("wanted"))
+    wanted = materialised(wanted)
+    emitted = full.join(wanted, "id").select("id", "line", "wanted").mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int")
+    emitted = written(emitted, "line-variants")
+    met = emitted.groupBy("v").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("v")
+    rows = materialised(emitted.join(met, "v", "left_semi").distinct().join(full.select("id", "place"), "id"))
+    # Lines of one variant are within two edits if neither leaves out more than one character, if one leaves out none,
+    # if both leave out two at the same places, or if the one place of one is a place of the other's two.
+    least = lambda cond, w: F.min(F.when(cond, F.col("place"))).over(w)
+    one, same, place = Window.partitionBy("v"), Window.partitionBy("v", "p", "q", "d"), Window.partitionBy("v", "r")
+    d, p, q = F.col("d"), F.col("p"), F.col("q")
+    later = F.when((p >= 0) & (q >= 0), q - 1).otherwise(q)
+    spread = rows.withColumn("r", F.explode(F.when(d == 2, F.array(p, later)).otherwise(F.array(p))))
+    others = F.array(
+        F.when(d <= 1, least(d <= 1, one)),
+        F.when(d == 2, least(d == 0, one)),
+        F.when(d == 0, least(d == 2, one)),
+        F.when(d == 2, least(d == 2, same)),
+        F.when(d == 2, least(d == 1, place)),
+        F.when(d == 1, least(d == 2, place)),
+    )
+    pairs = spread.select("id", "place", others.alias("others")).select("id", "place", F.explode("others").alias("other")).where("other < place").select("id", "other").distinct()
+    mine = full.select("id", "h1", "h2", "line")
+    both = pairs.join(mine, "id").join(full.select(F.col("place").alias("other"), F.col("line").alias("other_line")), "other")
+    return both.where(F.levenshtein("line", "other_line", 2) >= 0).select("h1", "h2").distinct()
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1) -> DataFrame:
     """The input with ``text`` less its repeated lines, ``n_lines`` and ``n_removed`` (longs).
 
@@ -238,10 +404,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
         raise ValueError(f"max_edits must be 1 to {STEP - 1}")
     docs = docs.drop("n_lines", "n_removed")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text is not null")
-    lines = materialised(read.mapInArrow(_emit_lines(min_chars, exact_chars, max_edits), _LINES))
+    emitted = read.mapInArrow(_emit_lines(min_chars, exact_chars, max_edits if max_edits != 2 else 0), _LINES)
+    lines = written(emitted.drop("keys"), "lines") if max_edits == 2 else materialised(emitted)
     place = F.struct("doc_id", "text_hash", "line_no")
-    distinct = materialised(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    near = _near_lines(docs, text, lines, distinct) if max_edits == 1 else _near_by_pieces(docs, text, lines, distinct, max_edits)
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = written(distinct, "distinct-lines") if max_edits == 2 else materialised(distinct)
+    if max_edits == 2:
+        near = _near_by_variants(docs, text, read, min_chars)
+    else:
+        near = _near_lines(docs, text, lines, distinct) if max_edits == 1 else _near_by_pieces(docs, text, lines, distinct, max_edits)
     # A line that comes once and is near no other costs nothing from here on.
     gone = materialised(distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near"))
     removed = prefiltered(lines.select("h1", "h2", place.alias("place")), "h1", gone).join(gone, ["h1", "h2"]).where("near or place > first")
