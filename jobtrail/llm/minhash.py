@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import materialised, mixed64, prefiltered
+from jobtrail.llm.common import attached, materialised, mixed64, prefiltered
 from jobtrail.llm.components import components
 
 #: Rows of a bucket that meet in one block at most, from either side, and rows of blocks that go to one group.
@@ -343,10 +343,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     base = docs.select("doc_id", _keys_udf(p)(F.col(text)).alias("x"))
     known = materialised(base.select("doc_id", F.col("x.n").alias("n"), F.col("x.digest").alias("digest"), F.col("x.keys").alias("keys")))
     sound = known.where("doc_id is not null and n > 0")
-    classes = sound.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    member = sound.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id")
-    same = member.where("doc_id <> id").distinct()
-    first = sound.join(classes.withColumnRenamed("id", "doc_id"), ["digest", "doc_id"], "left_semi")
+    classes = materialised(sound.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m")))
+    member = attached(sound.select("doc_id", "digest"), classes, "digest", "m")
+    same = member.where("doc_id <> id").select("doc_id", "id").distinct()
+    first = sound.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     banded = first.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot")
     shared = materialised(shared)
