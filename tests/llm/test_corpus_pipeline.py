@@ -111,3 +111,16 @@ def test_the_pipeline_as_a_whole(spark, sf_dir, stages):
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_with_names_of_results_pass_through(spark):
+    names = "n_words n_lines n_removed kept base_failed host_rate host_rejected n_symbols word_chars n_dup_lines n_repeat_words n size id copies rate target component_id".split()
+    text = " ".join(f"word{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    rows = [(1, text, "en", "s", 5, *range(len(names)))] * 2 + [(2, None, None, None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        left = [r for r in got.collect() if r.doc_id == 1]
+        assert left and all(tuple(r)[5:] == tuple(range(len(names))) for r in left), name
