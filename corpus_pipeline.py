@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.llm import bpe, linededup, minhash, mixing, quality
-from jobtrail.llm.common import table, words
+from jobtrail.llm.common import table, words, written
 from jobtrail.session import shared_dir
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -17,9 +17,20 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but the used ones under names that no operator gives, and those names."""
+    names = {c: c if c in used else f"__own{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no base rule and whose source is not condemned."""
-    return quality.judge(quality.measure(docs)).where("kept").select(*docs.columns)
+    """Documents that break no base rule and whose source is not condemned. Measures are taken once and written."""
+    rows, names = _aside(docs, "text", "source")
+    return _back(quality.judge(written(quality.measure(rows), "measured")).where("kept"), names)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +39,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A document that loses lines and has no word left goes with them.
     """
-    cleaned = linededup.dedup_lines(docs, exact_chars=1, max_edits=2)
+    rows, names = _aside(docs, "doc_id", "text")
+    cleaned = linededup.dedup_lines(rows, exact_chars=1, max_edits=2)
     left = (F.col("n_removed") == 0) | (F.size(words(F.col("text"))) > 0)
-    return cleaned.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _back(cleaned.where(left), names).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
