@@ -9,7 +9,7 @@ quarters at a time, and only where another line has the same key does a line emi
 quarter. No partner is lost by that, and lines unlike all others, which are nearly all, emit four keys each.
 
 For two edits the same is done in three steps. One of a line's thirds is whole in every partner: lines that share a
-third with another, at every place to which an edit can shift it, go on. Those are cut into cells of some twelve
+third with another, at every place to which an edit can shift it, go on. Those are cut into cells of some sixteen
 characters, and their edits lie in two of them: they are keyed by all but two cells, and where another line has the same
 key, the two cells emit their variants. Lines with one variant are compared through their first place only, by how many
 characters they leave out and where, which tells two edits apart from more; so no step compares all with all.
@@ -37,7 +37,7 @@ U64 = np.uint64
 BLOCK_LINES = 64
 FACTOR = 0xD1342543DE82EF95
 #: Characters of a cell, and how many cells a line has at least and at most.
-CELL, CELLS = 12, (4, 48)
+CELL, CELLS = 16, (4, 32)
 _LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
@@ -293,13 +293,29 @@ def _key(text: str, seed: int = 0) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def _outer_udf():
-    @F.arrow_udf("array<struct<k:bigint,c:int>>")
-    def outer(lines: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("k", pa.int64()), ("c", pa.int32())]))
-        return pa.array([[{"k": _key(rest), "c": c} for c, rest, _ in _cells(line.as_py())] for line in lines], type=kind)
+def _short(text: str) -> int:
+    return (_key(text) & 0xFFFFFFFF) - (1 << 31)
 
-    return outer
+
+def _outer_keys(told: bool):
+    """Keys of all but two cells of a line: with hashes of the line and of either cell, or with the pair's number."""
+    names = ("k", "tag", "one", "two") if told else ("id", "k", "c")
+    schema = pa.schema([(n, pa.int64() if n in ("id", "k") else pa.int32()) for n in names])
+
+    def rows(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for own, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()):
+                tag = (own & 0xFFFFFFFF) - (1 << 31)
+                for c, rest, parts in _cells(line):
+                    out.append((_key(rest), tag, _short(parts[0]), _short(parts[-1])) if told else (own, _key(rest), c))
+                if len(out) >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    return rows
 
 
 def _variants(parts: tuple[str, ...], seed: int):
@@ -355,8 +371,13 @@ def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: in
     per_doc = materialised(first.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place")).alias("wanted")))
     full = _wanted_lines(docs, text, per_doc).select("w.h1", "w.h2", "w.place", "line")
     full = materialised(full.withColumn("id", F.xxhash64("h1", "h2")))
-    outer = full.select("id", F.inline(_outer_udf()("line")))
-    common = materialised(outer.groupBy("k").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("k"))
+    slim = full.select("id", "line")
+    told = slim.mapInArrow(_outer_keys(True), "k long, tag int, one int, two int")
+    # Lines that agree in one of the cells too differ in the other only, and meet where that is next to a neighbour.
+    ends = [f(c).alias(f"{n}_{c}") for c in ("tag", "one", "two") for n, f in (("x", F.min), ("y", F.max))]
+    apart = F.expr("x_tag <> y_tag and x_one <> y_one and x_two <> y_two")
+    common = materialised(told.groupBy("k").agg(*ends).where(apart).select("k"))
+    outer = slim.mapInArrow(_outer_keys(False), "id long, k long, c int")
     wanted = prefiltered(outer, "k", common).join(common, "k", "left_semi").groupBy("id").agg(F.collect_set(F.struct("k", "c")).alias("wanted"))
     wanted = materialised(wanted)
     emitted = full.join(wanted, "id").select("id", "line", "wanted").mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int")
