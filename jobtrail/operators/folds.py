@@ -14,6 +14,7 @@ key is cut into time blocks that are worked on in parallel:
 No task holds more than one block, or the summaries of one group of blocks.
 """
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
@@ -34,19 +35,73 @@ BLOCK_STEPS = 256
 FREE = np.iinfo(np.int64).min
 
 
+Step = Callable[[object, tuple], object]
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    zero: Column,
-    merge: Callable[[Column, Column], Column],
-    finish: Callable[[Column], Column],
+    start: Callable[[], object],
+    step: Step,
+    result: str,
     values: Sequence[str] = (),
+    finish: Callable[[object], object] = lambda state: state,
+    combine: Callable[[object, object], object] | None = None,
+    blocks: Sequence[Column] = (),
 ) -> DataFrame:
-    """Fold each key's rows in order: one row per key with ``result``. For keys that fit one array."""
-    row = F.struct(*order, *values)
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return rows.select(*keys, F.aggregate("_rows", zero, merge, finish).alias("result"))
+    """Fold each key's rows in order: one row per key with ``result`` of the SQL type ``result``.
+
+    Rows are sorted within partitions and walked with one running state, ``step(state, row)`` on the row's ``order`` and
+    ``values``; no key is ever gathered, so its rows need not fit in memory, though one task reads all of them. With an
+    associative ``combine`` of two states, ``blocks`` that coarsen ``order`` spread a key: every block is folded from
+    ``start()`` on its own, wherever it lies, and the states of a key's blocks are then joined in order. Keys and the
+    order must not be null; states of blocks must pickle.
+    """
+    if bool(blocks) != (combine is not None):
+        raise ValueError("blocks and combine go together")
+    names = [f"_b{i}" for i in range(len(blocks))]
+    rows = df.select(*keys, *[b.alias(n) for n, b in zip(names, blocks)], *order, *values)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, *names])
+    if not blocks:
+        return _scanned(rows, keys, order, _scan(len(keys), start, step, finish), f"{kinds}, result {result}")
+    packed = _scan(len(keys) + len(names), start, step, pickle.dumps)
+    parts = _scanned(rows, [*keys, *names], order, packed, f"{kinds}, result binary")
+    join = lambda held, row: row[-1] if held is None else pickle.dumps(combine(pickle.loads(held), pickle.loads(row[-1])))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    return _scanned(parts, keys, names, _scan(len(keys), lambda: None, join, lambda held: finish(pickle.loads(held))), f"{kinds}, result {result}")
+
+
+def _scanned(rows: DataFrame, keys: Sequence[str], order: Sequence[str], scan, schema: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+
+
+def _scan(width: int, start: Callable[[], object], step: Step, finish: Callable[[object], object]):
+    """Walk sorted rows whose first ``width`` columns are the key; a state is carried from batch to batch."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, names = None, None, None
+        for pdf in batches:
+            names, out = list(pdf.columns[:width]), []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[:width] != now:
+                    if now is not None:
+                        out.append((*now, finish(state)))
+                    now, state = row[:width], start()
+                state = step(state, row[width:])
+            if out:
+                yield _results(out, names)
+        if now is not None:
+            yield _results([(*now, finish(state))], names)
+
+    return scan
+
+
+def _results(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    *keys, results = zip(*rows)
+    columns = dict(zip(names, map(list, keys)))
+    # Results may be lists or bytes, which a frame would take apart.
+    return pd.DataFrame({**columns, "result": pd.Series(list(results), dtype=object)})
 
 
 def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:

@@ -99,11 +99,17 @@ def _(v):
     return folds.lockout_report(v.attempts(), 4, 3 * 86400, hot_rows=26, steps=5, fanout=2)
 
 
-@report(
-    "w15_ordered_fold",
-    "SELECT job_id, string_agg(left(status, 1), '' ORDER BY ts, seq) AS result FROM status_events GROUP BY job_id",
-    "status_events",
-)
+_W15 = "SELECT job_id, string_agg(left(status, 1), '' ORDER BY ts, seq) AS result FROM status_events GROUP BY job_id"
+_INITIAL = dict(start=str, step=lambda held, row: held + row[2][0], result="string", values=["status"])
+
+
+@report("w15_ordered_fold", _W15, "status_events")
+def _(v):
+    return folds.ordered_fold(v.status_events(), ["job_id"], ["ts", "seq"], **_INITIAL)
+
+
+@report("w15_ordered_fold_blocks", _W15, "status_events")
 def _(v):
-    step = lambda acc, row: F.concat(acc, F.substring(row["status"], 1, 1))
-    return folds.ordered_fold(v.status_events(), ["job_id"], ["ts", "seq"], F.lit(""), step, lambda acc: acc, ["status"])
+    """The same with every key cut into days, whose states are joined."""
+    days = [ordered.time_block("ts", 86400)]
+    return folds.ordered_fold(v.status_events(), ["job_id"], ["ts", "seq"], **_INITIAL, combine=lambda a, b: a + b, blocks=days)

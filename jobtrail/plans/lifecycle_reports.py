@@ -6,6 +6,7 @@ from jobtrail.functions import scalars as P
 from jobtrail.operators import lifecycle as L
 from jobtrail.operators import metrics as M
 from jobtrail.plans.registry import AS_OF, report
+from jobtrail.session import shared_dir
 from jobtrail.sources import tables as T
 
 _MS = "CAST(trunc((epoch_us({b}) - epoch_us({a})) / 1000) AS BIGINT)"
@@ -296,6 +297,21 @@ def _(v):
     return T.upsert_jobs(rows.where(early), rows.where(~early))
 
 
+@report(
+    "s10_keyed_table",
+    """SELECT job_id, arg_max(name, version) AS name, max(version) AS version
+       FROM (SELECT CAST(user_id AS VARCHAR) AS job_id, props AS name, event_id AS version FROM events) GROUP BY job_id""",
+)
+def _(v):
+    """The same as a table on disk, written in three parts of which the last repeats the first."""
+    path = shared_dir(v.spark, "s10")
+    rows = v.events().select(F.col("user_id").cast("string").alias("job_id"), F.col("props").alias("name"), F.col("event_id").alias("version"))
+    early = F.col("version") % 2 == 0
+    for part in (rows.where(early), rows.where(~early), rows.where(early)):
+        T.write_keyed(v.spark, path, part)
+    return v.spark.read.parquet(path).select("job_id", "name", "version")
+
+
 @report(
     "p37_job_times",
     f"""SELECT job_id, epoch_us({_JOB_TIME}) AS job_time,

@@ -1,5 +1,7 @@
 """Reports on log lines, batches and job documents."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from jobtrail.functions import text as X
@@ -381,3 +383,19 @@ def _(v):
     path = shared_dir(v.spark, "logs")
     T.write_logs(v.log_entries(), path)
     return T.expire_partitions(v.spark, path, v.as_of, 5 * 86400).select("job_id", "container_id", "seq")
+
+
+@report(
+    "r11_drop_expired",
+    f"SELECT job_id, container_id, seq, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM log_entries WHERE CAST(ts AS DATE) >= CAST({AS_OF} - INTERVAL 5 DAY AS DATE)",
+    "log_entries",
+)
+def _(v):
+    """Two calls: the first publishes the oldest date to keep, the second deletes; the folders left are read as they are."""
+    from jobtrail.session import shared_dir
+
+    path = shared_dir(v.spark, "dated-logs")
+    T.write_logs(v.log_entries(), path)
+    for _i in range(2):
+        T.drop_expired(v.spark, path, date(2024, 1, 31), 5)
+    return v.spark.read.parquet(path).select("job_id", "container_id", "seq", F.col("event_date").cast("string").alias("event_date"))

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from jobtrail.operators.logs import batch_entries
-from jobtrail.plans.lifecycle_reports import _depth
+from jobtrail.plans.lifecycle_reports import _LIST, _current, _depth, _updates
 from jobtrail.plans.lifecycle_reports import ms as _ms
 from jobtrail.plans.registry import report
 from jobtrail.plans.scalar_reports import _DASHED, _HEX, _raw_id
 from jobtrail.session import shared_dir
-from jobtrail.sources.tables import read_raw_lines, read_status_events, tail_logs
+from jobtrail.sources.tables import read_raw_lines, read_status_events, snapshot_and_tail
 from jobtrail.streaming import jobs as J
 from jobtrail.streaming import state as K
 
@@ -262,17 +262,17 @@ def _(v):
     "day_batch_entries",
 )
 def _(v):
-    """The retained part as a snapshot, then all of it as a stream: the job's rows must be there in both."""
+    """The retained part as a snapshot, then what is appended as a stream: together every row once."""
     out, path = shared_dir(v.spark, "s05"), shared_dir(v.spark, "s05-logs")
     entries = batch_entries(v.log_batches("day")).select("job_id", "container_id", "seq", "pos", "ts", "message", "output_stream")
     early = F.col("seq") % 2 == 0
     entries.where(early).write.parquet(path)
-    job = entries.agg(F.min("job_id")).scalar()
-    first = v.spark.createDataFrame(tail_logs(v.spark, path, entries.agg(F.min("job_id")).first()[0], stream=False).collect(), entries.schema)
+    job = entries.agg(F.min("job_id")).first()[0]
+    first, live = snapshot_and_tail(v.spark, path, job, f"{out}/files")
     entries.where(~early).write.mode("append").parquet(path)
-    drain(J.start_append(tail_logs(v.spark, path, entries.agg(F.min("job_id")).first()[0]), f"{out}/rows", f"{out}/checkpoint", _NOW))
+    drain(J.start_append(live, f"{out}/rows", f"{out}/checkpoint", _NOW))
     rows = v.spark.read.schema(entries.schema).parquet(f"{out}/rows")
-    return rows.unionByName(first).distinct().where(F.col("job_id") == job).drop("pos")
+    return rows.unionByName(first).drop("pos")
 
 
 @report(
@@ -296,11 +296,33 @@ def _(v):
        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)""",
 )
 def _(v):
-    """Texts of documents written as the output of sixteen jobs, one file each, and read back line by line."""
+    """Texts of documents written as the output of sixteen jobs, in files by ranges of documents, and read back line by line."""
     path = shared_dir(v.spark, "s04")
     docs = v.table("documents").where(F.col("text").isNotNull())
     job = (F.col("doc_id") % 16).cast("string").alias("job_id")
     out = docs.select(job, F.lit("c").alias("container_id"), F.lit("stdout").alias("stream"), "doc_id", F.col("text").alias("value"))
-    out = out.repartition("job_id").sortWithinPartitions("job_id", "doc_id").drop("doc_id")
+    out = out.repartitionByRange("job_id", "doc_id").sortWithinPartitions("job_id", "doc_id").drop("doc_id")
     out.write.partitionBy("job_id", "container_id", "stream").text(path)
     return read_raw_lines(v.spark, path)
+
+
+@report(
+    "t03_live_list",
+    f"""WITH u AS (SELECT job_id, status, nullif(reason, '') AS reason, seq,
+          max(seq) FILTER (status <> 'Failed') OVER (PARTITION BY job_id) AS gone FROM user_events WHERE day(ts) > 25),
+        n AS (SELECT job_id, arg_max(status, seq) AS status, arg_max(reason, seq) FILTER (reason IS NOT NULL) AS reason, min(seq) AS entry
+          FROM u WHERE gone IS NULL OR seq > gone GROUP BY job_id),
+        c AS (SELECT * FROM ({_LIST}) WHERE job_id NOT IN (SELECT job_id FROM u WHERE gone IS NOT NULL))
+        SELECT coalesce(c.job_id, n.job_id) AS job_id, coalesce(n.status, c.status) AS status, coalesce(n.reason, c.reason) AS reason,
+          row_number() OVER (ORDER BY c.position IS NOT NULL, coalesce(c.position, -entry), coalesce(c.job_id, n.job_id)) - 1 AS position
+        FROM c FULL OUTER JOIN n ON c.job_id = n.job_id WHERE coalesce(n.status, c.status) = 'Failed'""",
+    "user_events",
+)
+def _(v):
+    """The feed of t03_upsert_summaries as a stream, in the order of its numbers; places are compared too."""
+    out, first = shared_dir(v.spark, "t03"), shared_dir(v.spark, "t03-first")
+    _current(v).write.parquet(first)
+    late = _updates(v).withColumn("ts", F.timestamp_seconds("seq"))
+    updates = as_stream(v, late, "updates").where(F.col("job_id") != _END).drop("ts")
+    drain(J.start_live_list(updates, f"{out}/list", f"{out}/checkpoint", _NOW, lambda spark: spark.read.parquet(first), "Failed", 1 << 30))
+    return J.live_list(v.spark, f"{out}/list").select("job_id", "status", "reason", "position")

@@ -1,5 +1,7 @@
 """Readers and writers of the telemetry tables."""
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,8 @@ from jobtrail.operators import ordered
 from jobtrail.operators.admission import undecodable
 from jobtrail.operators.lifecycle import seconds, valid_events
 from jobtrail.operators.logs import valid_batches
+from jobtrail.session import shared_dir
+from jobtrail.sources import files
 
 _CORRUPT = "_corrupt"
 
@@ -102,6 +106,24 @@ def tail_logs(spark: SparkSession, path: str, job_id: str | None = None, stream:
     return rows.where(F.col("job_id") == job_id) if job_id else rows
 
 
+def snapshot_and_tail(spark: SparkSession, path: str, job_id: str, files_path: str) -> tuple[DataFrame, DataFrame]:
+    """What a log table holds of a job now, and as a stream what is appended from now on: every row in one of them.
+
+    The files of the snapshot are listed once and written to ``files_path``; the stream leaves their rows out, so
+    nothing is given twice and rows that are equal but were logged twice stay. No row goes through the driver.
+    """
+    rows = spark.read.parquet(path)
+    seen, name = shared(spark, rows.select(F.col("_metadata.file_path").alias("_file")).distinct(), files_path), F.col("_metadata.file_path")
+    live = spark.readStream.schema(rows.schema).parquet(path).withColumn("_file", name)
+    live = live.where(F.col("job_id") == job_id).join(seen, "_file", "left_anti")
+    return rows.where(F.col("job_id") == job_id), live.select(*rows.columns)
+
+
+def shared(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # --- sinks ---------------------------------------------------------------------------------
 
 
@@ -131,6 +153,53 @@ def expire_partitions(spark: SparkSession, path: str, as_of: Column, max_age: in
     return rows.where((F.col("event_date") >= F.to_date(cut)) & (F.col("ts") >= cut))
 
 
+def drop_expired(spark: SparkSession, path: str, as_of: date, max_age_days: int = 1) -> list[str]:
+    """Delete whole dates of a dated table that are past their age; returns the dates whose folders went.
+
+    First the oldest date to be kept is published, and ``read_kept`` reads from there on. The folders of a date go one
+    call after the call that published it as expired, so a reader that began before can finish.
+    """
+    cut = as_of - timedelta(days=max_age_days)
+    marks = f"{path}/_kept"
+    before = max((n[5:] for n in files.folders(spark, marks)), default="")
+    expired = [n for n in files.folders(spark, path) if n.startswith("event_date=") and n[11:] < min(before, str(cut))]
+    if str(cut) > before:
+        spark.range(0).write.mode("overwrite").parquet(f"{marks}/from={cut}")
+    for name in expired:
+        files.remove(spark, f"{path}/{name}")
+    return [n[11:] for n in expired]
+
+
+def read_kept(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a dated table from the oldest date that ``drop_expired`` keeps; older folders are not opened."""
+    cut = max((n[5:] for n in files.folders(spark, f"{path}/_kept")), default=None)
+    rows = spark.read.parquet(path)
+    return rows if cut is None else rows.where(F.col("event_date") >= F.lit(cut).cast("date"))
+
+
+def write_keyed(spark: SparkSession, path: str, new: DataFrame, key: str = "job_id", version: str = "version", buckets: int = 64) -> None:
+    """Put rows into a table keyed by id, in buckets of ids; the highest version of a key wins, a repeat changes nothing.
+
+    Only buckets that get a newer row are rewritten, the others keep their files. The new content of a bucket is written
+    beside the table first, since a table cannot be overwritten while it is read. One writer at a time.
+    """
+    of = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rest = [c for c in new.columns if c != key]
+    newest = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(key, "_r.*").select(*new.columns)
+    merged = newest(new)
+    if any(n.startswith("bucket=") for n in files.folders(spark, path)):
+        held = spark.read.parquet(path)
+        known = held.select(key, F.col(version).alias("_known"))
+        fresh = merged.join(known, key, "left").where(F.col("_known").isNull() | (F.col(version) > F.col("_known")))
+        touched = [r[0] for r in fresh.select(of.alias("b")).distinct().collect()]
+        if not touched:
+            return
+        merged = newest(held.where(F.col("bucket").isin(touched)).select(*new.columns).unionByName(merged.where(of.isin(touched))))
+    staged = shared(spark, merged.withColumn("bucket", of), shared_dir(spark, "keyed"))
+    writer = staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
+
+
 def upsert_jobs(old: DataFrame, new: DataFrame, key: str = "job_id", version: str = "version") -> DataFrame:
     """Job table keyed by id: the row with the highest version wins, a repeated one changes nothing."""
     rest = [c for c in old.columns if c not in (key, version)]

@@ -7,7 +7,7 @@ replayed after a failure leaves the same result.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,7 @@ from jobtrail.operators import admission as A
 from jobtrail.operators import lifecycle as L
 from jobtrail.operators import logs as G
 from jobtrail.operators import metrics as M
+from jobtrail.sources import files
 from jobtrail.sources import runs as U
 
 Trigger = dict
@@ -148,6 +149,39 @@ def read_documents(spark: SparkSession, out_path: str) -> DataFrame:
 Table = Callable[[SparkSession], DataFrame]
 
 
+def start_live_list(
+    updates: DataFrame, path: str, checkpoint: str, trigger: Trigger, current: Table | None = None, status: str | None = None, n: int = S.MAX_LISTED_JOBS
+) -> StreamingQuery:
+    """A live list of at most ``n`` jobs kept between micro-batches; read it with ``live_list``.
+
+    Every batch of updates (with ``seq``) is laid over the list that its predecessor left (``lifecycle.upsert_summaries``):
+    known jobs keep their place, jobs that no longer match ``status`` leave, and those that come or come back go on top.
+    The first batch starts from ``current``. A batch writes its list as one folder and takes away the one before its
+    predecessor's, so a replay finds what it began from.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(batch_folder(path, batch_id - 1)) if batch_id else current(spark) if current else None
+        if before is None:
+            before = batch.select(*[c for c in batch.columns if c != "seq"], F.lit(0).cast("bigint").alias("position")).limit(0)
+        merged = L.upsert_summaries(before, batch, status, n).coalesce(1)
+        # One partition in order, of n rows at most.
+        place = F.row_number().over(Window.orderBy("_at")) - 1
+        listed = merged.withColumn("_at", F.monotonically_increasing_id()).withColumn("position", place.cast("bigint")).drop("_at")
+        listed.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        if batch_id > 1:
+            files.remove(spark, batch_folder(path, batch_id - 2))
+
+    return start(updates, each, checkpoint, "append", trigger)
+
+
+def live_list(spark: SparkSession, path: str) -> DataFrame:
+    """The list that the last finished batch left."""
+    done = [int(n[9:]) for n in files.folders(spark, path) if files.committed(spark, f"{path}/{n}")]
+    return spark.read.parquet(batch_folder(path, max(done)))
+
+
 # --- metrics kept as aggregates --------------------------------------------------------------
 
 _JOB = ["status", "at", "reason", "reason_at", "queued_at", "started_at", "finished_at", "updated_at"]
