@@ -10,8 +10,9 @@ quarter. No partner is lost by that, and lines unlike all others, which are near
 
 For two edits the same is done in three steps. One of a line's thirds is whole in every partner: lines that share a
 third with another, at every place to which an edit can shift it, go on. Those are cut into cells of some sixteen
-characters, and their edits lie in two of them: they are keyed by all but two cells, and where another line has the same
-key, the two cells emit their variants. Lines with one variant are compared through their first place only, by how many
+characters or an eighth of the line, and their edits lie in two of them: they are keyed by all but two cells. A key of
+``FEW`` lines or fewer, as nearly all are, has them compared as they are; where more share it, the two cells emit their
+variants. Lines with one variant are compared through their first place only, by how many
 characters they leave out and where, which tells two edits apart from more; so no step compares all with all.
 
 Three edits or more have too many variants. Lines are cut into e + 2 pieces there, of which two at least are left
@@ -36,8 +37,8 @@ U64 = np.uint64
 #: Lines that share a key are compared all with all in blocks of so many.
 BLOCK_LINES = 64
 FACTOR = 0xD1342543DE82EF95
-#: Characters of a cell, and how many cells a line has at least and at most.
-CELL, CELLS = 16, (4, 32)
+#: Characters of a cell, how many cells a line has at least and at most, and lines of one key that meet without variants.
+CELL, CELLS, FEW = 16, (4, 8), 8
 _LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
@@ -376,10 +377,18 @@ def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: in
     # Lines that agree in one of the cells too differ in the other only, and meet where that is next to a neighbour.
     ends = [f(c).alias(f"{n}_{c}") for c in ("tag", "one", "two") for n, f in (("x", F.min), ("y", F.max))]
     apart = F.expr("x_tag <> y_tag and x_one <> y_one and x_two <> y_two")
-    common = materialised(told.groupBy("k").agg(*ends).where(apart).select("k"))
-    outer = slim.mapInArrow(_outer_keys(False), "id long, k long, c int")
-    wanted = prefiltered(outer, "k", common).join(common, "k", "left_semi").groupBy("id").agg(F.collect_set(F.struct("k", "c")).alias("wanted"))
-    wanted = materialised(wanted)
+    common = told.groupBy("k").agg(*ends, F.count(F.lit(1)).alias("n")).where(apart).select("k", (F.col("n") <= FEW).alias("few"))
+    common = materialised(common)
+    outer = prefiltered(slim.mapInArrow(_outer_keys(False), "id long, k long, c int"), "k", common)
+    outer = materialised(outer.join(common, "k"))
+    held = outer.where("few").groupBy("k").agg(F.collect_set("id").alias("ids"))
+    two = held.select(F.col("ids"), F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y").distinct()
+    side = lambda n: full.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "h1", "h2", "place", "line")])
+    met = two.join(side("x"), F.col("x") == F.col("x_id")).join(side("y"), F.col("y") == F.col("y_id"))
+    met = met.where(F.levenshtein("x_line", "y_line", 2) >= 0)
+    late = lambda c: F.when(F.col("x_place") > F.col("y_place"), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(c)
+    near = met.select(late("h1"), late("h2")).distinct()
+    wanted = materialised(outer.where("not few").groupBy("id").agg(F.collect_set(F.struct("k", "c")).alias("wanted")))
     emitted = full.join(wanted, "id").select("id", "line", "wanted").mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int")
     emitted = written(emitted, "line-variants")
     met = emitted.groupBy("v").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("v")
@@ -402,7 +411,7 @@ def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: in
     pairs = spread.select("id", "place", others.alias("others")).select("id", "place", F.explode("others").alias("other")).where("other < place").select("id", "other").distinct()
     mine = full.select("id", "h1", "h2", "line")
     both = pairs.join(mine, "id").join(full.select(F.col("place").alias("other"), F.col("line").alias("other_line")), "other")
-    return both.where(F.levenshtein("line", "other_line", 2) >= 0).select("h1", "h2").distinct()
+    return both.where(F.levenshtein("line", "other_line", 2) >= 0).select("h1", "h2").unionByName(near).distinct()
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1) -> DataFrame:

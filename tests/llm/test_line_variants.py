@@ -52,8 +52,9 @@ def wanted(lines, per_doc=7):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_edits_of_every_kind_and_place(spark, seed):
+@pytest.mark.parametrize("seed,few", [(1, 0), (2, 0), (3, linededup.FEW)])
+def test_edits_of_every_kind_and_place(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(linededup, "FEW", few)
     rng = random.Random(seed)
     lines = []
     for _ in range(45):
@@ -66,7 +67,8 @@ def test_edits_of_every_kind_and_place(spark, seed):
     assert got == wanted(lines)
 
 
-def test_edits_at_borders(spark):
+def test_edits_at_borders(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FEW", 2)
     base = "".join(chr(97 + i * 7 % 26) for i in range(80))
     lines = [base]
     for i in range(0, 80, 3):
