@@ -10,9 +10,11 @@ quarter. No partner is lost by that, and lines unlike all others, which are near
 
 For two edits the same is done in three steps. One of a line's thirds is whole in every partner: lines that share a
 third with another, at every place to which an edit can shift it, go on. Those are cut into cells of some sixteen
-characters or an eighth of the line, and their edits lie in two of them: they are keyed by all but two cells. A key of
-``FEW`` lines or fewer, as nearly all are, has them compared as they are; where more share it, the two cells emit their
-variants. Lines with one variant are compared through their first place only, by how many
+characters or an eighth of the line, and keyed by all but one cell, which then holds both edits, and by all but two,
+which hold one each. A key of ``FEW`` lines or fewer, as nearly all are, has them compared as they are. Where more
+share it, a cell alone emits its variants with two characters less (a long one is cut into cells itself first); of two
+cells each emits those with one character less, and only variants that a different text of the same cell has too are
+combined. Lines with one variant are compared through their first place only, by how many
 characters they leave out and where, which tells two edits apart from more; so no step compares all with all.
 
 Three edits or more have too many variants. Lines are cut into e + 2 pieces there, of which two at least are left
@@ -20,7 +22,8 @@ whole. Keys are of two whole pieces, at every place to which the other edits can
 key are compared by edit distance, large groups in blocks: the work grows with the square of such a group.
 """
 
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ U64 = np.uint64
 #: Lines that share a key are compared all with all in blocks of so many.
 BLOCK_LINES = 64
 FACTOR = 0xD1342543DE82EF95
-#: Characters of a cell, how many cells a line has at least and at most, and lines of one key that meet without variants.
-CELL, CELLS, FEW = 16, (4, 8), 8
+#: Characters of a cell, how many cells a line has at least and at most, lines of one key that meet without variants,
+#: and characters of a cell that emits its variants with two characters less.
+CELL, CELLS, FEW, LONG = 16, (4, 8), 8, 32
 _LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
@@ -265,25 +269,24 @@ def _shared_thirds(min_chars: int):
 
 
 def _cells(line: str):
-    """Per pair of cells and shift: number, all but the cells, and the text in them, in one piece where they are neighbours.
+    """Per choice of cells and shift: number, all but the cells, and the text in them; one cell for both edits, or two for one each.
 
     Cells before the first edit keep their place from the front, those behind the last one theirs from the back, and
-    those between may be shifted by one; what the length is more than its rounded value is in the second cell.
+    what lies between, even nothing, may be shifted by one; what the length is more than its rounded value is in the
+    last cell of the choice.
     """
     n, number = len(line), 0
     for base in (n // STEP * STEP, *([n // STEP * STEP - STEP] if n % STEP < 2 else [])):
         count = min(max(base // CELL, CELLS[0]), CELLS[1])
         cuts = [base * i // count for i in range(count + 1)]
-        for a in range(count - 1):
-            for b in range(a + 1, count):
-                head, tail = line[: cuts[a]], line[n - base + cuts[b + 1] :]
-                for shift in (0, 1) if b > a + 1 else (0,):
+        for a in range(count):
+            head = line[: cuts[a]]
+            for b in range(a, count):
+                end = n - base + cuts[b + 1]
+                for shift in (0, 1) if b > a else (0,):
                     one, two = cuts[a + 1] + shift, cuts[b] + shift
-                    if b == a + 1:
-                        parts = (line[cuts[a] : n - base + cuts[b + 1]],)
-                    else:
-                        parts = line[cuts[a] : one], line[two : n - base + cuts[b + 1]]
-                    yield number, f"{base} {a} {b}\n{head}\n{line[one:two]}\n{tail}", parts
+                    between, parts = ("", (line[cuts[a] : end],)) if b == a else (line[one:two], (line[cuts[a] : one], line[two:end]))
+                    yield number, f"{base} {a} {b}\n{head}\n{between}\n{line[end:]}", parts
                     number += 1
 
 
@@ -298,67 +301,106 @@ def _short(text: str) -> int:
     return (_key(text) & 0xFFFFFFFF) - (1 << 31)
 
 
+def _in_batches(rows, schema: pa.Schema, size: int = 1 << 16):
+    """Arrow batches of the tuples."""
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*part), schema)], schema=schema)
+
+
 def _outer_keys(told: bool):
-    """Keys of all but two cells of a line: with hashes of the line and of either cell, or with the pair's number."""
-    names = ("k", "tag", "one", "two") if told else ("id", "k", "c")
-    schema = pa.schema([(n, pa.int64() if n in ("id", "k") else pa.int32()) for n in names])
+    """Keys of all but the chosen cells of a text: with hashes of its line and of the cells, or with the choice's number."""
+    names = ("k", "tag", "one", "two") if told else ("id", "salt", "k", "c")
+    schema = pa.schema([(n, pa.int64() if n in ("id", "salt", "k") else pa.int32()) for n in names])
 
-    def rows(batches):
+    def keyed(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for own, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()):
+            for own, salt, line in zip(*(batch.column(c).to_pylist() for c in ("id", "salt", "line"))):
                 tag = (own & 0xFFFFFFFF) - (1 << 31)
                 for c, rest, parts in _cells(line):
-                    out.append((_key(rest), tag, _short(parts[0]), _short(parts[-1])) if told else (own, _key(rest), c))
-                if len(out) >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                    k = _key(rest, salt % (1 << 64))
+                    yield (k, tag, _short(parts[0]), _short(parts[-1])) if told else (own, salt, k, c)
 
-    return rows
+    return lambda batches: _in_batches(keyed(batches), schema)
 
 
-def _variants(parts: tuple[str, ...], seed: int):
-    """Key, number of characters left out, and their places (-1: none) of the variants of one text or of two.
+def _wanted_cells(batches):
+    """The text in the wanted cells; ``two`` is null where both edits are in one cell."""
+    schema = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("one", pa.string()), ("two", pa.string())])
 
-    One text loses up to two characters, of two texts each up to one. Places in a second text are below -1.
-    """
-    if len(parts) == 1:
-        (x,) = parts
-        yield _key(x, seed), 0, -1, -1
-        for p in range(len(x)):
-            left = x[:p] + x[p + 1 :]
-            yield _key(left, seed), 1, p, -1
-            for q in range(p + 1, len(x)):
-                yield _key(left[: q - 1] + left[q:], seed), 2, p, q
-        return
-    x, y = parts
-    seconds = [(y, -1)] + [(y[:q] + y[q + 1 :], -2 - q) for q in range(len(y))]
-    for p in range(-1, len(x)):
-        left = x if p < 0 else x[:p] + x[p + 1 :]
-        for right, q in seconds:
-            one, two = (p, q) if p >= 0 else (q, -1)
-            yield _key(f"{left}\n{right}", seed), (p >= 0) + (q < -1), one, two
+    def cells():
+        for batch in batches:
+            for own, line, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "line", "wanted"))):
+                by_number = {w["c"]: w["k"] for w in wanted}
+                for c, _, parts in _cells(line):
+                    if c in by_number:
+                        yield own, by_number[c], parts[0], parts[1] if len(parts) > 1 else None
+
+    return _in_batches(cells(), schema)
+
+
+def _variants(x: str, seed: int):
+    """Key, number of characters left out, and their places (-1: none) of a text less none, one or two characters."""
+    yield _key(x, seed), 0, -1, -1
+    for p in range(len(x)):
+        left = x[:p] + x[p + 1 :]
+        yield _key(left, seed), 1, p, -1
+        for q in range(p + 1, len(x)):
+            yield _key(left[: q - 1] + left[q:], seed), 2, p, q
 
 
 def _emit_variants(batches):
-    """Rows of the variants of a line's wanted cells, each with the places that a variant with one more or one less meets."""
+    """The variants of texts that may hold both edits."""
     schema = pa.schema([("id", pa.int64()), ("v", pa.int64()), ("d", pa.int8()), ("p", pa.int32()), ("q", pa.int32())])
-    rows: list[tuple] = []
-    for batch in batches:
-        for line, own, wanted in zip(*(batch.column(c).to_pylist() for c in ("line", "id", "wanted"))):
-            by_number = {w["c"]: w["k"] for w in wanted}
-            for c, _, parts in _cells(line):
-                if c not in by_number:
-                    continue
-                for v, d, p, q in _variants(parts, by_number[c] % (1 << 64)):
-                    rows.append((own, v, d, p, q))
-                if len(rows) >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+    columns = ([batch.column(c).to_pylist() for c in ("id", "k", "one")] for batch in batches)
+    return _in_batches(((own, *v) for part in columns for own, k, x in zip(*part) for v in _variants(x, k % (1 << 64))), schema)
+
+
+def _emit_two(cells: DataFrame) -> DataFrame:
+    """``id, v, d, p, q`` of lines less one character at most in either of two cells. Places in the second are below -1.
+
+    A partner's cell differs by one edit in both. So a variant of one cell counts only where cells of different text
+    have it, and only what counts of one cell is combined with what counts of the other.
+    """
+    sides = cells.select("k", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("part")), F.struct(F.lit(1).alias("side"), F.col("two").alias("part")))).alias("x"))
+    own = sides.select("k", "x.side", "x.part").distinct()
+    part, n = F.col("part"), F.length("part")
+    left = lambda i: F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, n))
+    at = F.transform(F.sequence(F.lit(-1), n - 1), lambda i: F.struct(i.alias("i"), F.xxhash64("k", "side", F.when(i < 0, part).otherwise(left(i))).alias("v")))
+    emitted = own.select("k", "side", "part", F.explode(at).alias("x")).select("k", "side", "part", "x.i", "x.v")
+    text = F.xxhash64("part")
+    shared = materialised(emitted.groupBy("v").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("v"))
+    live = prefiltered(emitted, "v", shared).join(shared, "v", "left_semi").groupBy("k", "side", "part").agg(F.collect_list(F.struct("i", "v")).alias("live"))
+    live = materialised(live)
+    for side, name in enumerate(("one", "two")):
+        which = live.where(F.col("side") == side).select("k", F.col("part").alias(name), F.col("live").alias(f"{name}s")).withColumn("__at", F.xxhash64("k", name))
+        cells = prefiltered(cells.withColumn("__at", F.xxhash64("k", name)), "__at", which).drop("__at").join(which.drop("__at"), ["k", name])
+    both = cells.select("id", F.explode("ones").alias("x"), "twos").select("id", "x", F.explode("twos").alias("y"))
+    one, two, less = F.col("x.i"), F.col("y.i"), -2 - F.col("y.i")
+    return both.select(
+        "id",
+        F.xxhash64("x.v", "y.v").alias("v"),
+        ((one >= 0).cast("byte") + (two >= 0).cast("byte")).cast("byte").alias("d"),
+        F.when(one >= 0, one).when(two >= 0, less).otherwise(-1).alias("p"),
+        F.when((one >= 0) & (two >= 0), less).otherwise(-1).alias("q"),
+    )
+
+
+def _cells_shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``id, salt, line``: the lines that meet in keys of few lines, and the cells of those that meet in others.
+
+    Lines that agree in one of two cells too are left out there: they meet where the other is alone.
+    """
+    told = texts.mapInArrow(_outer_keys(True), "k long, tag int, one int, two int")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("tag", "one", "two") for n, f in (("x", F.min), ("y", F.max))]
+    apart = F.expr("x_tag <> y_tag and x_one <> y_one and x_two <> y_two")
+    common = materialised(told.groupBy("k").agg(*ends, F.count(F.lit(1)).alias("n")).where(apart).select("k", (F.col("n") <= FEW).alias("few")))
+    outer = prefiltered(texts.mapInArrow(_outer_keys(False), "id long, salt long, k long, c int"), "k", common)
+    outer = materialised(outer.join(common, "k"))
+    held = outer.where("few").groupBy("k").agg(F.collect_set("id").alias("ids"))
+    met = held.select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y")
+    wanted = outer.where("not few").groupBy("id", "salt").agg(F.collect_set(F.struct("k", "c")).alias("wanted"))
+    return met, texts.join(wanted, ["id", "salt"]).select("id", "line", "wanted").mapInArrow(_wanted_cells, "id long, k long, one string, two string")
 
 
 def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: int) -> DataFrame:
@@ -372,25 +414,23 @@ def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: in
     per_doc = materialised(first.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place")).alias("wanted")))
     full = _wanted_lines(docs, text, per_doc).select("w.h1", "w.h2", "w.place", "line")
     full = materialised(full.withColumn("id", F.xxhash64("h1", "h2")))
-    slim = full.select("id", "line")
-    told = slim.mapInArrow(_outer_keys(True), "k long, tag int, one int, two int")
-    # Lines that agree in one of the cells too differ in the other only, and meet where that is next to a neighbour.
-    ends = [f(c).alias(f"{n}_{c}") for c in ("tag", "one", "two") for n, f in (("x", F.min), ("y", F.max))]
-    apart = F.expr("x_tag <> y_tag and x_one <> y_one and x_two <> y_two")
-    common = told.groupBy("k").agg(*ends, F.count(F.lit(1)).alias("n")).where(apart).select("k", (F.col("n") <= FEW).alias("few"))
-    common = materialised(common)
-    outer = prefiltered(slim.mapInArrow(_outer_keys(False), "id long, k long, c int"), "k", common)
-    outer = materialised(outer.join(common, "k"))
-    held = outer.where("few").groupBy("k").agg(F.collect_set("id").alias("ids"))
-    two = held.select(F.col("ids"), F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y").distinct()
+    # A long cell that may hold both edits is cut into cells itself, until all are short.
+    texts, found, parts = full.select("id", F.lit(0).cast("long").alias("salt"), "line"), [], []
+    while texts is not None:
+        met, cells = _cells_shared(texts)
+        cells = written(cells, "line-cells")
+        alone, long = cells.where("two is null"), F.length("one") > LONG
+        found.append(met)
+        parts += [alone.where(~long).mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int"), _emit_two(cells.where("two is not null"))]
+        rest = alone.where(long).select("id", F.col("k").alias("salt"), F.col("one").alias("line"))
+        texts = None if rest.isEmpty() else rest
+    two = reduce(DataFrame.unionByName, found).distinct()
     side = lambda n: full.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "h1", "h2", "place", "line")])
     met = two.join(side("x"), F.col("x") == F.col("x_id")).join(side("y"), F.col("y") == F.col("y_id"))
     met = met.where(F.levenshtein("x_line", "y_line", 2) >= 0)
     late = lambda c: F.when(F.col("x_place") > F.col("y_place"), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(c)
     near = met.select(late("h1"), late("h2")).distinct()
-    wanted = materialised(outer.where("not few").groupBy("id").agg(F.collect_set(F.struct("k", "c")).alias("wanted")))
-    emitted = full.join(wanted, "id").select("id", "line", "wanted").mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int")
-    emitted = written(emitted, "line-variants")
+    emitted = written(reduce(DataFrame.unionByName, parts), "line-variants")
     met = emitted.groupBy("v").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("v")
     rows = materialised(emitted.join(met, "v", "left_semi").distinct().join(full.select("id", "place"), "id"))
     # Lines of one variant are within two edits if neither leaves out more than one character, if one leaves out none,
