@@ -33,13 +33,14 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """,
     "op4_line_dedup": rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
-e AS (SELECT * FROM l WHERE length(regexp_replace(line, '{GAP}', '', 'g')) >= 20),
-d AS (SELECT line, min((doc_id, no)) AS first, length(any_value(line)) AS n FROM e GROUP BY line),
-k AS (SELECT d.*, m, 0 AS side, left(line, m // 2) AS part FROM d, LATERAL (SELECT unnest([n - 1, n]) AS m)
-  UNION ALL SELECT d.*, m, 1, right(line, m - m // 2) FROM d, LATERAL (SELECT unnest([n - 1, n]) AS m)),
+e AS (SELECT *, length(regexp_replace(line, '{GAP}', '', 'g')) AS solid FROM l),
+d AS (SELECT line, min((doc_id, no)) AS first, length(any_value(line)) AS n, any_value(solid) AS solid FROM e WHERE solid > 0 GROUP BY line),
+c AS (SELECT * FROM d WHERE solid >= 20),
+k AS (SELECT c.*, m, 0 AS side, left(line, m // 2) AS part FROM c, LATERAL (SELECT unnest([n - 1, n]) AS m)
+  UNION ALL SELECT c.*, m, 1, right(line, m - m // 2) FROM c, LATERAL (SELECT unnest([n - 1, n]) AS m)),
 near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.first < a.first
   WHERE levenshtein(a.line, b.line) <= 1),
-x AS (SELECT l.doc_id, l.no, l.line, length(regexp_replace(l.line, '{GAP}', '', 'g')) >= 20 AND (near.line IS NOT NULL OR (l.doc_id, l.no) > d.first) AS gone
+x AS (SELECT l.doc_id, l.no, l.line, near.line IS NOT NULL OR coalesce((l.doc_id, l.no) > d.first, false) AS gone
   FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN near ON l.line = near.line),
 r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '') AS kept
   FROM x GROUP BY doc_id)
