@@ -21,9 +21,9 @@ from jobtrail.llm.common import mixed64
 CHUNK_CHARS, OVERLAP_CHARS = 65_536, 512
 #: A match of the pattern looks at most so many characters past its start beyond those it takes.
 LOOKAHEAD = 4
-CACHED_PIECES, SHORT_BYTES = 400_000, 64
+CACHED_PIECES, SHORT_BYTES = 200_000, 64
 #: Characters whose pre-tokens are encoded together.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
 U64, NONE = np.uint64, np.int32(np.iinfo(np.int32).max)
 
 
@@ -349,6 +349,7 @@ def _encoder(vocabulary: bytes, pattern: str):
         if part:
             run()
         offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
+        pa.default_memory_pool().release_unused()
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
 
     return encode_texts
@@ -435,6 +436,7 @@ def decode(vocabulary: bytes, ids: Column) -> Column:
         stops = at[np.concatenate([[0], np.cumsum(counts)])]
         blob = memoryview(data) if data is not None else b""
         valid = lists.is_valid().to_pylist()
+        pa.default_memory_pool().release_unused()
         return pa.array([bytes(blob[a:b]) if ok else None for a, b, ok in zip(stops[:-1], stops[1:], valid)], type=pa.binary())
 
     return decode_ids(ids)
