@@ -98,3 +98,14 @@ def test_many_lines_differ_in_two_characters(spark):
     lines = [f"page {a}{b} of the same long list of numbered pages" for a in "0123456789abcdefgh" for b in "0123456789abcdefgh"]
     got, _ = dedup(spark, lines, 1)
     assert sum(n for _, n in got.values()) == len(lines) - 1 and got[0][1] == 0
+
+
+def test_cells_of_long_lines_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FEW", 0)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    # Changes of one word each in the same cell: the lines share all but that cell. Plain distance finds four pairs.
+    lines = [base[:200] + "".join(rng.choice("abcdefgh") for _ in range(6)) + base[206:] for _ in range(12)]
+    lines += [lines[3][:190] + "#" + lines[3][191:230] + "%" + lines[3][230:], lines[5][:180] + lines[5][182:], lines[7][:185] + "!!!" + lines[7][188:]]
+    got, _ = dedup(spark, lines)
+    assert got == wanted(lines) and sum(n for _, n in got.values()) == 4
