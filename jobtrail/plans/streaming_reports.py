@@ -8,6 +8,7 @@ from jobtrail.plans.lifecycle_reports import ms as _ms
 from jobtrail.plans.registry import report
 from jobtrail.plans.scalar_reports import _DASHED, _HEX, _raw_id
 from jobtrail.session import shared_dir
+from jobtrail.sources.frames import read_frames
 from jobtrail.sources.tables import read_raw_lines, read_status_events, snapshot_and_tail
 from jobtrail.streaming import jobs as J
 from jobtrail.streaming import state as K
@@ -306,6 +307,41 @@ def _(v):
     return read_raw_lines(v.spark, path)
 
 
+@report(
+    "s04_framed_lines",
+    """SELECT CAST(doc_id % 16 AS VARCHAR) AS job_id, 'c' AS container_id, CASE i % 2 WHEN 0 THEN 'stdout' ELSE 'stderr' END AS stream,
+         row_number() OVER (PARTITION BY doc_id % 16, i % 2 ORDER BY doc_id, i) - 1 AS line_no, line
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)""",
+)
+def _(v):
+    """Texts written as interleaved frames: every other line to the second stream, two lines at a time in four frames of half a line."""
+    path = shared_dir(v.spark, "s04-frames")
+    docs = v.table("documents").where(F.col("text").isNotNull())
+    job = (F.col("doc_id") % 16).cast("string").alias("job_id")
+    lines = F.split("text", "\n")
+    pairs = docs.select(job, "doc_id", lines.alias("l"), F.explode(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(2))).alias("i"))
+    a, b = F.col("l")[F.col("i")].cast("binary"), F.get("l", F.col("i") + 1).cast("binary")
+    half = lambda x: F.floor(F.octet_length(x) / 2).cast("int")
+
+    def frame(stream, size, payload):
+        length = F.unhex(F.lpad(F.hex(size.cast("long")), 8, "0"))
+        return F.concat(F.unhex(F.lit(f"0{stream}000000")), length, payload)
+
+    def first(stream, x):
+        return frame(stream, half(x), F.substring(x, F.lit(1), half(x)))
+
+    def rest(stream, x):
+        return frame(stream, F.octet_length(x) - half(x) + 1, F.substring(x, half(x) + 1, F.octet_length(x)))
+
+    # The writer's newline is the last byte of the row's last frame.
+    both = F.concat(first(1, a), first(2, b), rest(1, a), F.lit(b"\n"), rest(2, b))
+    one = F.concat(first(1, a), rest(1, a))
+    out = pairs.select("job_id", F.lit("c").alias("container_id"), "doc_id", "i", F.when(b.isNull(), one).otherwise(both).cast("string").alias("value"))
+    out = out.repartitionByRange("job_id", "doc_id", "i").sortWithinPartitions("job_id", "doc_id", "i").drop("doc_id", "i")
+    out.write.partitionBy("job_id", "container_id").text(path)
+    return read_frames(v.spark, path)
+
+
 @report(
     "t03_live_list",
     f"""WITH u AS (SELECT job_id, status, nullif(reason, '') AS reason, seq,
