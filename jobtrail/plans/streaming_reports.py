@@ -307,6 +307,21 @@ def _(v):
     return read_raw_lines(v.spark, path)
 
 
+@report(
+    "w12_stream_batches",
+    """SELECT job_id, container_id, seq, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS batch_tick,
+         (row_number() OVER (PARTITION BY job_id, container_id, floor(epoch_us(ts) / 86400000000) ORDER BY seq, pos) - 1) // 2 AS batch_id FROM log_entries""",
+    "log_entries",
+)
+def _(v):
+    """The rows of w12_assign_batches from a stream: a day is flushed when the clock has passed its end."""
+    out = shared_dir(v.spark, "w12")
+    entries = v.log_entries().select("job_id", "container_id", "seq", "pos", "ts")
+    batches = K.stream_batches(as_stream(v, entries, "entries"), 2, 86400, DELAY)
+    drain(J.start_append(batches, f"{out}/rows", f"{out}/checkpoint", _NOW))
+    return real(v.spark.read.parquet(f"{out}/rows")).select("job_id", "container_id", "seq", "batch_tick", "batch_id")
+
+
 @report(
     "s04_framed_lines",
     """SELECT CAST(doc_id % 16 AS VARCHAR) AS job_id, 'c' AS container_id, CASE i % 2 WHEN 0 THEN 'stdout' ELSE 'stderr' END AS stream,

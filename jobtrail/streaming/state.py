@@ -356,3 +356,34 @@ def stream_dedup(queue: DataFrame, gap: int = 60, key: str = "job_id", watermark
 
     rows = queue.mapInPandas(one_per_instant, queue.schema).withWatermark("ts", watermark)
     return _bucketed(rows, key, walk, queue.schema, buckets)
+
+
+# --- micro-batches -------------------------------------------------------------------------
+
+_PART = "_part"
+
+
+def stream_batches(
+    entries: DataFrame, size: int = 50, interval_seconds: int = 1, watermark: str = "0 seconds", buckets: int = BUCKETS
+) -> DataFrame:
+    """Log entries with batch_tick and batch_id as ``logs.assign_batches`` gives them, each tick flushed by a timer
+    once the watermark has passed its end; what a tick holds beyond ``size`` entries makes further batches.
+
+    Entries carry job_id, container_id, ts, seq and pos. Only open ticks are held, spread over buckets by container
+    and tick, so a container that logs much is in many of them. A row later than the watermark is in no batch.
+    """
+    width, box = interval_seconds * 1_000_000, ["job_id", "container_id", "batch_tick"]
+    out = T.StructType([*entries.schema.fields, T.StructField("batch_tick", T.LongType()), T.StructField("batch_id", T.LongType())])
+    names = out.fieldNames()
+
+    def walk(held, new, now):
+        waiting = _together(held.get("waiting"), new)
+        ends = (waiting["batch_tick"] + 1) * width - 1
+        due = waiting[ends <= now].sort_values([*box, "seq", "pos"], kind="stable")
+        due = due.assign(batch_id=due.groupby(box, dropna=False).cumcount() // size)
+        open_ends = ends[ends > now]
+        return {"waiting": waiting[ends > now]}, due[names], int(open_ends.min()) if len(open_ends) else None
+
+    tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(width))
+    rows = entries.withWatermark("ts", watermark).withColumn("batch_tick", tick)
+    return _bucketed(rows.withColumn(_PART, F.xxhash64(*box)), _PART, walk, out, buckets)

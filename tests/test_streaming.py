@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
+from jobtrail.operators import logs as G
 from jobtrail.streaming import jobs as J
 from jobtrail.streaming import state as K
 
@@ -216,3 +217,24 @@ def test_logs_are_in_the_table_however_late(spark, tmp_path):
     assert sorted(r.message for r in J.read_logs(spark, out).collect()) == ["e1", "e2", "m1", "m2"]
     stored = sorted(J.stored_batches(spark.read.parquet(out)).collect(), key=lambda r: r.seq)
     assert [[e.message for e in r.logs] for r in stored] == [["m1", "e1"], ["m2", "e2"]]
+
+
+ENTRY = "job_id string, container_id string, seq long, pos int, ts timestamp, message string"
+
+
+def test_batches_of_a_stream_equal_the_batch_form(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    entry = lambda i, second, box="c": ("j", box, i, i % 3, T0 + timedelta(seconds=second), f"m{i}")
+    ready = lambda: J.start_append(K.stream_batches(stream(spark, src, ENTRY), 3, 2, "1 second", 4), out, cp, NOW)
+    # Out of order inside a file, ticks of two seconds that lie across files, a restart in an open tick.
+    put(spark, src, *[entry(i, s) for i, s in enumerate([1.9, 0.1, 0.2, 0.3, 1, 0.5, 2.5])], entry(7, 0.4, "d"), schema=ENTRY)
+    put(spark, src, *[entry(10 + i, 2 + i / 10) for i in range(15)], schema=ENTRY)
+    run(ready())
+    assert {r.batch_tick - T0.timestamp() // 2 for r in spark.read.schema("batch_tick long").parquet(out).collect()} <= {0}
+    put(spark, src, *[entry(40 + i, 3.9) for i in range(4)], entry(50, 5, None), schema=ENTRY)
+    put(spark, src, entry(99, 1000), schema=ENTRY)
+    run(ready())
+    fields = ["container_id", "seq", "batch_tick", "batch_id"]
+    want = G.assign_batches(spark.read.schema(ENTRY).parquet(src).where("seq < 99"), 3, 2)
+    listed = lambda df: sorted(map(str, df.select(*fields).collect()))
+    assert listed(spark.read.parquet(out)) == listed(want) and want.count() == 28
