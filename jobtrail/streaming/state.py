@@ -24,10 +24,6 @@ def _micros(column: pd.Series) -> pd.Series:
     return column.astype("datetime64[us]").astype("int64")
 
 
-def _time(value) -> pd.Timestamp | None:
-    return None if value is None else pd.Timestamp(int(value), unit="us")
-
-
 def combine_events(events: DataFrame) -> DataFrame:
     """Drop, before the shuffle, events that cannot change a fold: of each Arrow batch a job keeps its last
     event, its last reason and the first event of each phase. A job flooding the stream thus sends few rows."""
@@ -49,64 +45,6 @@ def _times(micros) -> np.ndarray:
     return np.asarray(micros).astype("int64").astype("datetime64[us]")
 
 
-# --- lifecycle with expiry -----------------------------------------------------------------
-
-_SUMMARY = (
-    "job_id string, status string, reason string, queued_at timestamp, started_at timestamp, "
-    "finished_at timestamp, updated_at timestamp, is_expired boolean"
-)
-_SUMMARY_STATE = (
-    "status string, status_ts long, status_seq long, reason string, reason_ts long, reason_seq long, "
-    "queued long, started long, finished long, updated long"
-)
-
-
-def stream_lifecycle_expiring(
-    events: DataFrame, watermark: str = "0 seconds", retention: int = 3600, stale_ttl: int = 86400
-) -> DataFrame:
-    """The lifecycle fold with bounded state: a finished job is let go ``retention`` seconds after its last
-    event, any other after ``stale_ttl``. Emits the summary on every change and once more on expiry."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ("", -1, -1, "", -1, -1, None, None, None, -1)
-        s = dict(zip(["status", "st", "sq", "reason", "rt", "rq", "queued", "started", "finished", "updated"], old))
-        expired = state.hasTimedOut
-        if not expired:
-            for pdf in batches:
-                _fold_batch(s, pdf.assign(t=_micros(pdf["ts"])))
-            state.update(tuple(s.values()))
-            ttl = retention if s["status"] in S.TERMINAL else stale_ttl
-            # A timer must lie beyond the watermark.
-            state.setTimeoutTimestamp(max(s["updated"] // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
-        times = [_time(s[c]) for c in ("queued", "started", "finished", "updated")]
-        names = ["job_id", "status", "reason", "queued_at", "started_at", "finished_at", "updated_at", "is_expired"]
-        row = pd.DataFrame([[key[0], s["status"], s["reason"], *times, expired]], columns=names)
-        for c in names[3:7]:
-            row[c] = pd.to_datetime(row[c])
-        yield row
-
-    keyed = combine_events(events).withWatermark("ts", watermark).groupBy("job_id")
-    return keyed.applyInPandasWithState(fold, _SUMMARY, _SUMMARY_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def _fold_batch(s: dict, pdf: pd.DataFrame) -> None:
-    first = lambda current, times: current if times.empty else int(times.min()) if current is None else min(current, int(times.min()))
-    pdf = pdf.sort_values(["t", "seq"], kind="stable")
-    last = pdf.iloc[-1]
-    if (last.t, last.seq) >= (s["st"], s["sq"]):
-        s.update(status=last.status, st=int(last.t), sq=int(last.seq))
-    reasons = pdf[pdf["reason"] != ""]
-    if len(reasons) and (reasons.iloc[-1].t, reasons.iloc[-1].seq) >= (s["rt"], s["rq"]):
-        top = reasons.iloc[-1]
-        s.update(reason=top.reason, rt=int(top.t), rq=int(top.seq))
-    s["queued"] = first(s["queued"], pdf["t"][pdf["status"] == "Queued"])
-    s["started"] = first(s["started"], pdf["t"][pdf["status"] == "Running"])
-    s["finished"] = first(s["finished"], pdf["t"][pdf["status"].isin(S.TERMINAL)])
-    s["updated"] = max(s["updated"], int(pdf["t"].max()))
-
-
 # --- events in order -----------------------------------------------------------------------
 #
 # Rows reach a key in the order of files, not of time. The folds below keep what the watermark has not passed and
@@ -123,7 +61,7 @@ _HELD = "held binary"
 Walk = Callable[[dict[str, pd.DataFrame], pd.DataFrame | None, int], tuple[dict[str, pd.DataFrame], pd.DataFrame | None, int | None]]
 
 
-def _bucketed(rows: DataFrame, key: str, walk: Walk, out: str | T.StructType, buckets: int) -> DataFrame:
+def _bucketed(rows: DataFrame, key: str, walk: Walk, out: str | T.StructType, buckets: int, mode: str = "append") -> DataFrame:
     """Run ``walk`` per bucket of keys, on the tables that it kept, the new rows and the watermark in microseconds."""
 
     def fold(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -140,7 +78,7 @@ def _bucketed(rows: DataFrame, key: str, walk: Walk, out: str | T.StructType, bu
             yield found
 
     keyed = rows.withColumn(_BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets))).groupBy(_BUCKET)
-    return keyed.applyInPandasWithState(fold, out, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(fold, out, _HELD, mode, GroupStateTimeout.EventTimeTimeout)
 
 
 def _pack(tables: dict[str, pd.DataFrame]) -> bytes:
@@ -168,6 +106,77 @@ def _walked(waiting: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame
     return waiting[due].sort_values(["job_id", "t", "seq", "status"], ignore_index=True), waiting[~due]
 
 
+# --- lifecycle with expiry -----------------------------------------------------------------
+
+_SUMMARY = (
+    "job_id string, status string, reason string, queued_at timestamp, started_at timestamp, "
+    "finished_at timestamp, updated_at timestamp, is_expired boolean"
+)
+_NEVER = np.iinfo("int64").max
+# Of a job: its last event and last reason with their time and number, the first time of each phase, the last time of
+# all, and the watermark in milliseconds that lets it go.
+_FRESH = {"status": "", "st": -1, "sq": -1, "reason": "", "rt": -1, "rq": -1, "queued": _NEVER, "started": _NEVER, "finished": _NEVER, "updated": -1, "timer": 0}
+
+
+def _fresh_jobs(ids: pd.Index) -> pd.DataFrame:
+    columns = {c: pd.Series(value, index=ids, dtype=object if isinstance(value, str) else "int64") for c, value in _FRESH.items()}
+    return pd.DataFrame(columns, index=ids)
+
+
+def stream_lifecycle_expiring(
+    events: DataFrame, watermark: str = "0 seconds", retention: int = 3600, stale_ttl: int = 86400, buckets: int = BUCKETS
+) -> DataFrame:
+    """The lifecycle fold with bounded state: a finished job is let go ``retention`` seconds after its last
+    event, any other after ``stale_ttl``. Emits the summary on every change and once more on expiry."""
+
+    def walk(held, new, now):
+        jobs = held["jobs"].set_index("job_id") if "jobs" in held else _fresh_jobs(pd.Index([], dtype=object))
+        own = jobs.iloc[:0]
+        if new is not None:
+            new = new.assign(t=_micros(new["ts"]), seq=new["seq"].fillna(-1).astype("int64"))
+            ids = pd.Index(new["job_id"].unique(), dtype=object)
+            known = jobs.index.isin(ids)
+            own = pd.concat([jobs[known], _fresh_jobs(ids.difference(jobs.index))])
+            own = _folded(own, new)
+            ttl = np.where(own["status"].isin(S.TERMINAL), retention, stale_ttl) * 1000
+            # A timer must lie beyond the watermark.
+            own["timer"] = np.maximum(own["updated"] // 1000 + ttl, now // 1000 + 1)
+            jobs = jobs[~known]
+        over = jobs["timer"] < now // 1000
+        found = pd.concat([own.assign(is_expired=False), jobs[over].assign(is_expired=True)])
+        jobs = pd.concat([jobs[~over], own])
+        times = {f"{c}_at": _times(found[c].where(found[c] != _NEVER, np.iinfo("int64").min)) for c in ("queued", "started", "finished", "updated")}
+        rows = pd.DataFrame({"job_id": found.index, "status": found["status"].array, "reason": found["reason"].array, **times, "is_expired": found["is_expired"].to_numpy(bool)})
+        return {"jobs": jobs.rename_axis("job_id").reset_index()}, rows, int(jobs["timer"].min()) * 1000 if len(jobs) else None
+
+    rows = combine_events(events).withWatermark("ts", watermark)
+    return _bucketed(rows, "job_id", walk, _SUMMARY, buckets, "update")
+
+
+def _folded(jobs: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+    """Jobs, all of which have events, after those."""
+
+    def last(column: str, t: str, seq: str, told: pd.DataFrame) -> pd.DataFrame:
+        # What is held goes first: of equal events the later arrival counts.
+        old = pd.DataFrame({"job_id": jobs.index, "t": jobs[t].array, "seq": jobs[seq].array, column: jobs[column].array})
+        rows = pd.concat([old, told[["job_id", "t", "seq", column]]], ignore_index=True)
+        top = rows.iloc[np.lexsort((rows["seq"], rows["t"]))].drop_duplicates("job_id", keep="last").set_index("job_id")
+        return top.reindex(jobs.index).rename(columns={"t": t, "seq": seq})
+
+    status = last("status", "st", "sq", events)
+    reason = last("reason", "rt", "rq", events[events["reason"] != ""])
+    phases = {"queued": events["status"] == "Queued", "started": events["status"] == "Running", "finished": events["status"].isin(S.TERMINAL)}
+    firsts = {c: events[of].groupby("job_id")["t"].min().reindex(jobs.index, fill_value=_NEVER) for c, of in phases.items()}
+    return jobs.assign(
+        **{c: status[c] for c in ("status", "st", "sq")},
+        **{c: reason[c] for c in ("reason", "rt", "rq")},
+        **{c: np.minimum(jobs[c], t) for c, t in firsts.items()},
+        updated=np.maximum(jobs["updated"], events.groupby("job_id")["t"].max().reindex(jobs.index)),
+    )
+
+
+# --- completions ---------------------------------------------------------------------------
+
 _READY = "job_id string, first_at timestamp, completed_at timestamp, complete boolean"
 
 

@@ -1,5 +1,6 @@
 """Streams on small fixtures: restarts, replays and clocks."""
 
+import time
 from datetime import datetime, timedelta, timezone
 
 from jobtrail.operators import logs as G
@@ -238,3 +239,28 @@ def test_batches_of_a_stream_equal_the_batch_form(spark, tmp_path):
     want = G.assign_batches(spark.read.schema(ENTRY).parquet(src).where("seq < 99"), 3, 2)
     listed = lambda df: sorted(map(str, df.select(*fields).collect()))
     assert listed(spark.read.parquet(out)) == listed(want) and want.count() == 28
+
+
+def test_expiry_of_many_jobs(spark, tmp_path):
+    """Jobs share calls and timers: thousands are folded over three batches as the batch form folds them, and let go
+    each at its own time."""
+    from jobtrail.operators.lifecycle import lifecycle
+
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    n = 4000
+    phases = [("Queued", 0, ""), ("Running", 100, "r"), ("Failed", 200, "")]
+    for at, (status, second, reason) in enumerate(phases):
+        put(spark, src, *[ev(f"j{i}", status, second + i % 50, at, reason) for i in range(n) if at < 2 or i % 2])
+    put(spark, src, ev("end", "Queued", 5000))
+    summaries = K.stream_lifecycle_expiring(stream(spark, src), "300 seconds", retention=3600, stale_ttl=86400, buckets=4)
+    t0 = time.time()
+    query = J.start_updates(summaries, out, cp, NOW)
+    run(query)
+    assert time.time() - t0 < 60
+    # One state per bucket, not per job.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
+    got = J.latest(spark, out).collect()
+    columns = ["job_id", "status", "reason", "queued_at", "started_at", "finished_at", "updated_at"]
+    want = {tuple(r) for r in lifecycle(spark.read.parquet(src)).select(*columns).collect()}
+    assert {tuple(r[c] for c in columns) for r in got} == want
+    assert {r.job_id for r in got if r.is_expired} == {f"j{i}" for i in range(n) if i % 2}
