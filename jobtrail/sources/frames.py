@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from jobtrail.session import shared_dir
 
 BLOCK_BYTES = 1 << 20
+#: Blocks that a task holds while it writes or reads them.
+BLOCKS_AT_ONCE = 16
 HEADER = 8
 _STREAMS = ["stdout", "stdout", "stderr"]
 
@@ -26,9 +28,11 @@ _CHAIN = "file string, pos long, last long, exit long, type int, leaves boolean"
 _PIECES = "file string, job_id string, container_id string, stream string, at long, k long, pieces array<binary>"
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, rows_at_once: int | None = None) -> DataFrame:
+    """``rows_at_once``: long rows that a task writes and reads back in one go."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    limit = {"parquet.block.row.count.limit": rows_at_once} if rows_at_once else {}
+    df.write.options(**limit).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -63,7 +67,7 @@ def _blocks(spark: SparkSession, path: str, block_bytes: int) -> DataFrame:
         if parts:
             yield block()
 
-    return _written(lines.mapInArrow(cut, _BLOCK), "frame-blocks")
+    return _written(lines.mapInArrow(cut, _BLOCK), "frame-blocks", BLOCKS_AT_ONCE)
 
 
 def _chains(data: bytes, ahead: bytes, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,16 +122,21 @@ def read_frames(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
     )
     placed = _written(placed, "frame-places")
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, at, left, data, ahead in zip(*(c.to_pylist() for c in batch.columns)):
-                pos, last, to, kind = _chains(data, ahead, left)
-                columns = [[file] * len(pos), pos + at, last + at, to + at, kind.astype(np.int32), to >= min(len(data), left)]
-                if len(pos):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["file", "pos", "last", "exit", "type", "leaves"])
-
-    data = blocks.join(placed, place)
-    chains = _written(data.select("file", "at", (F.col("size") - F.col("at")).alias("left"), "data", "ahead").mapInArrow(follow, _CHAIN), "frame-chains")
+    def follow(block: pa.Table) -> pa.Table:
+        found = []
+        for file, at, left, data, ahead in _each(block, "file", "at", "left", "data", "ahead"):
+            pos, last, to, kind = _chains(data, ahead, left)
+            # Of chains that leave a block at one place one row names that; past the last header that fits nothing begins.
+            leaves = np.zeros(len(pos), bool)
+            leaves[np.unique(to, return_index=True)[1]] = True
+            leaves &= (to >= min(len(data), left)) & (to <= left - HEADER)
+            found.append(pa.table([[file] * len(pos), pos + at, last + at, to + at, kind.astype(np.int32), leaves], schema=chain))
+        return pa.concat_tables(found)
+
+    # A call gets one block: an Arrow batch of rows would hold thousands.
+    chain = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("last", pa.int64()), ("exit", pa.int64()), ("type", pa.int32()), ("leaves", pa.bool_())])
+    data = blocks.join(placed, place).withColumn("left", F.col("size") - F.col("at"))
+    chains = _written(data.select(*place, "at", "left", "data", "ahead").groupBy(*place).applyInArrow(follow, _CHAIN), "frame-chains")
     entries = chains.where("leaves").select("file", F.col("exit").alias("pos"))
     entries = entries.unionByName(placed.select("file", F.lit(0).cast("long").alias("pos"))).distinct()
 
@@ -139,7 +148,8 @@ def read_frames(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
             at = exits[taken[-1]]
         return edges.iloc[taken]
 
-    edges = chains.join(entries, ["file", "pos"], "left_semi")
+    # Entries are few beside the chains, which need not be sorted to be looked up.
+    edges = chains.join(entries.hint("shuffle_hash"), ["file", "pos"], "left_semi")
     true = edges.groupBy("file").applyInPandas(walk, chains.schema)
 
     # Each block gets the last true chain that began before it: its last frame reaches into the block, or up to it.
@@ -149,28 +159,31 @@ def read_frames(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
     before = Window.partitionBy("file").orderBy("at", "kind", "split", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = marks.withColumn("c", F.last("c", ignorenulls=True).over(before)).where("kind = 0").select(*place, "c")
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                at = r["at"]
-                # A chain that broke off before this block tells nothing about it.
-                if at and (r["exit"] is None or r["exit"] < at):
-                    continue
-                carry = max(r["last"] + HEADER - at, 0) if at else 0
-                found = _payloads(r["data"], r["ahead"], r["size"] - at, r["exit"] - at if at else 0, carry, r["type"] if at else -1)
-                for stream, payload in found.items():
-                    if payload:
-                        pieces = payload.split(b"\n")
-                        rows.append({"file": r["file"], "job_id": r["job_id"], "container_id": r["container_id"], "stream": stream, "at": at, "k": len(pieces) - 1, "pieces": pieces})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
-
-    full = data.join(carried, place).select("file", "job_id", "container_id", "size", "at", "data", "ahead", "c.*")
-    pieces = _written(full.mapInArrow(take, _PIECES), "frame-pieces")
+    def take(block: pa.Table) -> pa.Table:
+        rows = []
+        for file, job, box, at, left, data, ahead, last, exit_, kind in _each(block, *shown):
+            # A chain that broke off before this block tells nothing about it.
+            if at and (exit_ is None or exit_ < at):
+                continue
+            carry = max(last + HEADER - at, 0) if at else 0
+            found = _payloads(data, ahead, left, exit_ - at if at else 0, carry, kind if at else -1)
+            for stream, payload in found.items():
+                if payload:
+                    pieces = payload.split(b"\n")
+                    rows.append({"file": file, "job_id": job, "container_id": box, "stream": stream, "at": at, "k": len(pieces) - 1, "pieces": pieces})
+        return pa.Table.from_pylist(rows, piece)
+
+    piece = pa.schema([*[(c, pa.string()) for c in ("file", "job_id", "container_id", "stream")], ("at", pa.int64()), ("k", pa.int64()), ("pieces", pa.list_(pa.binary()))])
+    shown = ["file", "job_id", "container_id", "at", "left", "data", "ahead", "last", "exit", "type"]
+    full = data.join(carried, place).select("split", "n", *shown[:-3], "c.*")
+    pieces = _written(full.groupBy(*place).applyInArrow(take, _PIECES), "frame-pieces", BLOCKS_AT_ONCE)
     return _lines(pieces)
 
 
+def _each(block: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(block.column(name).to_pylist() for name in names))
+
+
 def _lines(pieces: DataFrame) -> DataFrame:
     """Lines from pieces: those inside a block are whole, those at its ends are put together by their number."""
     key = ["file", "stream"]

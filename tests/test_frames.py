@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from jobtrail.sources import frames
 from jobtrail.sources.frames import read_frames
 
 
@@ -89,3 +90,30 @@ def test_broken_and_empty_files(spark, tmp_path, tiny_splits):
     want = [row for name, data in cases.items() for row in put(tmp_path, name, "c", [data])]
     assert read(spark, tmp_path, 40) == sorted(want)
     assert ("cut_payload", "c", "stdout", 1, "two") in want and not any(r[0] == "plain_text" for r in want)
+
+
+def test_blocks_reach_python_one_by_one(spark, tmp_path, monkeypatch):
+    """A task holds one block and the few places where chains leave it, however many blocks a file has."""
+    want = put(tmp_path, "1", "c", [b"".join(frame(1 + i % 2, b"line %d\n" % i) for i in range(5000))])
+    seen, chains = spark.sparkContext.accumulator(0), []
+    written = frames._written
+
+    def watched(df, name, *more):
+        out = written(df, name, *more)
+        if name == "frame-chains":
+            chains.append((out.where("leaves").count(), out.where("leaves").select("file", "exit").distinct().count(), out.count()))
+        return out
+
+    each = frames._each
+
+    def counted(block, *names):
+        seen.add(block.num_rows)
+        assert block.num_rows == 1
+        return each(block, *names)
+
+    monkeypatch.setattr(frames, "_written", watched)
+    monkeypatch.setattr(frames, "_each", counted)
+    assert read(spark, tmp_path, 512) == sorted(want)
+    assert seen.value > 100
+    leaving, exits, rows = chains[0]
+    assert exits <= leaving < rows / 3
