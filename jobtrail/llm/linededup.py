@@ -42,7 +42,7 @@ BLOCK_LINES = 64
 FACTOR = 0xD1342543DE82EF95
 #: Characters of a cell, how many cells a line has at least and at most, lines of one key that meet without variants,
 #: and characters of a cell that emits its variants with two characters less.
-CELL, CELLS, FEW, LONG = 16, (4, 8), 8, 32
+CELL, CELLS, FEW, LONG = 16, (4, 8), 8, 16
 _LINES = "doc_id long, text_hash long, line_no int, h1 long, h2 long, keys array<long>"
 
 
@@ -369,9 +369,9 @@ def _emit_two(cells: DataFrame) -> DataFrame:
     at = F.transform(F.sequence(F.lit(-1), n - 1), lambda i: F.struct(i.alias("i"), F.xxhash64("k", "side", F.when(i < 0, part).otherwise(left(i))).alias("v")))
     emitted = own.select("k", "side", "part", F.explode(at).alias("x")).select("k", "side", "part", "x.i", "x.v")
     text = F.xxhash64("part")
-    shared = materialised(emitted.groupBy("v").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("v"))
+    shared = written(emitted.groupBy("v").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("v"), "shared-variants")
     live = prefiltered(emitted, "v", shared).join(shared, "v", "left_semi").groupBy("k", "side", "part").agg(F.collect_list(F.struct("i", "v")).alias("live"))
-    live = materialised(live)
+    live = written(live, "live-variants")
     for side, name in enumerate(("one", "two")):
         which = live.where(F.col("side") == side).select("k", F.col("part").alias(name), F.col("live").alias(f"{name}s")).withColumn("__at", F.xxhash64("k", name))
         cells = prefiltered(cells.withColumn("__at", F.xxhash64("k", name)), "__at", which).drop("__at").join(which.drop("__at"), ["k", name])
@@ -394,9 +394,9 @@ def _cells_shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = texts.mapInArrow(_outer_keys(True), "k long, tag int, one int, two int")
     ends = [f(c).alias(f"{n}_{c}") for c in ("tag", "one", "two") for n, f in (("x", F.min), ("y", F.max))]
     apart = F.expr("x_tag <> y_tag and x_one <> y_one and x_two <> y_two")
-    common = materialised(told.groupBy("k").agg(*ends, F.count(F.lit(1)).alias("n")).where(apart).select("k", (F.col("n") <= FEW).alias("few")))
+    common = written(told.groupBy("k").agg(*ends, F.count(F.lit(1)).alias("n")).where(apart).select("k", (F.col("n") <= FEW).alias("few")), "common-keys")
     outer = prefiltered(texts.mapInArrow(_outer_keys(False), "id long, salt long, k long, c int"), "k", common)
-    outer = materialised(outer.join(common, "k"))
+    outer = written(outer.join(common, "k"), "outer-keys")
     held = outer.where("few").groupBy("k").agg(F.collect_set("id").alias("ids"))
     met = held.select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y")
     wanted = outer.where("not few").groupBy("id", "salt").agg(F.collect_set(F.struct("k", "c")).alias("wanted"))
@@ -406,14 +406,15 @@ def _cells_shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: int) -> DataFrame:
     """``h1, h2`` of the different lines that have another, earlier line within two edits."""
     tagged = read.mapInArrow(_shared_thirds(min_chars), "k long, tag int").groupBy("k").agg(F.min("tag").alias("x"), F.max("tag").alias("y"))
-    thirds = materialised(tagged.where("x <> y").select("k"))
+    # Slim tables are written as Parquet, which packs small files into few partitions when it is read.
+    thirds = written(tagged.where("x <> y").select("k"), "shared-thirds")
     each = read.mapInArrow(_emit_lines(min_chars, min_chars, 2), _LINES).select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("place"), F.explode("keys").alias("k"))
     likely = prefiltered(each, "k", thirds).join(thirds, "k", "left_semi")
     # All places of a line have its keys, so the first of them is its first place.
-    first = materialised(likely.groupBy("h1", "h2").agg(F.min("place").alias("place")))
-    per_doc = materialised(first.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place")).alias("wanted")))
+    first = written(likely.groupBy("h1", "h2").agg(F.min("place").alias("place")), "first-places")
+    per_doc = written(first.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("h1", "h2", "place")).alias("wanted")), "wanted-lines")
     full = _wanted_lines(docs, text, per_doc).select("w.h1", "w.h2", "w.place", "line")
-    full = materialised(full.withColumn("id", F.xxhash64("h1", "h2")))
+    full = written(full.withColumn("id", F.xxhash64("h1", "h2")), "likely-lines")
     # A long cell that may hold both edits is cut into cells itself, until all are short.
     texts, found, parts = full.select("id", F.lit(0).cast("long").alias("salt"), "line"), [], []
     while texts is not None:
@@ -421,7 +422,8 @@ def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: in
         cells = written(cells, "line-cells")
         alone, long = cells.where("two is null"), F.length("one") > LONG
         found.append(met)
-        parts += [alone.where(~long).mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int"), _emit_two(cells.where("two is not null"))]
+        # Partners differ in length by two at most, and of those on either side of the bound both emit variants.
+        parts += [alone.where(F.length("one") <= LONG + 2).mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int"), _emit_two(cells.where("two is not null"))]
         rest = alone.where(long).select("id", F.col("k").alias("salt"), F.col("one").alias("line"))
         texts = None if rest.isEmpty() else rest
     two = reduce(DataFrame.unionByName, found).distinct()
@@ -432,7 +434,7 @@ def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: in
     near = met.select(late("h1"), late("h2")).distinct()
     emitted = written(reduce(DataFrame.unionByName, parts), "line-variants")
     met = emitted.groupBy("v").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("v")
-    rows = materialised(emitted.join(met, "v", "left_semi").distinct().join(full.select("id", "place"), "id"))
+    rows = written(emitted.join(met, "v", "left_semi").distinct().join(full.select("id", "place"), "id"), "met-variants")
     # Lines of one variant are within two edits if neither leaves out more than one character, if one leaves out none,
     # if both leave out two at the same places, or if the one place of one is a place of the other's two.
     least = lambda cond, w: F.min(F.when(cond, F.col("place"))).over(w)

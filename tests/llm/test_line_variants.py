@@ -109,3 +109,33 @@ def test_cells_of_long_lines_are_cut_again(spark, monkeypatch):
     lines += [lines[3][:190] + "#" + lines[3][191:230] + "%" + lines[3][230:], lines[5][:180] + lines[5][182:], lines[7][:185] + "!!!" + lines[7][188:]]
     got, _ = dedup(spark, lines)
     assert got == wanted(lines) and sum(n for _, n in got.values()) == 4
+
+
+def test_cells_on_either_side_of_the_bound_meet(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FEW", 0)
+    rng = random.Random(8)
+    # Cells of the lengths 16 and 18, 32 and 34: two characters put into one cell, where no other cut has both edits.
+    for n, at in ((66, 20), (130, 36), (258, 70)):
+        longer = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        lines = [longer[: at - 1] + longer[at : at + 4] + longer[at + 5 :], longer]
+        got, _ = dedup(spark, lines, 1)
+        assert len(lines[0]) == n - 2 and got[1] == ("", 1)
+
+
+def test_variants_of_a_group_stay_few(spark, monkeypatch):
+    rng, made, write = random.Random(9), {}, linededup.written
+
+    def counted(df, name):
+        kept = write(df, name)
+        made[name] = made.get(name, 0) + kept.count()
+        return kept
+
+    monkeypatch.setattr(linededup, "written", counted)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(28)) for _ in range(300)]
+    # All share everything but one cell of 32 characters; the last is two edits from the first.
+    lines = [f"{'head of a common line, ' * 12}"[:224] + f"{w}    " for w in words]
+    lines.append(lines[0][:230] + "##" + lines[0][232:])
+    assert len(lines[0]) == 256
+    got, _ = dedup(spark, lines, 1)
+    assert [i for i, (_, n) in got.items() if n] == [300]
+    assert made["line-variants"] < 100 * len(lines)
