@@ -15,6 +15,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]"
 FILTER = 1 << 20
 #: Keys that hold at least this part of all rows are joined apart from the others; there are at most so many.
 HEAVY = 10_000
+#: Rows of a few numbers that fill a task, and tasks that share them at least.
+PACKED, LEAST_TASKS = 100_000, 8
 U64 = np.uint64
 
 
@@ -49,6 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def packed(df: DataFrame, rows: int, per_task: int = PACKED) -> DataFrame:
+    """The same rows in as many partitions as ``rows`` fill, if there are more: a shuffle writes files for each."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // per_task)))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(GAPS))

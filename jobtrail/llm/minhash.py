@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import attached, materialised, mixed64, prefiltered
+from jobtrail.llm.common import attached, materialised, mixed64, packed, prefiltered, written
 from jobtrail.llm.components import components
 
 #: Rows of a bucket that meet in one block at most, from either side, and rows of blocks that go to one group.
 BLOCK, GROUP = 512, 8192
+#: Documents whose signatures and sets fill a task.
+SETS = 2000
 #: Hashes of the signature that is compared, 8 bits of each, and how many are compared at a time.
 COMPARED, BATCH = 1024, 64
 U64 = np.uint64
@@ -306,7 +308,7 @@ def _cross_pairs(apart: DataFrame, active: DataFrame, p: Params) -> DataFrame:
     main = main.select("key", F.col("x.comp").alias("main"), "all", F.ceil(F.col("x.m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).cast("int").alias("rests"))
     # Buckets with one main component hold much the same documents: they share groups, as few as their rows need.
     shares = main.groupBy("main").agg(F.ceil(F.sum("all") * 2 / GROUP).alias("parts"))
-    main = materialised(main.drop("all").join(shares, "main"))
+    main = written(main.drop("all").join(shares, "main"), "main-components")
     rows = apart.join(main, "key")
     of = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
@@ -323,7 +325,7 @@ def _cross_pairs(apart: DataFrame, active: DataFrame, p: Params) -> DataFrame:
     block = F.pmod(F.xxhash64("key", "kind", "i", "j"), F.col("parts"))
     small = F.pmod(F.xxhash64("main"), F.lit(groups))
     group = F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("main", block))
-    dealt = materialised(dealt.withColumn("group", group).drop("main", "parts"))
+    dealt = written(dealt.withColumn("group", group).drop("main", "parts"), "dealt")
     asked = dealt.select(F.col("group").alias("of"), F.col("id").alias("doc")).distinct()
     known = asked.join(active.select(F.col("id").alias("doc"), "sig", "bands"), "doc")
     return dealt.groupBy("group").cogroup(known.groupBy("of")).applyInPandas(_across(p), "a long, b long").distinct()
@@ -343,26 +345,27 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     base = docs.select("doc_id", _keys_udf(p)(F.col(text)).alias("x"))
     known = materialised(base.select("doc_id", F.col("x.n").alias("n"), F.col("x.digest").alias("digest"), F.col("x.keys").alias("keys")))
     sound = known.where("doc_id is not null and n > 0")
-    classes = materialised(sound.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m")))
+    # Slim tables are written as Parquet, which packs small files into few partitions when it is read.
+    classes = written(sound.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m")), "classes")
     member = attached(sound.select("doc_id", "digest"), classes, "digest", "m")
     same = member.where("doc_id <> id").select("doc_id", "id").distinct()
     first = sound.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     banded = first.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot")
-    shared = materialised(shared)
-    buckets = materialised(prefiltered(banded, "key", shared).join(shared, "key").select("key", "band", "id", "pivot"))
+    shared = written(shared, "shared-keys")
+    buckets = written(prefiltered(banded, "key", shared).join(shared, "key").select("key", "band", "id", "pivot"), "buckets")
     # Texts of documents that share a bucket.
-    wanted = materialised(buckets.select(F.col("id").alias("doc_id")).distinct())
+    wanted = written(buckets.select(F.col("id").alias("doc_id")).distinct(), "in-buckets")
     active = prefiltered(docs.select("doc_id", text), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
     active = materialised(active.select(F.col("doc_id").alias("id"), _sets_udf(p)(F.col(text)).alias("x")).select("id", "x.sig", "x.bands", "x.members"))
-    active = active.where("sig is not null")
+    active = packed(active.where("sig is not null"), wanted.count(), SETS)
 
     pairs = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialised(_verified(_pruned(pairs, active, p), active, p))
+    links = written(_verified(_pruned(pairs, active, p), active, p), "links")
     comps = components(links).withColumnRenamed("node", "id")
     named = buckets.select("key", "band", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    apart = materialised(named.join(mixed, "key", "left_semi"))
+    apart = written(named.join(mixed, "key", "left_semi"), "apart")
     links = links.unionByName(_verified(_cross_pairs(apart, active, p), active, p))
     comps = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     out = known.select("doc_id", F.col("n").alias("n_shingles")).join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")

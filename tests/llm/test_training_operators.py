@@ -257,6 +257,25 @@ def test_components_by_union_find(spark):
     assert len(got) == len({r["node"] for r in got})
 
 
+def test_components_of_few_edges_run_few_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("few-edges", "components of a small table")
+        found = components.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+        tracker = context.statusTracker()
+        infos = {s: tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+        context.setJobGroup("", "")
+        assert {r["component"] for r in found.collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Only the edges as they come are dealt out to all; the rounds have as many tasks as their rows fill.
+    assert sum(i is not None and i.numTasks >= 60 for i in infos.values()) <= 4
+
+
 # Line dedup
 
 
