@@ -13,8 +13,10 @@ third with another, at every place to which an edit can shift it, go on. Those a
 characters or an eighth of the line, and keyed by all but one cell, which then holds both edits, and by all but two,
 which hold one each. A key of ``FEW`` lines or fewer, as nearly all are, has them compared as they are. Where more
 share it, a cell alone emits its variants with two characters less (a long one is cut into cells itself first); of two
-cells each emits those with one character less, and only variants that a different text of the same cell has too are
-combined. Lines with one variant are compared through their first place only, by how many
+cells the first emits those with one character less, and only where another text has the same does the second.
+An edit touches neither what a cell's start nor what its end has in common with its partner's, and in sorted order a
+neighbour has most in common: only places that such starts and ends leave over are left out, few of each cell.
+Lines with one variant are compared through their first place only, by how many
 characters they leave out and where, which tells two edits apart from more; so no step compares all with all.
 
 Three edits or more have too many variants. Lines are cut into e + 2 pieces there, of which two at least are left
@@ -23,7 +25,8 @@ key are compared by edit distance, large groups in blocks: the work grows with t
 """
 
 from functools import reduce
-from itertools import combinations, islice
+from itertools import chain, combinations, islice
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -269,7 +272,7 @@ def _shared_thirds(min_chars: int):
 
 
 def _cells(line: str):
-    """Per choice of cells and shift: number, all but the cells, and the text in them; one cell for both edits, or two for one each.
+    """Per choice of cells and shift: number, shift, all but the cells, and the text in them; one cell for both edits, or two for one each.
 
     Cells before the first edit keep their place from the front, those behind the last one theirs from the back, and
     what lies between, even nothing, may be shifted by one; what the length is more than its rounded value is in the
@@ -286,7 +289,7 @@ def _cells(line: str):
                 for shift in (0, 1) if b > a else (0,):
                     one, two = cuts[a + 1] + shift, cuts[b] + shift
                     between, parts = ("", (line[cuts[a] : end],)) if b == a else (line[one:two], (line[cuts[a] : one], line[two:end]))
-                    yield number, f"{base} {a} {b}\n{head}\n{between}\n{line[end:]}", parts
+                    yield number, shift, f"{base} {a} {b}\n{head}\n{between}\n{line[end:]}", parts
                     number += 1
 
 
@@ -309,98 +312,148 @@ def _in_batches(rows, schema: pa.Schema, size: int = 1 << 16):
 
 
 def _outer_keys(told: bool):
-    """Keys of all but the chosen cells of a text: with hashes of its line and of the cells, or with the choice's number."""
-    names = ("k", "tag", "one", "two") if told else ("id", "salt", "k", "c")
+    """Keys of all but the chosen cells of a text: with hashes of its line and of the cells and the shift, or with the choice's number."""
+    names = ("k", "tag", "one", "two", "shift") if told else ("id", "salt", "k", "c")
     schema = pa.schema([(n, pa.int64() if n in ("id", "salt", "k") else pa.int32()) for n in names])
 
     def keyed(batches):
         for batch in batches:
             for own, salt, line in zip(*(batch.column(c).to_pylist() for c in ("id", "salt", "line"))):
                 tag = (own & 0xFFFFFFFF) - (1 << 31)
-                for c, rest, parts in _cells(line):
+                for c, shift, rest, parts in _cells(line):
                     k = _key(rest, salt % (1 << 64))
-                    yield (k, tag, _short(parts[0]), _short(parts[-1])) if told else (own, salt, k, c)
+                    yield (k, tag, _short(parts[0]), _short(parts[-1]), shift) if told else (own, salt, k, c)
 
     return lambda batches: _in_batches(keyed(batches), schema)
 
 
 def _wanted_cells(batches):
     """The text in the wanted cells; ``two`` is null where both edits are in one cell."""
-    schema = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("one", pa.string()), ("two", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("shift", pa.int32()), ("one", pa.string()), ("two", pa.string())])
 
     def cells():
         for batch in batches:
             for own, line, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "line", "wanted"))):
                 by_number = {w["c"]: w["k"] for w in wanted}
-                for c, _, parts in _cells(line):
+                for c, shift, _, parts in _cells(line):
                     if c in by_number:
-                        yield own, by_number[c], parts[0], parts[1] if len(parts) > 1 else None
+                        yield own, by_number[c], shift, parts[0], parts[1] if len(parts) > 1 else None
 
     return _in_batches(cells(), schema)
 
 
-def _variants(x: str, seed: int):
-    """Key, number of characters left out, and their places (-1: none) of a text less none, one or two characters."""
+def _nearest(shared: str):
+    """Fills ``shared`` with how many characters a text's start, or its end, has in common with another text of its group at most.
+
+    Rows come ordered by group and by the text as it is compared. Where the neighbour is in another partition, the
+    whole text counts as common: that leaves out no place.
+    """
+    schema = pa.schema([("g", pa.int64()), ("shift", pa.int32()), ("part", pa.string()), ("ahead", pa.int32()), ("behind", pa.int32())])
+
+    def compared(row: dict) -> tuple[int, str]:
+        return row["g"], row["part"][::-1] if shared == "behind" else row["part"][: len(row["part"]) - row["shift"]]
+
+    def filled(batches):
+        own, before, held = None, None, []
+        for row in chain((r for batch in batches for r in batch.to_pylist()), [None]):
+            key = row and compared(row)
+            if held and key != own:
+                after = None if row is None else len(commonprefix((own[1], key[1]))) if own[0] == key[0] else 0
+                n = len(own[1]) if before is None or after is None else max(before, after)
+                yield from ((*(x | {shared: n}).values(),) for x in held)
+                before, held = after, []
+            own = key
+            held.append(row)
+
+    return lambda batches: _in_batches(filled(batches), schema)
+
+
+def _reached(texts: DataFrame) -> DataFrame:
+    """Of different ``g, shift, part``: with what their starts (less the shift) and ends have in common with others of the group."""
+    schema, none = "g long, shift int, part string, ahead int, behind int", F.lit(0).alias
+    start = F.expr("substring(part, 1, length(part) - shift)")
+    rows = texts.select("g", "shift", "part", none("ahead"), none("behind")).orderBy("g", start).mapInArrow(_nearest("ahead"), schema)
+    return rows.orderBy("g", F.reverse("part")).mapInArrow(_nearest("behind"), schema)
+
+
+def _variants(x: str, seed: int, ahead: int, behind: int):
+    """Key, number of characters left out, and their places (-1: none) of a text less none, one or two characters.
+
+    Of two, the first is not behind the start that another text shares and the second not before the end.
+    """
     yield _key(x, seed), 0, -1, -1
     for p in range(len(x)):
         left = x[:p] + x[p + 1 :]
         yield _key(left, seed), 1, p, -1
-        for q in range(p + 1, len(x)):
+        for q in range(max(p + 1, len(x) - 1 - behind), len(x)) if p <= ahead else ():
             yield _key(left[: q - 1] + left[q:], seed), 2, p, q
 
 
 def _emit_variants(batches):
     """The variants of texts that may hold both edits."""
     schema = pa.schema([("id", pa.int64()), ("v", pa.int64()), ("d", pa.int8()), ("p", pa.int32()), ("q", pa.int32())])
-    columns = ([batch.column(c).to_pylist() for c in ("id", "k", "one")] for batch in batches)
-    return _in_batches(((own, *v) for part in columns for own, k, x in zip(*part) for v in _variants(x, k % (1 << 64))), schema)
+    columns = ([batch.column(c).to_pylist() for c in ("id", "g", "part", "ahead", "behind")] for batch in batches)
+    return _in_batches(((own, *v) for part in columns for own, k, x, *common in zip(*part) for v in _variants(x, k % (1 << 64), *common)), schema)
+
+
+def _emit_one(cells: DataFrame) -> DataFrame:
+    """``id, v, d, p, q`` of ``id, k, one``: lines less two characters at most in a cell."""
+    own = cells.select("id", F.col("k").alias("g"), F.col("one").alias("part"))
+    texts = _reached(own.select("g", F.lit(0).alias("shift"), "part").distinct())
+    return own.join(texts, ["g", "part"]).mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int")
 
 
 def _emit_two(cells: DataFrame) -> DataFrame:
     """``id, v, d, p, q`` of lines less one character at most in either of two cells. Places in the second are below -1.
 
-    A partner's cell differs by one edit in both. So a variant of one cell counts only where cells of different text
-    have it, and only what counts of one cell is combined with what counts of the other.
+    A partner's cell differs by one edit in both. First cells that are not shifted against each other have one length,
+    so a character is changed, and both leave it out; a shifted one has the character more that it leaves out, which is not its last.
+    The second cell emits only where a first cell of different text has the same variant.
     """
-    sides = cells.select("k", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("part")), F.struct(F.lit(1).alias("side"), F.col("two").alias("part")))).alias("x"))
-    own = sides.select("k", "x.side", "x.part").distinct()
     part, n = F.col("part"), F.length("part")
-    left = lambda i: F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, n))
-    at = F.transform(F.sequence(F.lit(-1), n - 1), lambda i: F.struct(i.alias("i"), F.xxhash64("k", "side", F.when(i < 0, part).otherwise(left(i))).alias("v")))
-    emitted = own.select("k", "side", "part", F.explode(at).alias("x")).select("k", "side", "part", "x.i", "x.v")
+    less = lambda i: F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, n))
+    low = F.greatest(n - 1 - F.col("behind"), F.lit(0))
+    places = lambda high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    own = _reached(cells.select(F.col("k").alias("g"), "shift", F.col("one").alias("part")).distinct())
+    moved = F.col("shift") == 1
+    left = F.transform(places(F.least("ahead", n - 1 - F.col("shift"))), lambda i: F.struct(i.alias("i"), F.xxhash64("g", F.when(moved, -1).otherwise(i), less(i)).alias("v")))
+    whole = F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64("g", F.lit(-1), part).alias("v")))
+    first = written(own.select("g", "shift", "part", F.explode(F.when(moved, left).otherwise(F.concat(whole, left))).alias("x")).select("g", "shift", "part", "x.i", "x.v"), "first-variants")
     text = F.xxhash64("part")
-    shared = written(emitted.groupBy("v").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("v"), "shared-variants")
-    live = prefiltered(emitted, "v", shared).join(shared, "v", "left_semi").groupBy("k", "side", "part").agg(F.collect_list(F.struct("i", "v")).alias("live"))
-    live = written(live, "live-variants")
-    for side, name in enumerate(("one", "two")):
-        which = live.where(F.col("side") == side).select("k", F.col("part").alias(name), F.col("live").alias(f"{name}s")).withColumn("__at", F.xxhash64("k", name))
-        cells = prefiltered(cells.withColumn("__at", F.xxhash64("k", name)), "__at", which).drop("__at").join(which.drop("__at"), ["k", name])
-    both = cells.select("id", F.explode("ones").alias("x"), "twos").select("id", "x", F.explode("twos").alias("y"))
-    one, two, less = F.col("x.i"), F.col("y.i"), -2 - F.col("y.i")
-    return both.select(
+    shared = first.groupBy("v").agg(F.min(text).alias("x"), F.max(text).alias("y"), F.min("shift").alias("shift")).where("x <> y and shift = 0").select("v")
+    live = written(first.join(shared, "v", "left_semi"), "live-variants")
+    held = cells.join(live.withColumnsRenamed({"g": "k", "part": "one"}), ["k", "shift", "one"])
+    held = written(held.select("id", F.col("v").alias("g"), "i", F.col("two").alias("part")), "second-cells")
+    second = _reached(held.select("g", F.lit(0).alias("shift"), "part").distinct())
+    none = F.when(F.col("ahead") + F.col("behind") >= n, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    second = second.select("g", "part", F.explode(F.concat(none, places(F.least("ahead", n - 1)))).alias("j"))
+    second = second.withColumn("v", F.xxhash64("g", F.when(F.col("j") < 0, part).otherwise(less(F.col("j")))))
+    one, two, after = F.col("i"), F.col("j"), -2 - F.col("j")
+    return held.join(second, ["g", "part"]).select(
         "id",
-        F.xxhash64("x.v", "y.v").alias("v"),
+        "v",
         ((one >= 0).cast("byte") + (two >= 0).cast("byte")).cast("byte").alias("d"),
-        F.when(one >= 0, one).when(two >= 0, less).otherwise(-1).alias("p"),
-        F.when((one >= 0) & (two >= 0), less).otherwise(-1).alias("q"),
+        F.when(one >= 0, one).when(two >= 0, after).otherwise(-1).alias("p"),
+        F.when((one >= 0) & (two >= 0), after).otherwise(-1).alias("q"),
     )
 
 
 def _cells_shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``id, salt, line``: the lines that meet in keys of few lines, and the cells of those that meet in others.
 
-    Lines that agree in one of two cells too are left out there: they meet where the other is alone.
+    Lines that agree in one of two cells too are left out there: they meet where the other is alone. One of two lines
+    is not shifted.
     """
-    told = texts.mapInArrow(_outer_keys(True), "k long, tag int, one int, two int")
+    told = texts.mapInArrow(_outer_keys(True), "k long, tag int, one int, two int, shift int")
     ends = [f(c).alias(f"{n}_{c}") for c in ("tag", "one", "two") for n, f in (("x", F.min), ("y", F.max))]
-    apart = F.expr("x_tag <> y_tag and x_one <> y_one and x_two <> y_two")
-    common = written(told.groupBy("k").agg(*ends, F.count(F.lit(1)).alias("n")).where(apart).select("k", (F.col("n") <= FEW).alias("few")), "common-keys")
+    apart = F.expr("x_tag <> y_tag and x_one <> y_one and x_two <> y_two and shift = 0")
+    common = written(told.groupBy("k").agg(*ends, F.min("shift").alias("shift"), F.count(F.lit(1)).alias("n")).where(apart).select("k", (F.col("n") <= FEW).alias("few")), "common-keys")
     outer = prefiltered(texts.mapInArrow(_outer_keys(False), "id long, salt long, k long, c int"), "k", common)
     outer = written(outer.join(common, "k"), "outer-keys")
     held = outer.where("few").groupBy("k").agg(F.collect_set("id").alias("ids"))
     met = held.select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y")
     wanted = outer.where("not few").groupBy("id", "salt").agg(F.collect_set(F.struct("k", "c")).alias("wanted"))
-    return met, texts.join(wanted, ["id", "salt"]).select("id", "line", "wanted").mapInArrow(_wanted_cells, "id long, k long, one string, two string")
+    return met, texts.join(wanted, ["id", "salt"]).select("id", "line", "wanted").mapInArrow(_wanted_cells, "id long, k long, shift int, one string, two string")
 
 
 def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: int) -> DataFrame:
@@ -423,7 +476,7 @@ def _near_by_variants(docs: DataFrame, text: str, read: DataFrame, min_chars: in
         alone, long = cells.where("two is null"), F.length("one") > LONG
         found.append(met)
         # Partners differ in length by two at most, and of those on either side of the bound both emit variants.
-        parts += [alone.where(F.length("one") <= LONG + 2).mapInArrow(_emit_variants, "id long, v long, d byte, p int, q int"), _emit_two(cells.where("two is not null"))]
+        parts += [_emit_one(alone.where(F.length("one") <= LONG + 2)), _emit_two(cells.where("two is not null"))]
         rest = alone.where(long).select("id", F.col("k").alias("salt"), F.col("one").alias("line"))
         texts = None if rest.isEmpty() else rest
     two = reduce(DataFrame.unionByName, found).distinct()

@@ -139,3 +139,56 @@ def test_variants_of_a_group_stay_few(spark, monkeypatch):
     got, _ = dedup(spark, lines, 1)
     assert [i for i, (_, n) in got.items() if n] == [300]
     assert made["line-variants"] < 100 * len(lines)
+
+
+def test_first_cells_emit_few_variants(spark, monkeypatch):
+    rng, made, write = random.Random(10), {}, linededup.written
+
+    def counted(df, name):
+        kept = write(df, name)
+        made[name] = made.get(name, 0) + kept.count()
+        return kept
+
+    monkeypatch.setattr(linededup, "written", counted)
+    base = [chr(97 + i * 11 % 26) for i in range(400)]
+    # A common text with one random word in each of two cells of 50 characters; two edits apart: the last from the first.
+    lines = []
+    for _ in range(300):
+        line, word = list(base), lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(6))
+        line[120:126], line[270:276] = word(), word()
+        lines.append("".join(line))
+    lines.append(lines[0][:121] + "#" + lines[0][122:273] + lines[0][274:])
+    lines.append(lines[1][:122] + lines[1][123:272] + "#" + lines[1][272:])
+    got, _ = dedup(spark, lines, 1)
+    assert [i for i, (_, n) in got.items() if n] == [300, 301]
+    # With all one-character variants of the first cells it would be some 50 a line.
+    assert made["first-variants"] < 20 * len(lines)
+
+
+def test_edits_of_common_texts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FEW", 0)
+    rng = random.Random(11)
+    # Few letters, so that runs let one edit stand at several places; many lines share each cell's rest.
+    lines = []
+    for n in (34, 66):
+        base = "".join(rng.choice("aab ") for _ in range(n)) + "." * 20
+        lines += [base] + [edited(rng, edited(rng, base, 1, "ab"), rng.choice([1, 2, 3]), "ab") for _ in range(30)]
+    rng.shuffle(lines)
+    got, _ = dedup(spark, lines)
+    assert got == wanted(lines)
+
+
+def test_common_starts_and_ends_across_partitions(spark):
+    texts = ["abcxef", "abcyef", "abzzef", "q", "abc"]
+    rows = [(g, 0, x) for g in (1, 2) for x in texts]
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = {(r.g, r.part): (r.ahead, r.behind) for r in linededup._reached(spark.createDataFrame(rows, "g long, shift int, part string")).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for (_, x), (ahead, behind) in got.items():
+            others = [y for y in texts if y != x]
+            common = lambda a, b: next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+            assert max(common(x, y) for y in others) <= ahead <= len(x) and max(common(x[::-1], y[::-1]) for y in others) <= behind <= len(x)
+        assert len(got) == 10 and (parts > 1 or got[1, "abzzef"] == (2, 2))
